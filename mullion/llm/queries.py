@@ -6,14 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mullion.llm.chat_format import op4_chat_format
 from mullion.llm.quality_rules import op6_quality_rules
+from mullion.llm.url_filters import OP10_SQL, op10_url_filters
+from mullion.llm.warc import OP2_SQL, op2_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_warc": op2_warc,
+        "op4_chat_format": op4_chat_format,
         "op6_quality_rules": op6_quality_rules,
+        "op10_url_filters": op10_url_filters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_warc": OP2_SQL,
+        "op10_url_filters": OP10_SQL,
+    }
