@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from mullion.llm.chat_format import op4_chat_format
+from mullion.llm.ngram_join import OP1_SQL, op1_ngram_join
 from mullion.llm.quality_rules import op6_quality_rules
 from mullion.llm.url_filters import OP10_SQL, op10_url_filters
 from mullion.llm.warc import OP2_SQL, op2_warc
@@ -14,6 +15,7 @@ from mullion.llm.warc import OP2_SQL, op2_warc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": op1_ngram_join,
         "op2_warc": op2_warc,
         "op4_chat_format": op4_chat_format,
         "op6_quality_rules": op6_quality_rules,
@@ -23,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_ngram_join": OP1_SQL,
         "op2_warc": OP2_SQL,
         "op10_url_filters": OP10_SQL,
     }

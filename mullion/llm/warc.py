@@ -244,8 +244,8 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 h AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, CAST(CAST(unhex(sha1(html)) AS BIT) AS VARCHAR) AS bits,
              min(page_id) OVER (PARTITION BY html) AS first FROM p)
 SELECT page_id, payload_bytes,
-  list_aggregate(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-    1 + CAST(list_aggregate(list_transform(range(0, 5), k -> CAST(substr(bits, CAST(i * 5 + k + 1 AS BIGINT), 1) AS INTEGER) * CAST(pow(2, 4 - k) AS INTEGER)), 'sum') AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST(list_aggregate(list_transform(range(0, 5), lambda k: CAST(substr(bits, CAST(i * 5 + k + 1 AS BIGINT), 1) AS INTEGER) * CAST(pow(2, 4 - k) AS INTEGER)), 'sum') AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
 FROM h
