@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from mullion.llm.chat_format import op4_chat_format
 from mullion.llm.ngram_join import OP1_SQL, op1_ngram_join
 from mullion.llm.quality_rules import op6_quality_rules
+from mullion.llm.substring_dedup import OP8_SQL, op8_substring_dedup
 from mullion.llm.url_filters import OP10_SQL, op10_url_filters
 from mullion.llm.warc import OP2_SQL, op2_warc
 
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_warc": op2_warc,
         "op4_chat_format": op4_chat_format,
         "op6_quality_rules": op6_quality_rules,
+        "op8_substring_dedup": op8_substring_dedup,
         "op10_url_filters": op10_url_filters,
     }
 
@@ -27,5 +29,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_join": OP1_SQL,
         "op2_warc": OP2_SQL,
+        "op8_substring_dedup": OP8_SQL,
         "op10_url_filters": OP10_SQL,
     }
