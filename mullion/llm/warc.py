@@ -115,12 +115,17 @@ class WarcWriter(DataSourceArrowWriter):
         fs, root = open_fs(self.path)
         files: list[tuple[str, int, int]] = []
         out, name, count, size = None, "", 0, 0
+        told: tuple[int | None, dict[str, int]] = (None, {})
         for b in batches:
-            for page_id, url, html, refers_to in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
+            for page_id, url, html, sha, refers_to in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
+                if html is None:  # stands ahead of the page that it tells of
+                    told = (page_id, (told[1] if told[0] == page_id else {}) | {sha: refers_to})
+                    continue
+                refers_to = told[1].get(hashlib.sha256(html).hexdigest()) if told[0] == page_id else None
                 if out is None:
                     name, count, size = f"_temporary-{task.partitionId():08d}-{task.taskAttemptId()}-{len(files):05d}", 0, 0
                     out = fs.open_output_stream(f"{root}/{name}", compression=None)
-                packed = record_bytes(page_id, url, html or b"", refers_to, self.date)
+                packed = record_bytes(page_id, url, html, refers_to, self.date)
                 out.write(packed)
                 count, size = count + 1, size + len(packed)
                 if size >= self.roll:
@@ -169,28 +174,29 @@ class WarcSink(DataSource):
         return WarcWriter(path, int(self.options.get("roll", ROLL_BYTES)), self.options.get("date", DATE))
 
 
-def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, html (bytes) and refers_to: of rows with equal payloads the smallest id is the response.
+def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
+    """The rows as (page_id, url, html in bytes, digest, refers_to), and a row without html ahead of each page that is a revisit.
 
-    The payloads themselves don't move: ids meet by SHA-256 and length, after partial aggregation, and only the repeated
-    digests come back. Of repeated ids with equal payloads one row is the response as well, and all are.
+    Of rows with equal payloads the one with the smallest id is the response (all of them, where ids repeat). Payloads
+    meet by SHA-256, after partial aggregation; only ids of repeated digests move, and reach their page by the range sort
+    that the archives need anyway, so the payloads move once.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.encode(html_col, "UTF-8"), F.lit(b"")).alias("html")).withColumn("d", F.sha2("html", 256))
-    keyed = rows.select("page_id", "d")
-    first = keyed.groupBy("d").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = keyed.join(first, "d").where("page_id > first").groupBy("page_id", "d").agg(F.min("first").alias("refers_to"))
-    return rows.join(later, ["page_id", "d"], "left").select("page_id", "url", "html", "refers_to")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.encode(html_col, "UTF-8"), F.lit(b"")).alias("html"))
+    keyed = rows.where(F.length("html") >= min_bytes).select("page_id", F.sha2("html", 256).alias("digest"))
+    first = keyed.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = keyed.join(first, "digest").where("page_id > refers_to").distinct()
+    own = rows.select("page_id", "url", "html", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"))
+    told = later.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("html"), "digest", "refers_to")
+    return own.unionByName(told)
 
 
 def write_warc(pages: DataFrame, path: str, roll: int = ROLL_BYTES, date: str = DATE, min_bytes: int = 0, **cols: str) -> str:
     """Writes the archives of some pages to a new folder that all executors see, and gives back the folder."""
     spark = pages.sparkSession
     spark.dataSource.register(WarcSink)
-    rows = with_revisits(pages, **cols)
-    if min_bytes:
-        rows = rows.withColumn("refers_to", F.when(F.length("html") >= min_bytes, F.col("refers_to")))
+    rows = with_revisits(pages, min_bytes=min_bytes, **cols)
     parts = partitions_for(spark, pages.count(), ROWS_PER_TASK)
-    rows = rows.repartitionByRange(parts, "page_id", "url").sortWithinPartitions("page_id", "url")
+    rows = rows.repartitionByRange(parts, "page_id").sortWithinPartitions("page_id", F.col("html").isNotNull(), "url")
     rows.write.format("warc_shards").mode("append").option("roll", roll).option("date", date).save(path)
     return path
 
