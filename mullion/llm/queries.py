@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mullion.llm.byte_bpe import op9_byte_bpe
 from mullion.llm.chat_format import op4_chat_format
 from mullion.llm.ngram_join import OP1_SQL, op1_ngram_join
 from mullion.llm.quality_rules import op6_quality_rules
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_chat_format": op4_chat_format,
         "op6_quality_rules": op6_quality_rules,
         "op8_substring_dedup": op8_substring_dedup,
+        "op9_byte_bpe": op9_byte_bpe,
         "op10_url_filters": op10_url_filters,
     }
 
