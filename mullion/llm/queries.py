@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from mullion.llm.byte_bpe import op9_byte_bpe
 from mullion.llm.chat_format import op4_chat_format
 from mullion.llm.ngram_join import OP1_SQL, op1_ngram_join
+from mullion.llm.pii import op3_pii
 from mullion.llm.quality_rules import op6_quality_rules
 from mullion.llm.substring_dedup import OP8_SQL, op8_substring_dedup
 from mullion.llm.url_filters import OP10_SQL, op10_url_filters
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
         "op2_warc": op2_warc,
+        "op3_pii": op3_pii,
         "op4_chat_format": op4_chat_format,
         "op6_quality_rules": op6_quality_rules,
         "op8_substring_dedup": op8_substring_dedup,
