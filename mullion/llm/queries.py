@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mullion.llm.byte_bpe import op9_byte_bpe
 from mullion.llm.chat_format import op4_chat_format
+from mullion.llm.decontaminate import OP5_SQL, op5_decontaminate
 from mullion.llm.ngram_join import OP1_SQL, op1_ngram_join
 from mullion.llm.pii import op3_pii
 from mullion.llm.quality_rules import op6_quality_rules
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_warc": op2_warc,
         "op3_pii": op3_pii,
         "op4_chat_format": op4_chat_format,
+        "op5_decontaminate": op5_decontaminate,
         "op6_quality_rules": op6_quality_rules,
         "op8_substring_dedup": op8_substring_dedup,
         "op9_byte_bpe": op9_byte_bpe,
@@ -33,6 +35,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_ngram_join": OP1_SQL,
         "op2_warc": OP2_SQL,
+        "op5_decontaminate": OP5_SQL,
         "op8_substring_dedup": OP8_SQL,
         "op10_url_filters": OP10_SQL,
     }
