@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from mullion.llm.byte_bpe import op9_byte_bpe
 from mullion.llm.chat_format import op4_chat_format
 from mullion.llm.decontaminate import OP5_SQL, op5_decontaminate
+from mullion.llm.license_scan import op7_license_scan
 from mullion.llm.ngram_join import OP1_SQL, op1_ngram_join
 from mullion.llm.pii import op3_pii
 from mullion.llm.quality_rules import op6_quality_rules
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_chat_format": op4_chat_format,
         "op5_decontaminate": op5_decontaminate,
         "op6_quality_rules": op6_quality_rules,
+        "op7_license_scan": op7_license_scan,
         "op8_substring_dedup": op8_substring_dedup,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_url_filters": op10_url_filters,
