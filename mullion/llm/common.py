@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import tempfile
 import uuid
@@ -82,7 +83,7 @@ def word_hashes(texts: list[bytes | None], cache: HashCache) -> tuple[np.ndarray
     split = [t.split() if t else [] for t in texts]  # bytes.split() parts at \x20 and \x09-\x0D alone
     offsets = np.zeros(len(split) + 1, np.int64)
     np.cumsum([len(w) for w in split], out=offsets[1:])
-    flat = np.fromiter((h for words in split for h in map(cache.__getitem__, words)), np.uint64, int(offsets[-1]))
+    flat = np.fromiter(map(cache.__getitem__, itertools.chain.from_iterable(split)), np.uint64, int(offsets[-1]))
     return flat, offsets
 
 
@@ -103,9 +104,9 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def chunks(column, *others, limit: int = CHUNK_BYTES) -> Iterator[tuple]:
-    """Runs of rows with about `limit` bytes of text: (first row, list of bytes)."""
-    texts = column.to_pylist()
+def chunks(column, limit: int = CHUNK_BYTES) -> Iterator[tuple]:
+    """Runs of texts (an Arrow column or a list) with about `limit` bytes: (first row, list of bytes)."""
+    texts = column if isinstance(column, list) else column.to_pylist()
     start, held = 0, 0
     for i, t in enumerate(texts):
         held += len(t) if t else 0

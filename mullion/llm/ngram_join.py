@@ -3,14 +3,16 @@
 Two documents link when 100 * |A n B| >= 75 * |A u B| of their sets of distinct 5-word shingles (64-bit hashes).
 
 The distributed part of DivideSkip. A partner y of x shares T >= ceil(0.75 |x|) shingles with it. Of x's lists, the T-1
-longest are never merged, only probed; so any partner stands in one of the |x|-T+1 shortest, and only those are moved.
-List lengths come from a sketch of fixed size with the counts of all shingles of all documents; it only orders the lists,
-any order gives whole results. Documents that meet in a short list form candidate clusters, found as components of star
+longest are never merged, only probed; so any partner stands in one of the |x|-T+1 shortest, and only those are moved. (Of a pair, the smaller set has a partner's shingle among still
+fewer: T >= 6/7 |x| there. Lists without an entry of that kind lead nowhere.)
+List lengths come from a sketch of fixed size over all shingles of all documents: counters, and bits for what occurs
+twice; so lists of one document, which lead to nobody, come first. The sketch only orders the lists, any order gives
+whole results. Documents that meet in a short list form candidate clusters, found as components of star
 edges, one edge a posting, never all pairs. Each cluster's documents then come together with their full sets, where
 DivideSkip itself runs: heap-merge of short lists with skips, binary probes of long ones, and the exact overlap needed
 for the two sizes. Within a cluster, documents already linked to one another aren't searched again: first each document
 queries the leaders of the classes so far, then the documents outside the largest class query all others. Clusters over
-BLOCK_ROWS are dealt into blocks, whose class leaders, then the documents outside the largest class, query every block.
+BLOCK_SHINGLES are dealt into blocks, whose class leaders, then the documents outside the largest class, query every block.
 
 Cases: null or wordless text: an empty set, linked with nothing; fewer than five words: the whole sequence is one
 shingle; equal sets (exact copies, repeated rows) meet by a 128-bit digest, so a group of copies costs one posting list
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,13 +40,13 @@ from mullion.llm.common import HashCache, chunks, connected_components, partitio
 
 WORDS = 5
 PERCENT = 75
-#: Counters of the sketch: 16 MB, however large the corpus.
-SKETCH_BITS = 22
+#: The sketch: 2**22 counters (16 MB) and 2**28 bits (32 MB) at most, however large the corpus.
+SKETCH_BITS, TWICE_BITS = 22, 28
 SKETCH_PARTS = 16
 POSTINGS_PER_PARTITION = 1_500_000
 CLUSTER_SHINGLES_PER_PARTITION = 2_000_000
-#: Documents of a cluster that come together in one task.
-BLOCK_ROWS = 4_000
+#: Shingles of a cluster's documents that come together in one task.
+BLOCK_SHINGLES = 1_000_000
 #: Lists whose counter is this far over the mean are hot: their smallest document is found by partial aggregation.
 HOT_LIST = 20_000
 #: DivideSkip's weight of a probe against a merge step.
@@ -74,61 +77,99 @@ def shingles(texts: list[bytes | None], cache: HashCache, size: int = WORDS) ->
 # -- the sketch of list lengths --------------------------------------------------------------------------------------
 
 
-def sketch(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
-    """How many shingles of the corpus fall on each of 2**bits counters; all documents count, the size is fixed."""
+class Sketch:
+    """Counters of shingles by the top bits of their hash, and a bit for each slot that two shingles have met."""
+
+    def __init__(self, counts: np.ndarray, twice: np.ndarray):
+        self.counts, self.twice = counts, twice
+        self.shift, self.slot = np.uint64(64 - len(counts).bit_length() + 1), np.uint64(64 - (8 * len(twice)).bit_length() + 1)
+
+    def order(self, own: np.ndarray) -> np.ndarray:
+        """A number for each shingle, small for short lists."""
+        slot = own >> self.slot
+        met = (self.twice[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1
+        return np.where(met, self.counts[(own >> self.shift).astype(np.int64)], 0)
+
+
+def sketch(docs: DataFrame, bits: int = SKETCH_BITS, twice_bits: int = TWICE_BITS) -> Sketch:
+    """The sketch of all shingles of all documents. Tasks' tables are joined in two rounds, so none reads many of them."""
     size, part = 1 << bits, (1 << bits) // SKETCH_PARTS
-    shift = np.uint64(64 - bits)
+    slots, some = 1 << (twice_bits - 3), (1 << (twice_bits - 3)) // SKETCH_PARTS
+    shift, to_slot = np.uint64(64 - bits), np.uint64(64 - twice_bits)
+
+    def mark(table: np.ndarray, slot: np.ndarray) -> None:
+        np.bitwise_or.at(table, (slot >> np.uint64(3)).astype(np.int64), (1 << (slot & np.uint64(7))).astype(np.uint8))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, cache = np.zeros(size, np.uint32), HashCache()
+        total, once, twice, cache = np.zeros(size, np.uint32), np.zeros(slots, np.uint8), np.zeros(slots, np.uint8), HashCache()
         for b in batches:
             for _, texts in chunks(b.column(0)):
                 flat = np.concatenate(shingles(texts, cache))
-                at, n = np.unique(flat >> shift, return_counts=True)
-                total[at.astype(np.int64)] += np.minimum(n, 1 << 20).astype(np.uint32)
+                np.add.at(total, (flat >> shift).astype(np.int64), np.uint32(1))
+                slot = np.sort(flat >> to_slot)
+                again = np.zeros(len(slot), bool)
+                again[1:] = slot[1:] == slot[:-1]
+                mark(twice, slot[again])
+                slot = slot[~again]
+                mark(twice, slot[(once[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1])
+                mark(once, slot)
         task = TaskContext.get().partitionId()
-        parts = [total[k * part : (k + 1) * part].tobytes() for k in range(SKETCH_PARTS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([task % 32] * SKETCH_PARTS, pa.int32()), pa.array(parts, pa.binary())], ["part", "salt", "counts"])
+        for k in range(SKETCH_PARTS):
+            x = slice(k * some, (k + 1) * some)
+            yield _sketch_row(k, task % 32, total[k * part : (k + 1) * part], once[x], twice[x])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for b in batches:
-            for k, counts in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-                more = np.frombuffer(counts, np.uint32).astype(np.uint64)
-                sums[k] = np.minimum(sums[k] + more, 0xFFFFFFFF) if k in sums else more
-        for k, v in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([0], pa.int32()), pa.array([v.astype(np.uint32).tobytes()], pa.binary())], ["part", "salt", "counts"])
-
-    schema = "part int, salt int, counts binary"
+            for k, _, counts, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                more = _unpacked(counts, np.uint32).astype(np.uint64), _unpacked(x, np.uint8), _unpacked(y, np.uint8)
+                if k in held:
+                    before = held[k]
+                    more = np.minimum(before[0] + more[0], 0xFFFFFFFF), before[1] | more[1], before[2] | more[2] | (before[1] & more[1])
+                held[k] = more
+        for k, (counts, once, twice) in held.items():
+            yield _sketch_row(k, 0, counts.astype(np.uint32), once, twice)
+
+    schema = "part int, salt int, counts binary, once binary, twice binary"
     counted = docs.select(F.encode("text", "UTF-8")).mapInArrow(count, schema)
     counted = counted.repartition("part", "salt").mapInArrow(add, schema).repartition("part").mapInArrow(add, schema)
-    out = np.zeros(size, np.uint32)
-    for row in counted.toLocalIterator():  # 16 parts of a fixed size
-        out[row.part * part : (row.part + 1) * part] = np.frombuffer(row.counts, np.uint32)
-    return out
+    counts, twice = np.zeros(size, np.uint32), np.zeros(slots, np.uint8)
+    for row in counted.select("part", "counts", "twice").toLocalIterator():  # 16 parts of a fixed size
+        counts[row.part * part : (row.part + 1) * part] = _unpacked(row.counts, np.uint32)
+        twice[row.part * some : (row.part + 1) * some] = _unpacked(row.twice, np.uint8)
+    return Sketch(counts, twice)
+
+
+def _sketch_row(part: int, salt: int, *tables: np.ndarray) -> pa.RecordBatch:
+    """A part of a task's tables, packed: one task's are mostly zeros."""
+    packed = [pa.array([zstandard.compress(t.tobytes(), 1)], pa.binary()) for t in tables]
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([salt], pa.int32()), *packed], ["part", "salt", "counts", "once", "twice"])
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), kind)
 
 
 # -- short lists and candidate clusters ------------------------------------------------------------------------------
 
 
-def prefixes(docs: DataFrame, percent: int = PERCENT, bits: int = SKETCH_BITS, hot_list: int = HOT_LIST) -> DataFrame:
+def prefixes(docs: DataFrame, percent: int = PERCENT, hot_list: int = HOT_LIST, **sizes: int) -> DataFrame:
     """Per row: doc_id, n_shingles, a digest of the set, and the shingles of its short lists, hot ones apart.
 
     Short lists are null for rows without shingles or id, and for a set that its task has seen before: the digest links
     those rows.
     """
-    counts = sketch(docs, bits)
-    limit = hot_list + 8 * int(counts.mean())
-    held = docs.sparkSession.sparkContext.broadcast(counts)
-    shift = np.uint64(64 - bits)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("short", pa.list_(pa.int64())), ("hot", pa.list_(pa.int64()))])
+    made = sketch(docs, **sizes)
+    limit = hot_list + 8 * int(made.counts.mean())
+    held = docs.sparkSession.sparkContext.broadcast(made)
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("short", pa.list_(pa.int64())), ("n_index", pa.int32()), ("hot", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, cache, seen = held.value, HashCache(), set()
+        order_of, cache, seen = held.value.order, HashCache(), set()
         for b in batches:
             for start, texts in chunks(b.column(1)):
                 ids = b.column(0).slice(start, len(texts)).to_pylist()
-                sizes, digests, short, hot = [], [], [], []
+                sizes, digests, short, index, hot = [], [], [], [], []
                 for doc, flat in zip(ids, shingles(texts, cache), strict=True):
                     own = np.unique(flat)
                     n = len(own)
@@ -137,44 +178,60 @@ def prefixes(docs: DataFrame, percent: int = PERCENT, bits: int = SKETCH_BITS, h
                     digests.append(digest)
                     if not n or doc is None or digest in seen:
                         short.append(None)
+                        index.append(None)
                         hot.append(None)
                         continue
                     seen.add(digest)
                     length = n - -(-percent * n // 100) + 1
-                    freq = counts[(own >> shift).astype(np.int64)]
+                    freq = order_of(own)
                     if length < n:
-                        order = np.lexsort((own, freq))[:length]
+                        # by counter, then by hash: own is sorted, and the sort is stable
+                        order = np.argsort(freq, kind="stable")[:length]
                         own, freq = own[order], freq[order]
                     over = freq >= limit
                     short.append(own[~over].view(np.int64))
+                    index.append(int((~over[: n - -(-2 * percent * n // (100 + percent)) + 1]).sum()))
                     hot.append(own[over].view(np.int64) if over.any() else None)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(short, pa.list_(pa.int64())), pa.array(hot, pa.list_(pa.int64()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(short, pa.list_(pa.int64())), pa.array(index, pa.int32()), pa.array(hot, pa.list_(pa.int64()))], schema=schema)
 
-    return docs.select("doc_id", F.encode("text", "UTF-8").alias("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, short array<bigint>, hot array<bigint>")
+    return docs.select("doc_id", F.encode("text", "UTF-8").alias("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, short array<bigint>, n_index int, hot array<bigint>")
 
 
 def star_edges(postings: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Edges (a, b) that connect the documents of each list, one an entry at most.
+    """Edges (a, b) that connect the documents of each list: of a star in each list, a task's spanning forest.
 
-    A list is cut where sizes jump so far that no pair over the gap can be similar.
+    A list is cut where sizes jump so far that no pair over the gap can be similar, and holds only entries that can be
+    the smaller or the larger side of a pair.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
         if not held:
             return
-        h, doc, n = (np.concatenate(c) for c in zip(*held, strict=True))
+        h, doc, n, larger = (np.concatenate(c) for c in zip(*held, strict=True))
         order = np.lexsort((n, h))
-        h, doc, n = h[order], doc[order], n[order]
+        h, doc, n, larger = h[order], doc[order], n[order], larger[order].astype(bool)
+        if not len(h):
+            return
+        start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        least = np.minimum.reduceat(np.where(larger, np.iinfo(np.int64).max, n), start)
+        fits = n >= np.repeat(least, np.diff(np.append(start, len(h))))
+        h, doc, n = h[fits], doc[fits], n[fits]
+        if not len(h):
+            return
         first = np.ones(len(h), bool)
         first[1:] = (h[1:] != h[:-1]) | (100 * n[:-1] < percent * n[1:])
         start = np.flatnonzero(first)
         low = np.minimum.reduceat(doc, start) if len(start) else doc
         head = np.repeat(low, np.diff(np.append(start, len(h))))
         other = head != doc
-        pairs = np.unique(np.stack([head[other], doc[other]], 1), axis=0)
-        for k in range(0, len(pairs), 100_000):
-            part = pairs[k : k + 100_000]
+        nodes, pairs = np.unique(np.stack([head[other], doc[other]], 1), return_inverse=True)
+        pairs = pairs.reshape(-1, 2)
+        pairs = np.unique(pairs[:, 0] * len(nodes) + pairs[:, 1])
+        classes = Classes(len(nodes))
+        forest = [x for x in zip((pairs // max(1, len(nodes))).tolist(), (pairs % max(1, len(nodes))).tolist(), strict=True) if classes.join(*x)]
+        for k in range(0, len(forest), 100_000):
+            part = nodes[np.array(forest[k : k + 100_000])]
             yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], ["a", "b"])
 
     return postings.mapInArrow(run, "a bigint, b bigint")
@@ -183,42 +240,97 @@ def star_edges(postings: DataFrame, percent: int = PERCENT) -> DataFrame:
 # -- DivideSkip ------------------------------------------------------------------------------------------------------
 
 
-class DivideSkip:
-    """Inverted lists over some sets (sorted arrays), and T-occurrence search in them."""
+class Coded:
+    """A set as its size and the sorted codes of those members that a block has lists for."""
+
+    __slots__ = ("codes", "size")
+
+    def __init__(self, size: int, codes: np.ndarray):
+        self.size, self.codes = size, codes
+
+
+class Codes:
+    """Numbers for the shingles of a block: of all, or of those in two sets or more, as no other list leads anywhere."""
+
+    def __init__(self, sets: list[np.ndarray], least: int):
+        values, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
+        self.values = values[n >= least]
+
+    def of(self, own: np.ndarray) -> Coded:
+        at = np.searchsorted(self.values, own)
+        ok = at < len(self.values)
+        ok[ok] = self.values[at[ok]] == own[ok]
+        return Coded(len(own), at[ok].astype(np.int32))
+
+
+class GrowingLists:
+    """Inverted lists that sets are added to; sets get growing numbers, so lists stay sorted."""
 
-    def __init__(self, percent: int = PERCENT):
-        self.percent = percent
-        self.sets: list[np.ndarray] = []
+    def __init__(self) -> None:
         self.lists: dict[int, list[int]] = defaultdict(list)
 
-    def add(self, own: np.ndarray) -> int:
-        """Adds a set and gives back its number; numbers grow, so lists stay sorted."""
-        k = len(self.sets)
-        self.sets.append(own)
-        for s in own.tolist():
+    def add(self, k: int, own: Coded) -> None:
+        for s in own.codes.tolist():
             self.lists[s].append(k)
-        return k
 
-    def search(self, own: np.ndarray, skip: set[int] | None = None) -> list[int]:
+    def lengths(self, codes: np.ndarray) -> list[tuple[int, int]]:
+        lists = self.lists
+        return [(len(lists[s]), s) for s in codes.tolist() if s in lists]
+
+    def __getitem__(self, code: int) -> list[int]:
+        return self.lists[code]
+
+
+class FixedLists:
+    """Inverted lists of sets that are all there, in two arrays."""
+
+    def __init__(self, sets: list[Coded]):
+        code = np.concatenate([s.codes for s in sets]) if sets else np.zeros(0, np.int32)
+        of = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s.codes) for s in sets])
+        order = np.argsort(code, kind="stable")
+        self.of = of[order]
+        self.starts = np.searchsorted(code[order], np.arange((int(code.max()) + 2) if len(code) else 1))
+
+    def lengths(self, codes: np.ndarray) -> list[tuple[int, int]]:
+        codes = codes[codes < len(self.starts) - 1]
+        n = self.starts[codes + 1] - self.starts[codes]
+        return [x for x in zip(n.tolist(), codes.tolist(), strict=True) if x[0]]
+
+    def __getitem__(self, code: int) -> list[int]:
+        return self.of[self.starts[code] : self.starts[code + 1]].tolist()
+
+
+class DivideSkip:
+    """T-occurrence search in the inverted lists of some sets."""
+
+    def __init__(self, lists: GrowingLists | FixedLists, sets: list[Coded], percent: int = PERCENT):
+        self.lists, self.sets, self.percent = lists, sets, percent
+
+    def add(self, own: Coded) -> None:
+        self.lists.add(len(self.sets), own)
+        self.sets.append(own)
+
+    def search(self, own: Coded, skip: set[int] | None = None) -> list[int]:
         """The numbers of the sets that have the overlap needed with `own`, but for those in `skip`."""
-        n = len(own)
-        least = -(-self.percent * n // 100)  # whatever the other's size
-        found = [(len(x), s, x) for s in own.tolist() if (x := self.lists.get(s))]
-        if not n or len(found) < least:
+        least = -(-self.percent * own.size // 100)  # whatever the other's size
+        if not own.size or len(own.codes) < least:
             return []
-        found.sort(key=lambda x: x[0])
+        found = self.lists.lengths(own.codes)
+        if len(found) < least:
+            return []
+        found.sort()
         n_long = min(least - 1, int(least / (MU * math.log2(found[-1][0] + 1) + 1)))
         cut = len(found) - n_long
-        short, long = [x for _, _, x in found[:cut]], np.array(sorted(s for _, s, _ in found[cut:]), np.uint64)
+        short, long = [self.lists[s] for _, s in found[:cut]], np.array([s for _, s in found[cut:]], np.int32)
         out = []
         for k, count in self._merge(short, least - n_long, skip or set()):
             other = self.sets[k]
-            need = overlap_needed(n, len(other), self.percent)
+            need = overlap_needed(own.size, other.size, self.percent)
             if count + n_long < need:
                 continue
-            if n_long:  # binary probes of the long lists, all at once on the candidate's own sorted set
-                at = np.minimum(np.searchsorted(other, long), len(other) - 1)
-                count += int((other[at] == long).sum())
+            if n_long:  # binary probes of the long lists, all at once on the candidate's own sorted codes
+                at = np.minimum(np.searchsorted(other.codes, long), len(other.codes) - 1)
+                count += int((other.codes[at] == long).sum())
             if count >= need:
                 out.append(k)
         return out
@@ -288,101 +400,125 @@ def links_within(ids: list[int], sets: list[np.ndarray], percent: int = PERCENT)
             items.append(i)
         else:
             link(k, i)
-    leaders, named = DivideSkip(percent), []
+    coder = Codes([sets[i] for i in items], 2)
+    codes = {i: coder.of(sets[i]) for i in items}
+    leaders, named = DivideSkip(GrowingLists(), [], percent), []
     for i in items:
-        found = leaders.search(sets[i])
+        found = leaders.search(codes[i])
         for k in found:
             link(named[k], i)
         if not found:
-            leaders.add(sets[i])
+            leaders.add(codes[i])
             named.append(i)
     by_class: dict[int, list[int]] = defaultdict(list)
     for i in items:
         by_class[classes.find(i)].append(i)
     if len(by_class) > 1:  # every pair of two classes has a side outside the largest
         largest = max(by_class, key=lambda c: (len(by_class[c]), -c))
-        whole = DivideSkip(percent)
-        place = {i: whole.add(sets[i]) for i in items}
+        every = [codes[i] for i in items]
+        whole = DivideSkip(FixedLists(every), every, percent)
+        place = {i: k for k, i in enumerate(items)}
         for c, own in by_class.items():
             if c != largest:
+                skip = {place[j] for j in own}
                 for i in own:
-                    skip = {place[j] for j in by_class[c]} if len(by_class[c]) > 1 else {place[i]}
-                    for k in whole.search(sets[i], skip):
+                    for k in whole.search(codes[i], skip):
                         link(items[k], i)
     return out
 
 
-def links_between(base: list[tuple[int, int, np.ndarray]], asked: list[tuple[int, int, np.ndarray]], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links of (id, class, set) queries to the documents of a block in other classes, a link a pair of classes."""
-    index = DivideSkip(percent)
-    by_class: dict[int, set[int]] = defaultdict(set)
-    for _, c, own in base:
-        by_class[c].add(index.add(own))
-    out, linked = [], set()
-    for i, c, own in asked:
-        skip = set(by_class.get(c, ())).union(*(by_class[d] for d in by_class if (c, d) in linked))
-        for k in index.search(own, skip):
-            if (c, base[k][1]) not in linked:
-                linked.add((c, base[k][1]))
-                out.append((base[k][0], i))
-    return out
+class Block:
+    """The documents (id, class, set) of a block, for queries by documents of other classes."""
 
+    def __init__(self, base: list[tuple[int, int, np.ndarray]], percent: int = PERCENT):
+        self.base, self.codes = base, Codes([x[2] for x in base], 1)
+        sets = [self.codes.of(x[2]) for x in base]
+        self.index = DivideSkip(FixedLists(sets), sets, percent)
+        self.by_class: dict[int, set[int]] = defaultdict(set)
+        for k, (_, c, _) in enumerate(base):
+            self.by_class[c].add(k)
+        self.linked: dict[int, set[int]] = defaultdict(set)
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Rows of (cluster, block, asked, class, doc_id, text) by (cluster, block); they come sorted."""
+    def query(self, i: int, c: int, own: np.ndarray) -> list[tuple[int, int]]:
+        """Links of a document of class c to classes that none of that class has been linked to yet."""
+        skip = self.by_class.get(c, set()).union(*(self.by_class[d] for d in self.linked[c]))
+        out = []
+        for k in self.index.search(self.codes.of(own), skip):
+            j, d, _ = self.base[k]
+            if d not in self.linked[c]:
+                self.linked[c].add(d)
+                out.append((j, i))
+        return out
 
-    def rows() -> Iterator[tuple]:
-        for b in batches:
-            yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
 
-    for key, own in itertools.groupby(rows(), key=lambda r: r[:2]):
-        yield key, list(own)
+def _sets(rows: list[tuple], cache: HashCache) -> list[np.ndarray]:
+    """The sets of some rows, the text last."""
+    return [np.unique(s) for _, texts in chunks([r[-1] for r in rows]) for s in shingles(texts, cache)]
+
+
+def _in_runs(rows: Iterator[tuple], limit: int = 1 << 20) -> Iterator[list[tuple]]:
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += len(r[-1] or b"")
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def _search_blocks(rows: DataFrame, n_shingles: int, percent: int, between: bool) -> DataFrame:
     parts = partitions_for(rows.sparkSession, n_shingles, CLUSTER_SHINGLES_PER_PARTITION)
-    rows = rows.select("cluster", "block", "asked", "class", "doc_id", "text").repartition(parts, "cluster", "block").sortWithinPartitions("cluster", "block", "doc_id")
+    rows = rows.select("cluster", "block", "asked", "class", "doc_id", "text").repartition(parts, "cluster", "block").sortWithinPartitions("cluster", "block", "asked", "doc_id")
+
+    def found(key: tuple, own: Iterator[tuple], cache: HashCache) -> Iterator[list[tuple[int, int]]]:
+        block = None
+        for asked, part in itertools.groupby(own, key=lambda r: r[2]):
+            if not asked:
+                part = list(part)
+                if not between:
+                    yield links_within([r[4] for r in part], _sets(part, cache), percent)
+                    continue
+                block = Block([(r[4], r[3], s) for r, s in zip(part, _sets(part, cache), strict=True)], percent)
+            elif block:
+                for some in _in_runs(part):
+                    yield [x for r, s in zip(some, _sets(some, cache), strict=True) for x in block.query(r[4], r[3], s)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = HashCache()
-        for _, own in _grouped(batches):
-            sets = [np.unique(s) for s in shingles([r[5] for r in own], cache)]
-            if between:
-                both = [(r[4], r[3], s, r[2]) for r, s in zip(own, sets, strict=True)]
-                found = links_between([x[:3] for x in both if not x[3]], [x[:3] for x in both if x[3]], percent)
-            else:
-                found = links_within([r[4] for r in own], sets, percent)
-            if found:
-                a, b = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        rows, cache = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), HashCache()
+        for key, own in itertools.groupby(rows, key=lambda r: r[:2]):
+            for links in found(key, own, cache):
+                if links:
+                    a, b = zip(*links, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def similar_links(docs: DataFrame, table: DataFrame, percent: int = PERCENT, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def similar_links(docs: DataFrame, table: DataFrame, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Links (a, b) between the documents of `table` (from prefixes()) that connect all that similar pairs connect."""
     spark = docs.sparkSession
-    postings = table.where("short is not null").select("doc_id", "n_shingles", F.explode("short").alias("h"))
+    postings = table.where("short is not null").select("doc_id", "n_shingles", "n_index", F.posexplode("short").alias("at", "h"))
     total = table.agg(F.sum(F.size("short")).alias("n")).first().n or 0
     parts = partitions_for(spark, total, POSTINGS_PER_PARTITION)
-    near = star_edges(postings.select("h", "doc_id", "n_shingles").repartition(parts, "h"), percent)
+    near = star_edges(postings.select("h", "doc_id", "n_shingles", F.col("at") >= F.col("n_index")).repartition(parts, "h"), percent)
     hot = table.where("hot is not null").select("doc_id", F.explode("hot").alias("h"))
     low = hot.groupBy("h").agg(F.min("doc_id").alias("a"))
     near = near.unionByName(hot.join(low, "h").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct())
     clusters = connected_components(near, "clusters").withColumnRenamed("component", "cluster")
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    clusters = clusters.join(sizes, "cluster")
-    blocks = F.ceil(F.col("size") / block_rows)
-    clusters = written(clusters.select(F.col("node").alias("doc_id"), "cluster", "size", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), blocks.cast("int").alias("blocks")), "clusters")
-    n_docs = table.count()
-    n_near = clusters.count()
-    mean = (total * 4) // max(1, n_docs) + 1
+    own = table.where("short is not null").groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
+    clusters = clusters.join(own, clusters["node"] == own["doc_id"]).select("doc_id", "cluster", "n_shingles")
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / block_shingles).cast("int").alias("blocks"))
+    clusters = clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    clusters = written(clusters.select("doc_id", "cluster", "n_shingles", "block", "blocks"), "clusters")
+    n_near = clusters.agg(F.sum("n_shingles").alias("n")).first().n or 0
     texts = docs.select("doc_id", F.encode("text", "UTF-8").alias("text"))
     members = clusters.join(texts, "doc_id")
     plain = members.select("cluster", "block", F.lit(False).alias("asked"), F.lit(0).cast("long").alias("class"), "doc_id", "text")
-    found = written(_search_blocks(plain, n_near * mean, percent, False), "links")
+    found = written(_search_blocks(plain, n_near, percent, False), "links")
     large = clusters.where("blocks > 1")
-    n_large = large.count()
+    n_large = large.agg(F.sum("n_shingles").alias("n")).first().n
     if not n_large:
         return found
     texts = written(large.join(texts, "doc_id"), "large")
@@ -398,7 +534,7 @@ def similar_links(docs: DataFrame, table: DataFrame, percent: int = PERCENT, blo
             most = count.groupBy("cluster").agg(F.max_by("class", F.struct("n", "class")).alias("most"))
             asked = labels.join(most, "cluster").where("class <> most")
         spread = asked.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asked"), "class", "doc_id", "text")
-        more = _search_blocks(base.unionByName(spread), n_large * mean * 2, percent, True)
+        more = _search_blocks(base.unionByName(spread), n_large * 2, percent, True)
         found = written(found.unionByName(more), "links")
     return found
 
@@ -406,11 +542,11 @@ def similar_links(docs: DataFrame, table: DataFrame, percent: int = PERCENT, blo
 # -- results ---------------------------------------------------------------------------------------------------------
 
 
-def components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", block_rows: int = BLOCK_ROWS, bits: int = SKETCH_BITS, hot_list: int = HOT_LIST) -> DataFrame:
+def components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = BLOCK_SHINGLES, hot_list: int = HOT_LIST, **sizes: int) -> DataFrame:
     """Per row: doc_id, n_shingles and component_id, the smallest doc_id that links reach."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    table = written(prefixes(docs, percent, bits, hot_list), "shingles")
-    found = similar_links(docs, table, percent, block_rows)
+    table = written(prefixes(docs, percent, hot_list, **sizes), "shingles")
+    found = similar_links(docs, table, percent, block_shingles)
     groups = table.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("gid"))
     # a digest's rows join its smallest id; links join the ids of different digests
     shown = table.where("short is not null").select("digest", "doc_id").join(groups, "digest").where("doc_id <> gid").select(F.col("gid").alias("a"), F.col("doc_id").alias("b"))
