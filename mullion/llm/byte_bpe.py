@@ -18,20 +18,23 @@ import base64
 import functools
 import hashlib
 import heapq
+import itertools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Matches longer than this go to the heap.
 LONG_BYTES = 200
-#: Distinct words of one recursive query, characters of text of one batch, cached words of a worker.
-QUERY_WORDS, BATCH_CHARS, CACHE_WORDS = 40_000, 1 << 20, 300_000
+#: Distinct words of one recursive query, characters of text of one batch, words of each half of a worker's cache.
+QUERY_WORDS, BATCH_CHARS, CACHE_WORDS = 40_000, 1 << 20, 250_000
 DUCKDB_MEMORY = "300MB"
 
 #: Words have fewer positions than 1024, so rank and position make one number to take the least of.
@@ -51,7 +54,7 @@ WITH RECURSIVE t(word, step, pos, id, pair) AS (
      CASE WHEN t.pos = p THEN joint ELSE t.id END,
      CASE WHEN t.pos = p THEN hit.pair WHEN t.pos = p - 1 THEN joint ELSE t.pair END
    FROM t JOIN hit ON t.word = hit.word WHERE t.pos <> p + 1))
-SELECT word, list(id ORDER BY pos) AS ids
+SELECT word, list(CAST(id AS INTEGER) ORDER BY pos) AS ids
 FROM t SEMI JOIN (SELECT word, max(step) AS step FROM t GROUP BY word) last ON last.word = t.word AND last.step = t.step
 GROUP BY word
 """
@@ -102,34 +105,45 @@ class Codec:
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
         self.pattern = pretoken_pattern()
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # ids as 32-bit numbers
+        self.older: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str]:
         return (_LATIN_WORDS if _LATIN_TEXT.fullmatch(text) else self.pattern).findall(text)
 
     def learn(self, words: set[str]) -> None:
-        """Adds the ids of words to those known."""
-        known = self.known
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list(words)
-        rest: list[tuple[str, bytes]] = []
-        for w in new:
+        """Adds the ids of words to those known; what hasn't been met for long is forgotten."""
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        rest: list[str] = []
+        plain: list[bytes] = []
+        for w in words:
+            if w in known:
+                continue
+            if (ids := older.get(w)) is not None:
+                known[w] = ids
+                continue
             b = w.encode("utf-8")
             if (whole := self.ranks.get(b)) is not None:
-                known[w] = (whole,)
+                known[w] = whole.to_bytes(4, "little")
             elif len(b) > LONG_BYTES:
-                known[w] = tuple(self.contract(b))
+                known[w] = np.array(self.contract(b), "<i4").tobytes()
             else:
-                rest.append((w, b))
+                rest.append(w)
+                plain.append(b)
         for k in range(0, len(rest), QUERY_WORDS):
-            part = rest[k : k + QUERY_WORDS]
-            self.db.register("words", pa.table({"word": pa.array(range(len(part)), pa.int32()), "bytes": pa.array([b for _, b in part], pa.binary())}))
-            found = self.db.sql(ENCODE).to_arrow_table()
-            for i, ids in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
-                known[part[i][0]] = tuple(ids)
+            part = plain[k : k + QUERY_WORDS]
+            self.db.register("words", pa.table({"word": pa.array(range(len(part)), pa.int32()), "bytes": pa.array(part, pa.binary())}))
+            found = self.db.sql(ENCODE).to_arrow_table().combine_chunks()
             self.db.unregister("words")
+            for lists, at in ((found.column(1).chunk(c), found.column(0).chunk(c)) for c in range(found.column(1).num_chunks)):
+                ids = lists.flatten().to_numpy().astype("<i4").tobytes()
+                ends = (4 * np.cumsum(lists.value_lengths().to_numpy())).tolist()
+                start = 0
+                for i, end in zip(at.to_pylist(), ends, strict=True):
+                    known[rest[k + i]] = ids[start:end]
+                    start = end
 
     def contract(self, word: bytes) -> list[int]:
         """The ids of one long word: the leftmost pair of least rank, again and again, from a heap."""
@@ -150,14 +164,18 @@ class Codec:
                     heapq.heappush(heap, (j, x, ids[x], ids[y]))
         return [x for x in ids if x is not None]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> pa.ListArray:
+        """The ids of each text."""
         split = [self.words(t) for t in texts]
-        distinct = set().union(*split) if split else set()
-        self.learn(distinct)
-        known = self.known
-        return [[i for w in words for i in known[w]] for words in split]
-
-    def decode(self, ids: pa.Array) -> list[bytes]:
+        self.learn(set(itertools.chain.from_iterable(split)))
+        look = self.known.__getitem__
+        ids = [b"".join(map(look, words)) for words in split]
+        offsets = np.zeros(len(ids) + 1, np.int32)
+        np.cumsum([len(i) // 4 for i in ids], out=offsets[1:])
+        flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(ids))])
+        return pa.ListArray.from_arrays(pa.array(offsets), flat)
+
+    def decode(self, ids: pa.ListArray) -> list[bytes]:
         """The bytes of each list of ids: rows join the vocabulary, an ordered aggregation joins them again."""
         rows = pa.table({"row": pa.array(range(len(ids)), pa.int32()), "ids": ids})
         self.db.register("lists", rows)
@@ -200,8 +218,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             for x, y in _runs([len(t) for t in texts], BATCH_CHARS):
-                ids = own.encode(texts[x:y])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), own.encode(texts[x:y])], ["doc_id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, ids array<int>")
@@ -214,7 +231,7 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
         own = codec(vocabulary)
         for b in batches:
             ids = b.column(1)
-            for x, y in _runs([6 * len(i) if i.is_valid else 0 for i in ids], BATCH_CHARS):
+            for x, y in _runs([4 * (n or 0) for n in ids.value_lengths().to_pylist()], BATCH_CHARS):
                 part = ids.slice(x, y - x)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), part, pa.array(own.decode(part), pa.binary())], ["doc_id", "ids", "bytes"])
 
@@ -222,25 +239,32 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, bytes binary")
 
 
-def round_trip(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """docs with each text encoded and decoded again, and all columns it came with; null texts stay null."""
+def round_trip(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
+    """docs with each text encoded and decoded again, and all columns it came with; null texts stay null.
+
+    with_ids: two more columns, ids and n_tokens, under names that docs doesn't have yet.
+    """
     names = docs.columns
     at = names.index(text_col)
+    added = [next(f"{n}{k or ''}" for k in range(len(names) + 1) if f"{n}{k or ''}" not in names) for n in ("ids", "n_tokens")] if with_ids else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
         for b in batches:
-            column = b.column(at)
-            texts = column.to_pylist()
-            done: list[str | None] = []
+            texts = b.column(at).to_pylist()
             for x, y in _runs([len(t or "") for t in texts], BATCH_CHARS):
-                back = own.decode(pa.array(own.encode([t or "" for t in texts[x:y]]), pa.list_(pa.int32())))
-                done += [None if t is None else d.decode("utf-8") for t, d in zip(texts[x:y], back, strict=True)]
-            columns = b.columns
-            columns[at] = pa.array(done, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
-
-    return docs.mapInArrow(run, docs.schema)
+                ids = own.encode([t or "" for t in texts[x:y]])
+                back = own.decode(ids)
+                columns = [c.slice(x, y - x) for c in b.columns]
+                columns[at] = pa.array([None if t is None else d.decode("utf-8") for t, d in zip(texts[x:y], back, strict=True)], pa.string())
+                if added:
+                    columns += [ids, ids.value_lengths().cast(pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, *added])
+
+    schema = docs.schema
+    if added:
+        schema = StructType([*schema.fields, StructField(added[0], ArrayType(IntegerType())), StructField(added[1], LongType())])
+    return docs.mapInArrow(run, schema)
 
 
 def ids_digest(ids: Column) -> Column:
