@@ -40,13 +40,10 @@ DUCKDB_MEMORY = "300MB"
 #: Words have fewer positions than 1024, so rank and position make one number to take the least of.
 ENCODE = """
 WITH RECURSIVE t(word, step, pos, id, pair) AS (
-  SELECT word, 0, pos, id, lead(id) OVER (PARTITION BY word ORDER BY pos)
-  FROM (SELECT word, pos, start.id
-        FROM (SELECT word, unnest(range(1, octet_length(bytes) + 1)) AS pos, bytes FROM words) b
-        JOIN start ON start.byte = substr(hex(b.bytes), 2 * pos - 1, 2))
+  SELECT word, 0, pos, id, pair FROM tokens
   UNION ALL
   (WITH best AS (
-     SELECT word, min(joint * 1024 + pos) AS least FROM t JOIN merges ON merges.a = t.id AND merges.b = t.pair GROUP BY word),
+     SELECT word, min(joint::BIGINT * 1024 + pos) AS least FROM t JOIN merges ON merges.a = t.id AND merges.b = t.pair GROUP BY word),
    hit AS (
      SELECT best.word, least % 1024 AS p, least // 1024 AS joint, t.pair FROM best JOIN t ON t.word = best.word AND t.pos = least % 1024 + 1)
    SELECT t.word, t.step + 1,
@@ -59,9 +56,8 @@ FROM t SEMI JOIN (SELECT word, max(step) AS step FROM t GROUP BY word) last ON l
 GROUP BY word
 """
 DECODE = """
-WITH r AS (SELECT row, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM lists)
-SELECT row, unhex(string_agg(vocab.bytes, '' ORDER BY pos)) AS text, count(*) AS n, count(vocab.id) AS m
-FROM r LEFT JOIN vocab USING (id) GROUP BY row
+SELECT row, unhex(array_to_string(list(vocab.bytes ORDER BY pos), '')) AS text, count(*) AS n, count(vocab.id) AS m
+FROM ids LEFT JOIN vocab USING (id) GROUP BY row
 """
 
 
@@ -99,8 +95,8 @@ class Codec:
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "preserve_insertion_order": False})
         m = pd.DataFrame(merges, columns=["a", "b", "joint"])
         v = pd.DataFrame({"id": list(self.ranks.values()), "bytes": [t.hex().upper() for t in self.ranks]})
-        s = pd.DataFrame({"byte": [f"{b:02X}" for b in range(256)], "id": [self.ranks[bytes([b])] for b in range(256)]})
-        for name, frame in (("merges", m), ("vocab", v), ("start", s)):
+        self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
+        for name, frame in (("merges", m), ("vocab", v)):
             self.db.register("given", frame)
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
@@ -134,9 +130,9 @@ class Codec:
                 plain.append(b)
         for k in range(0, len(rest), QUERY_WORDS):
             part = plain[k : k + QUERY_WORDS]
-            self.db.register("words", pa.table({"word": pa.array(range(len(part)), pa.int32()), "bytes": pa.array(part, pa.binary())}))
+            self.db.register("tokens", self._rows(part))
             found = self.db.sql(ENCODE).to_arrow_table().combine_chunks()
-            self.db.unregister("words")
+            self.db.unregister("tokens")
             for lists, at in ((found.column(1).chunk(c), found.column(0).chunk(c)) for c in range(found.column(1).num_chunks)):
                 ids = lists.flatten().to_numpy().astype("<i4").tobytes()
                 ends = (4 * np.cumsum(lists.value_lengths().to_numpy())).tolist()
@@ -145,6 +141,17 @@ class Codec:
                     known[rest[k + i]] = ids[start:end]
                     start = end
 
+    def _rows(self, words: list[bytes]) -> pa.Table:
+        """(word, pos, id, pair) of the single bytes of some words; pair is the next one's id, null at a word's end."""
+        sizes = np.array([len(w) for w in words])
+        ends = np.cumsum(sizes)
+        ids = self.bytes[np.frombuffer(b"".join(words), np.uint8)]
+        last = np.zeros(len(ids), bool)
+        last[ends - 1] = True
+        pos = np.arange(1, len(ids) + 1) - np.repeat(ends - sizes, sizes)
+        word = np.repeat(np.arange(len(words)), sizes)
+        return pa.table({"word": word.astype(np.int32), "pos": pos.astype(np.int32), "id": ids, "pair": pa.array(np.append(ids[1:], 0), mask=last, type=pa.int32())})
+
     def contract(self, word: bytes) -> list[int]:
         """The ids of one long word: the leftmost pair of least rank, again and again, from a heap."""
         ids: list[int | None] = [self.ranks[bytes([b])] for b in word]
@@ -177,10 +184,11 @@ class Codec:
 
     def decode(self, ids: pa.ListArray) -> list[bytes]:
         """The bytes of each list of ids: rows join the vocabulary, an ordered aggregation joins them again."""
-        rows = pa.table({"row": pa.array(range(len(ids)), pa.int32()), "ids": ids})
-        self.db.register("lists", rows)
+        flat = ids.flatten()
+        sizes = np.nan_to_num(ids.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        self.db.register("ids", pa.table({"row": np.repeat(np.arange(len(ids), dtype=np.int32), sizes), "pos": np.arange(len(flat), dtype=np.int32), "id": flat}))
         found = self.db.sql(DECODE).to_arrow_table()
-        self.db.unregister("lists")
+        self.db.unregister("ids")
         out = [b""] * len(ids)
         for row, text, n, m in zip(*(c.to_pylist() for c in found.columns), strict=True):
             if n != m:
