@@ -53,10 +53,10 @@ def _beside(found: DataFrame) -> DataFrame:
     """Of hits with the words of both sides, those of the document that lie along the item, one row a diagonal."""
     d = F.col("at") - F.col("item_at")
     found = found.select(
-        "doc_id", "key", "item_id", d.alias("diagonal"), "item_words",
+        "doc_id", "key", "item_id", d.alias("diagonal"), "item_words", "n",
         F.slice("words", F.greatest(d, F.lit(0)) + 1, F.greatest(F.size("item_words") + F.least(d, F.lit(0)), F.lit(0))).alias("near"),
     )
-    return found.groupBy("doc_id", "key", "item_id", "diagonal").agg(F.first("near").alias("near"), F.first("item_words").alias("item_words"), F.count("*").alias("hits"))
+    return found.groupBy("doc_id", "key", "item_id", "diagonal").agg(F.first("near").alias("near"), F.first("item_words").alias("item_words"), F.sum("n").alias("hits"))
 
 
 def _confirmed(hits: DataFrame) -> DataFrame:
@@ -76,14 +76,14 @@ def _hits(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str)
     texts = docs
     docs = docs.select("doc_id", "key", word_keys("__text").alias("words"))
     if planted.select(F.lit(1)).limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
-        return _confirmed(_beside(seeds(docs, "words", "doc_id", "key", "words").join(F.broadcast(planted), "seed")))
+        return _confirmed(_beside(seeds(docs, "words", "doc_id", "key", "words").join(F.broadcast(planted), "seed").withColumn("n", F.lit(1))))
     found = seeds(docs, "words", "doc_id", "key").join(planted.drop("item_words"), "seed")
     d = F.col("at") - F.col("item_at")
     found = found.groupBy("doc_id", "key", "item_id", d.alias("diagonal")).agg(F.min("at").alias("at"), F.min("item_at").alias("item_at"), F.count("*").alias("n"))
     texts = texts.dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key"), "__text")
     found = found.join(texts, (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__doc")))
     found = found.join(items, "item_id").withColumn("words", word_keys("__text"))
-    return _confirmed(_beside(found).join(found.select("doc_id", "key", "item_id", d.alias("diagonal"), "n"), ["doc_id", "key", "item_id", "diagonal"]).withColumn("hits", F.col("n")).drop("n"))
+    return _confirmed(_beside(found))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
