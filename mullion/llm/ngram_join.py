@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mullion.llm.common import HashCache, chunks, connected_components, partitions_for, window_hashes, word_hashes, written
+from mullion.llm.common import HashCache, chunks, connected_components, drop_written, partitions_for, window_hashes, word_hashes, written
 
 WORDS = 5
 PERCENT = 75
@@ -547,13 +547,16 @@ def components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     table = written(prefixes(docs, percent, hot_list, **sizes), "shingles")
     found = similar_links(docs, table, percent, block_shingles)
-    groups = table.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("gid"))
+    # written, so that the joins below deal out both sides anew and a digest of very many rows can be split
+    groups = written(table.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("gid")), "groups")
     # a digest's rows join its smallest id; links join the ids of different digests
     shown = table.where("short is not null").select("digest", "doc_id").join(groups, "digest").where("doc_id <> gid").select(F.col("gid").alias("a"), F.col("doc_id").alias("b"))
     labels = connected_components(found.unionByName(shown), "classes").select(F.col("node").alias("gid"), "component")
-    groups = groups.join(labels, "gid", "left").select("digest", F.coalesce("component", "gid").alias("component_id"))
+    groups = written(groups.join(labels, "gid", "left").select("digest", F.coalesce("component", "gid").alias("component_id")), "groups")
     own = table.select("doc_id", "n_shingles", "digest").join(groups, "digest", "left")
-    return own.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    out = written(own.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")), "classes")
+    drop_written(table)
+    return out
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
