@@ -121,7 +121,10 @@ def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "t
     for step in measures("__text"):
         df = df.select(*df.columns, *[c.alias(k) for k, c in step.items()])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return df.where(~failed & (F.size(broken_rules(rules)) == 0)).select("__row.*")
+    # the id is never negative; what depends on it isn't pushed below the steps, where each measure would be written out
+    # again for each use in the condition
+    kept = F.when(F.monotonically_increasing_id() >= 0, ~failed & (F.size(broken_rules(rules)) == 0))
+    return df.select("__row", kept.alias("__kept")).where("__kept").select("__row.*")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
