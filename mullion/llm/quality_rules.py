@@ -103,6 +103,14 @@ def broken_rules(rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_compact(F.array(*tests))
 
 
+def _held(verdict: Column) -> Column:
+    """The verdict, in a form that no filter over it is pushed through.
+
+    Below the steps, a filter would write each measure out again for each of its uses. The id is never negative.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, verdict)
+
+
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, the measures, broken (rule names), base_failed and kept. Never drops a row."""
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
@@ -110,7 +118,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_i
         df = df.select(*df.columns, *[c.alias(k) for k, c in step.items()])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     df = df.withColumns({"broken": broken_rules(rules), "base_failed": failed})
-    df = df.withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
+    df = df.withColumn("kept", _held(~F.col("base_failed") & (F.size("broken") == 0)))
     return df.select(*[c for c in df.columns if not c.startswith("__")])
 
 
@@ -121,9 +129,7 @@ def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "t
     for step in measures("__text"):
         df = df.select(*df.columns, *[c.alias(k) for k, c in step.items()])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    # the id is never negative; what depends on it isn't pushed below the steps, where each measure would be written out
-    # again for each use in the condition
-    kept = F.when(F.monotonically_increasing_id() >= 0, ~failed & (F.size(broken_rules(rules)) == 0))
+    kept = _held(~failed & (F.size(broken_rules(rules)) == 0))
     return df.select("__row", kept.alias("__kept")).where("__kept").select("__row.*")
 
 
