@@ -36,6 +36,8 @@ WINDOW = 35
 BLOCK = (WINDOW + 1) // 2
 #: Offsets that a block can have in a window.
 OFFSETS = WINDOW - BLOCK + 1
+#: The place of rows that stand for a whole document.
+WHOLE = -1
 #: The bit table: 2**28 bits, 32 MB, at most; 2 bits a block.
 MAX_BITS, BITS_PER_BLOCK, TABLE_PARTS = 28, 40, 16
 ROWS_PER_PARTITION = 300_000
@@ -63,17 +65,24 @@ def _passes(table: np.ndarray, blocks: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Fresh:
-    """Which documents of a chunk can have a repeated window and aren't copies of one that the task has seen."""
+    """Which documents of a chunk can have a repeated window and aren't copies of one that the task has seen.
+
+    `digests` has (document, digest of its words, copies seen before) of the chunk's documents of WINDOW words or more.
+    """
 
     def __init__(self) -> None:
-        self.seen: set[bytes] = set()
+        self.seen: dict[bytes, int] = {}
+        self.digests: list[tuple[int, bytes, int]] = []
 
     def __call__(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         alive = np.diff(offsets) >= WINDOW
-        for i in np.flatnonzero(alive):
+        self.digests = []
+        for i in np.flatnonzero(alive).tolist():
             digest = xxhash.xxh3_128_digest(flat[offsets[i] : offsets[i + 1]].tobytes())
-            alive[i] = digest not in self.seen
-            self.seen.add(digest)
+            before = self.seen.get(digest, 0)
+            self.seen[digest] = before + 1
+            self.digests.append((i, digest, before))
+            alive[i] = not before
         return alive
 
 
@@ -163,7 +172,8 @@ def anchors(docs: DataFrame, table: np.ndarray, bits: int) -> DataFrame:
     """The rolling windows that pass the table, with their contexts: one row a distinct context of a block and task.
 
     `own` marks the document's own blocks, which the result needs; `known` has a bit for each offset whose window was
-    found twice within the task. A context is 64 bits a window.
+    found twice within the task. A context is 64 bits a window. Rows of the place WHOLE have a document's digest as their
+    context; a task sends two of each digest to its group, and any more as known copies under hashes of no group.
     """
     held = docs.sparkSession.sparkContext.broadcast(table)
     schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("own", pa.bool_()), ("lead", pa.int8()), ("tail", pa.int8()), ("context", pa.binary()), ("known", pa.int32())])
@@ -174,6 +184,8 @@ def anchors(docs: DataFrame, table: np.ndarray, bits: int) -> DataFrame:
             ids, rows = b.column("doc_id"), b.column("row")
             for start, flat, offsets in _documents(b, "text", cache):
                 whole, doc, at, hit = _rolling(flat, offsets, fresh(flat, offsets))
+                if fresh.digests:
+                    yield pa.RecordBatch.from_arrays(_wholes(fresh.digests, start, ids, rows), schema=schema)
                 hit[hit] = _passes(held.value, whole[hit], bits)
                 p = np.flatnonzero(hit)
                 if not len(p):
@@ -191,6 +203,16 @@ def anchors(docs: DataFrame, table: np.ndarray, bits: int) -> DataFrame:
     return docs.select("doc_id", "row", "text").mapInArrow(run, ANCHOR)
 
 
+def _wholes(digests: list[tuple[int, bytes, int]], start: int, ids: pa.Array, rows: pa.Array) -> list[pa.Array]:
+    of = pa.array([start + i for i, _, _ in digests])
+    named = rows.take(of)
+    block = [int.from_bytes(d[:8], "little", signed=True) if before < 2 else r for (_, d, before), r in zip(digests, named.to_pylist(), strict=True)]
+    same = lambda value, kind: pa.array([value] * len(digests), kind)
+    context = pa.array([d + bytes(OFFSETS * 8 - len(d)) for _, d, _ in digests], pa.binary())
+    known = pa.array([-1 if before > 1 else 0 for *_, before in digests], pa.int32())
+    return [pa.array(block, pa.int64()), ids.take(of), named, same(WHOLE, pa.int32()), same(True, pa.bool_()), same(-1, pa.int8()), same(-1, pa.int8()), context, known]
+
+
 def _combined(block, at, own, lead, tail, context) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(block, known, order): the anchors that go on, in order.
 
@@ -214,7 +236,7 @@ def _combined(block, at, own, lead, tail, context) -> tuple[np.ndarray, np.ndarr
 
 
 def repeats(found: DataFrame, parts: int) -> DataFrame:
-    """(doc_id, row, at, offsets): per own block, the bits of the offsets whose window starts elsewhere too."""
+    """(doc_id, row, at, offsets): per own block, the bits of the offsets whose window starts elsewhere too; WHOLE: a copy."""
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("offsets", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,6 +266,10 @@ def repeats(found: DataFrame, parts: int) -> DataFrame:
             twice[1:] = (h[s][1:] == h[s][:-1]) & (g[s][1:] == g[s][:-1])
             twice[:-1] |= twice[1:]
             bits[i[s[twice]]] |= 1 << o
+        i = np.flatnonzero(lead[order] < 0)  # whole documents, which are valid at no offset
+        if len(i):
+            g = np.unique(context[order[i], :2], axis=0, return_inverse=True)[1].ravel()
+            bits[i[np.bincount(g)[g] > 1]] = -1
         out = own & (bits != 0)
         for k in range(0, int(out.sum()), 50_000):
             j = np.flatnonzero(out)[k : k + 50_000]
@@ -272,23 +298,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(text_col, "UTF-8").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     sizes = ids.agg(F.sum(F.length("text")).alias("bytes")).first()
     blocks = max(1, (sizes["bytes"] or 0) // (6 * BLOCK))
-    bits = min(max_bits, max(16, (blocks * BITS_PER_BLOCK).bit_length()))
+    bits = max(7, min(max_bits, max(16, (blocks * BITS_PER_BLOCK).bit_length())))  # a byte for each part at least
     table = bit_table(ids, bits, bit_table(ids, bits))
     found = anchors(ids, table, bits)
     parts = partitions_for(spark, blocks, ROWS_PER_PARTITION)
     marks = repeats(found, parts).groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "offsets")).alias("marks"))
-    told = marks.withColumn("copy", F.lit(False)).unionByName(_whole_copies(ids).withColumn("marks", F.lit(None).cast(marks.schema["marks"].dataType)))
-    told = told.groupBy("doc_id", "row").agg(F.first("marks", ignorenulls=True).alias("marks"), F.max("copy").alias("copy"))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids_, texts, marks_, copy = (b.column(c).to_pylist() for c in ("doc_id", "text", "marks", "copy"))
+            ids_, texts, marks_ = (b.column(c).to_pylist() for c in ("doc_id", "text", "marks"))
             n_words, n_removed, kept = [], [], []
-            for text, m, c in zip(texts, marks_, copy, strict=True):
+            for text, m in zip(texts, marks_, strict=True):
                 words = text.split() if text else []
                 stay = words
-                if c:
+                if m and any(x["at"] == WHOLE for x in m):
                     stay = []
                 elif m:
                     stay = kept_words(words, [x["at"] for x in m], [x["offsets"] for x in m])
@@ -297,25 +321,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(b" ".join(stay))
             yield pa.RecordBatch.from_arrays([pa.array(ids_, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], schema=schema)
 
-    told = told.select(F.col("doc_id").alias("of"), F.col("row").alias("named"), "marks", "copy")
-    joined = ids.join(told, ids["doc_id"].eqNullSafe(F.col("of")) & (ids["row"] == F.col("named")), "left").select("doc_id", "text", "marks", "copy")
+    told = marks.select(F.col("doc_id").alias("of"), F.col("row").alias("named"), "marks")
+    joined = ids.join(told, ids["doc_id"].eqNullSafe(F.col("of")) & (ids["row"] == F.col("named")), "left").select("doc_id", "text", "marks")
     return joined.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept binary")
 
 
-def _whole_copies(ids: DataFrame) -> DataFrame:
-    """(doc_id, row, copy) of the rows whose whole word sequence, WINDOW words or more, other rows have as well."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words = (t.split() if t else [] for t in b.column("text").to_pylist())
-            digests = [xxhash.xxh3_128_digest(b" ".join(w)) if len(w) >= WINDOW else None for w in words]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(digests, pa.binary())], ["doc_id", "row", "digest"])
-
-    rows = ids.select("doc_id", "row", "text").mapInArrow(run, "doc_id bigint, row bigint, digest binary").where("digest is not null")
-    many = rows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    return rows.join(many, "digest", "left_semi").select("doc_id", "row", F.lit(True).alias("copy")).distinct()
-
-
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
