@@ -31,6 +31,7 @@ def test_select_problems_and_traps(spark):
 
 
 def test_filters_reach_the_scan(spark, tmp_path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
     spark.createDataFrame([], PROBLEMS).write.parquet(f"{tmp_path}/p")
     plan = src.select_problems(src.load_problems(spark, "livecodebench", f"{tmp_path}/p"), "2025-01-01")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(contest_date,2025-01-01)" in plan and "EqualTo(platform,leetcode)" in plan
