@@ -1,12 +1,14 @@
 """WARC: a deterministic sharded writer, and a reader.
 
 Records are range-sorted by page id, written as gzip members into files that roll by compressed size, with headers and
-digests made anew; a record whose payload an earlier page already has becomes a revisit. Every task writes files under
-temporary names; the driver renames those of the tasks that Spark commits and then writes a manifest, so files of lost
-or repeated attempts never count. A reader takes the names from the manifest alone. Equal rows give equal bytes: dates
-come from a parameter, record ids from the page id, order from the sort. Cases: null html: empty payload; null url: the
-target is "about:blank"; null page ids: written without one and read back as null; repeated page ids: each row is a
-record; empty table: a manifest without files; other columns are not read.
+digests made anew. Ranges come from exact counts of ids in bins, not from samples, so they depend on the rows alone. A
+record whose payload an earlier page already has becomes a revisit. Every task writes files under temporary names; the
+driver renames those of the tasks that Spark commits and then writes a manifest, so files of lost or repeated attempts
+never count. A reader takes the names from the manifest alone. Equal rows give equal bytes: dates come from a parameter,
+record ids from the page id, order from the sort.
+
+Cases: null html: empty payload; null url: the target is "about:blank"; null page ids: written without one and read back
+as null; repeated page ids: each row is a record; empty table: a manifest without files; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
@@ -32,7 +34,7 @@ from mullion.llm.common import fresh_path, partitions_for, written
 
 DATE = "2020-01-01T00:00:00Z"
 ROLL_BYTES = 64 << 20
-ROWS_PER_TASK = 20_000
+ROWS_PER_SHARD, BINS = 10_000, 4096
 GZIP_LEVEL = 4
 READ_SCHEMA = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
 
@@ -100,8 +102,7 @@ def read_records(data: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]
 
 @dataclass
 class Rolled(WriterCommitMessage):
-    task: int
-    files: list[tuple[str, int, int]]  # temporary name, records, bytes
+    files: list[tuple[int, int, str, int, int]]  # shard, number in it, temporary name, records, bytes
 
 
 class WarcWriter(DataSourceArrowWriter):
@@ -113,15 +114,21 @@ class WarcWriter(DataSourceArrowWriter):
 
         task = TaskContext.get()
         fs, root = open_fs(self.path)
-        files: list[tuple[str, int, int]] = []
-        out, name, count, size = None, "", 0, 0
+        files: list[tuple[int, int, str, int, int]] = []
+        out, name, count, size, at, number = None, "", 0, 0, None, 0
         told: tuple[int | None, dict[str, int]] = (None, {})
         for b in batches:
-            for page_id, url, html, sha, refers_to in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
+            for shard, page_id, url, html, sha, refers_to in zip(*(b.column(c).to_pylist() for c in ("shard", "page_id", "url", "html", "digest", "refers_to")), strict=True):
                 if html is None:  # stands ahead of the page that it tells of
                     told = (page_id, (told[1] if told[0] == page_id else {}) | {sha: refers_to})
                     continue
                 refers_to = told[1].get(hashlib.sha256(html).hexdigest()) if told[0] == page_id else None
+                if shard != at:
+                    if out is not None:
+                        out.close()
+                        files.append((at, number, name, count, size))
+                        out = None
+                    at, number = shard, 0
                 if out is None:
                     name, count, size = f"_temporary-{task.partitionId():08d}-{task.taskAttemptId()}-{len(files):05d}", 0, 0
                     out = fs.open_output_stream(f"{root}/{name}", compression=None)
@@ -130,21 +137,20 @@ class WarcWriter(DataSourceArrowWriter):
                 count, size = count + 1, size + len(packed)
                 if size >= self.roll:
                     out.close()
-                    files.append((name, count, size))
-                    out = None
+                    files.append((at, number, name, count, size))
+                    out, number = None, number + 1
         if out is not None:
             out.close()
-            files.append((name, count, size))
-        return Rolled(task.partitionId(), files)
+            files.append((at, number, name, count, size))
+        return Rolled(files)
 
     def commit(self, messages: list[Rolled | None]) -> None:
         fs, root = open_fs(self.path)
         listed = []
-        for m in sorted((m for m in messages if m), key=lambda m: m.task):
-            for k, (name, count, size) in enumerate(m.files):
-                final = f"part-{m.task:08d}-{k:05d}.warc.gz"
-                fs.move(f"{root}/{name}", f"{root}/{final}")
-                listed.append({"file": final, "records": count, "bytes": size})
+        for shard, number, name, count, size in sorted(x for m in messages if m for x in m.files):
+            final = f"part-{shard:08d}-{number:05d}.warc.gz"
+            fs.move(f"{root}/{name}", f"{root}/{final}")
+            listed.append({"file": final, "records": count, "bytes": size})
         with fs.open_output_stream(f"{root}/_temporary-manifest") as f:
             f.write("".join(json.dumps(x) + "\n" for x in listed).encode())
         fs.move(f"{root}/_temporary-manifest", f"{root}/manifest.jsonl")
@@ -190,13 +196,35 @@ def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     return own.unionByName(told)
 
 
+def shards(rows: DataFrame) -> tuple[Column, int]:
+    """The shard of a row, by ranges of page ids with about ROWS_PER_SHARD rows each, and how many there are.
+
+    Ids are counted in BINS bins of equal width; a shard is a run of bins. Null ids are in the first.
+    """
+    ends = rows.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high")).first()
+    if ends["low"] is None:
+        return F.lit(0), 1
+    width = (ends["high"] - ends["low"]) // BINS + 1
+    place = F.coalesce(F.floor((F.col("page_id") - ends["low"]) / width).cast("int"), F.lit(0))
+    counts = {r["place"]: r["n"] for r in rows.groupBy(place.alias("place")).agg(F.count("*").alias("n")).collect()}  # BINS rows at most
+    of, shard, held = [], 0, 0
+    for k in range(BINS):
+        if held and held + counts.get(k, 0) > ROWS_PER_SHARD:
+            shard, held = shard + 1, 0
+        held += counts.get(k, 0)
+        of.append(shard)
+    return F.element_at(F.lit(of), place + 1), shard + 1
+
+
 def write_warc(pages: DataFrame, path: str, roll: int = ROLL_BYTES, date: str = DATE, min_bytes: int = 0, **cols: str) -> str:
     """Writes the archives of some pages to a new folder that all executors see, and gives back the folder."""
     spark = pages.sparkSession
     spark.dataSource.register(WarcSink)
     rows = with_revisits(pages, min_bytes=min_bytes, **cols)
-    parts = partitions_for(spark, pages.count(), ROWS_PER_TASK)
-    rows = rows.repartitionByRange(parts, "page_id").sortWithinPartitions("page_id", F.col("html").isNotNull(), "url")
+    shard, n = shards(rows.where("html is not null"))
+    parts = partitions_for(spark, n, 1)
+    rows = rows.withColumn("shard", shard).repartition(parts, "shard")
+    rows = rows.sortWithinPartitions("shard", "page_id", F.col("html").isNotNull(), "url", F.sha2("html", 256))
     rows.write.format("warc_shards").mode("append").option("roll", roll).option("date", date).save(path)
     return path
 
