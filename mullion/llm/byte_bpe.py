@@ -15,11 +15,13 @@ encoded alike; other columns are not read by encode(), and kept by round_trip().
 from __future__ import annotations
 
 import base64
+import contextlib
 import functools
 import hashlib
 import heapq
 import itertools
 import re
+import threading
 from collections.abc import Iterator
 
 import numpy as np
@@ -197,14 +199,24 @@ class Codec:
         return out
 
 
+#: Seconds without a task after which a worker forgets its vocabularies, so that it doesn't hold memory beside other work.
+IDLE_SECONDS = 4.0
 _CODECS: dict[str | None, Codec] = {}
+_IDLE: list[threading.Timer] = []
 
 
-def codec(path: str | None = None) -> Codec:
-    """One codec for each vocabulary and worker process."""
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+@contextlib.contextmanager
+def codec(path: str | None = None) -> Iterator[Codec]:
+    """The worker's codec of a vocabulary, for one task; tasks that follow each other share what it has learnt."""
+    while _IDLE:
+        _IDLE.pop().cancel()
+    own = _CODECS.get(path) or _CODECS.setdefault(path, Codec(path))
+    try:
+        yield own
+    finally:
+        _IDLE.append(threading.Timer(IDLE_SECONDS, _CODECS.clear))
+        _IDLE[-1].daemon = True
+        _IDLE[-1].start()
 
 
 def _runs(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
@@ -222,11 +234,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     """(doc_id, ids) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(vocabulary)
-        for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            for x, y in _runs([len(t) for t in texts], BATCH_CHARS):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), own.encode(texts[x:y])], ["doc_id", "ids"])
+        with codec(vocabulary) as own:
+            for b in batches:
+                texts = [t or "" for t in b.column(1).to_pylist()]
+                for x, y in _runs([len(t) for t in texts], BATCH_CHARS):
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), own.encode(texts[x:y])], ["doc_id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, ids array<int>")
@@ -236,12 +248,12 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, ids, bytes) of every row of (doc_id, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(vocabulary)
-        for b in batches:
-            ids = b.column(1)
-            for x, y in _runs([4 * (n or 0) for n in ids.value_lengths().to_pylist()], BATCH_CHARS):
-                part = ids.slice(x, y - x)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), part, pa.array(own.decode(part), pa.binary())], ["doc_id", "ids", "bytes"])
+        with codec(vocabulary) as own:
+            for b in batches:
+                ids = b.column(1)
+                for x, y in _runs([4 * (n or 0) for n in ids.value_lengths().to_pylist()], BATCH_CHARS):
+                    part = ids.slice(x, y - x)
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), part, pa.array(own.decode(part), pa.binary())], ["doc_id", "ids", "bytes"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, bytes binary")
@@ -257,17 +269,17 @@ def round_trip(docs: DataFrame, text_col: str = "text", vocabulary: str | None =
     added = [next(f"{n}{k or ''}" for k in range(len(names) + 1) if f"{n}{k or ''}" not in names) for n in ("ids", "n_tokens")] if with_ids else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(vocabulary)
-        for b in batches:
-            texts = b.column(at).to_pylist()
-            for x, y in _runs([len(t or "") for t in texts], BATCH_CHARS):
-                ids = own.encode([t or "" for t in texts[x:y]])
-                back = own.decode(ids)
-                columns = [c.slice(x, y - x) for c in b.columns]
-                columns[at] = pa.array([None if t is None else d.decode("utf-8") for t, d in zip(texts[x:y], back, strict=True)], pa.string())
-                if added:
-                    columns += [ids, ids.value_lengths().cast(pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, *added])
+        with codec(vocabulary) as own:
+            for b in batches:
+                texts = b.column(at).to_pylist()
+                for x, y in _runs([len(t or "") for t in texts], BATCH_CHARS):
+                    ids = own.encode([t or "" for t in texts[x:y]])
+                    back = own.decode(ids)
+                    columns = [c.slice(x, y - x) for c in b.columns]
+                    columns[at] = pa.array([None if t is None else d.decode("utf-8") for t, d in zip(texts[x:y], back, strict=True)], pa.string())
+                    if added:
+                        columns += [ids, ids.value_lengths().cast(pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names, *added])
 
     schema = docs.schema
     if added:

@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,7 +68,7 @@ def partitions_for(spark: SparkSession, rows: int, per_partition: int) -> int:
 class HashCache(dict):
     """word -> 64-bit hash; emptied when full, so bounded."""
 
-    def __init__(self, limit: int = 200_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         self.limit = limit
 
@@ -106,15 +107,13 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 def chunks(column, limit: int = CHUNK_BYTES) -> Iterator[tuple]:
     """Runs of texts (an Arrow column or a list) with about `limit` bytes: (first row, list of bytes)."""
-    texts = column if isinstance(column, list) else column.to_pylist()
+    lengths = [len(t or b"") for t in column] if isinstance(column, list) else pc.fill_null(pc.binary_length(column), 0).to_pylist()
     start, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t) if t else 0
-        if held >= limit:
-            yield start, texts[start : i + 1]
+    for i, n in enumerate(lengths):
+        held += n
+        if held >= limit or i + 1 == len(lengths):
+            yield start, column[start : i + 1] if isinstance(column, list) else column.slice(start, i + 1 - start).to_pylist()
             start, held = i + 1, 0
-    if start < len(texts):
-        yield start, texts[start:]
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:

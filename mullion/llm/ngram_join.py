@@ -49,6 +49,8 @@ CLUSTER_SHINGLES_PER_PARTITION = 2_000_000
 BLOCK_SHINGLES = 1_000_000
 #: Lists whose counter is this far over the mean are hot: their smallest document is found by partial aggregation.
 HOT_LIST = 20_000
+#: Ids of dropped documents that are broadcast: some 64 MB at most.
+BROADCAST_IDS = 2_000_000
 #: DivideSkip's weight of a probe against a merge step.
 MU = 0.0085
 
@@ -562,6 +564,9 @@ def components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
 def keep_one(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose doc_id is the smallest of its class, with the columns they came with; rows without id stay."""
     gone = components(docs, percent, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = written(gone, "gone")
+    if gone.count() <= BROADCAST_IDS:  # else texts and ids meet by a shuffle
+        gone = F.broadcast(gone)
     return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
 
 
