@@ -206,7 +206,7 @@ def q_replay_prefix(spark, d):
 
 @query
 def q_split_close(spark, d):
-    parts = _answered(spark, d).where("k <> 10").select("ordinal", "mode", t.split_at_close(F.col("raw_response")).alias("s"))
+    parts = _answered(spark, d).select("ordinal", "mode", t.split_at_close(F.col("raw_response")).alias("s"))
     return parts.select("ordinal", "mode", F.md5("s.think").alias("think"), F.md5(t.escape_html(F.col("s.rest"))).alias("rest"))
 
 

@@ -1,5 +1,7 @@
 """Queries over the pieces of responses, held against plain Python on every response of a table, long texts included."""
 
+import hashlib
+import html
 import re
 
 from mullion.plans.catalogue import QUERIES
@@ -56,3 +58,14 @@ def test_replay_prefix_of_all_responses(spark):
     got = QUERIES["q_replay_prefix"](spark, SF).collect()
     want = {k: ("", "".join(pieces[: int(3.0 / 8.0 * len(pieces))]), text) for k, (text, pieces, _, _) in panes(spark).items()}
     assert {(r.ordinal, r.mode): (r.at_0, r.at_3, r.at_9) for r in got} == want and len(got) == len(want)
+
+
+def test_split_close_of_all_responses(spark):
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    want = {}
+    for r in said(spark):
+        if r.raw_response is not None:
+            head, close, rest = r.raw_response.partition("</think>")
+            want[r.ordinal, r.mode] = md5(head + close), md5(html.escape(rest, quote=False))
+    got = QUERIES["q_split_close"](spark, SF).collect()
+    assert {(r.ordinal, r.mode): (r.think, r.rest) for r in got} == want and len(got) == len(want)
