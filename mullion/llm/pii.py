@@ -42,14 +42,14 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "spelled_email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]| at ) ?[a-z0-9-]{1,63}+ ?(?:\(dot\)|\[dot\]| dot ) ?[a-z]{2,10}+(?![a-z])",
     "local_phone": r"(?<![0-9+(.-])(?<![0-9][\x20])(?:\([0-9]{3}\) ?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])(?![\x20.-][0-9])",
-    "secret": r"(?i)(?<![a-z0-9_/+-])(?:[0-9a-f]{32,128}+|(?:sk|pk|ghp|xox[bp]|akia)[_-]?[a-z0-9]{16,128}+)(?![a-z0-9_/+-])",
+    "secret": r"(?i)(?<![a-z0-9_/+-])(?:[0-9a-f]{32,}+|(?:sk|pk|ghp|xox[bp]|akia)[_-]?[a-z0-9]{16,}+)(?![a-z0-9_/+-])",
     "name": "{names}",
 }
 #: What a text must hold for a kind to be looked for.
 HINTS = {
     "email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][0-9 -]{10}", "phone": "+",
     "spelled_email": r"(?i)(?:\(at\)|\[at\]| at )[^\n]{0,70}(?:\(dot\)|\[dot\]| dot )", "local_phone": r"[0-9]{3}\)? ?[ .-]?[0-9]{3}[ .-][0-9]{4}",
-    "secret": r"[0-9A-Za-z]{20}", "name": "{names}",
+    "secret": r"[0-9A-Za-z]{16}", "name": "{names}",
 }
 #: Gazetteers, with no claim to be complete.
 GIVEN_NAMES = "James Mary Robert Patricia John Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Karen Nancy Daniel Lisa Anna Peter Paul Maria Laura Julia Hans Klaus Jean Pierre Sophie Carlos Ana Luis Carmen".split()

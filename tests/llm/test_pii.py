@@ -49,6 +49,20 @@ def test_added_spans_and_clean_text(spark):
     assert all(got[i] == ["secret"] for i in range(30)) and not any(got[100 + i] for i in range(30))
 
 
+def test_short_and_long_secrets_are_candidates(spark):
+    body = "a1b2c3d4e5f6g7h8i9j"
+    said = [p + body[:n] for p in ("sk-", "ghp_", "xoxb-", "AKIA") for n in (16, 17, 19)] + ["24be64439e3e49cf" * 9, "sk-" + body * 8]
+    rows = list(enumerate(f"é token = {x} here" for x in said))
+    got = {r.doc_id: [(c.start, c.stop) for c in r.found if c.kind == "secret"] for r in m.candidates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: [(10, 10 + len(x))] for i, x in enumerate(said)}
+
+
+def test_short_secrets_are_redacted(spark):
+    secret = "a1b2c3d4e5f6g7h8"
+    rows = [(i, f'some words token = "sk-{secret[i % 16:] + secret[:i % 16]}" here') for i in range(30)]
+    assert {r.text for r in m.redact(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()} == {'some words token = "[SECRET]" here'}
+
+
 def test_redact_keeps_columns(spark):
     schema = "doc_id bigint, text string, found string, votes int"
     rows = [(1, "é mail a@b.co, then 1.2.3.4!", "x", 1), (2, None, "y", 2), (3, "nothing here", None, 3), (4, "a@1.2.3.4", "z", 4)]
