@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import itertools
-import os
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow.compute as pc
-import xxhash
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,42 +18,76 @@ from pyspark.sql import functions as F
 WORD_GAP = r"[\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step hashes at once in a Python worker.
 CHUNK_BYTES = 1 << 20
+GAP = re.compile(rb"[\x20\x09-\x0D]")
+#: Which bytes belong to a word.
+IN_WORD = np.array([not GAP.match(bytes([b])) for b in range(256)], np.int8)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+#: Folders that this process has made, by application.
+_MADE: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a local one only where none is set."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir; a local one only on a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
 
+def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
+    if "://" not in path:
+        path = "file://" + path.removeprefix("file:")
+    return pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
 
-def written(df: DataFrame, name: str) -> DataFrame:
+
+def written(df: DataFrame, name: str, **options: int) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: cuts the lineage and survives lost executors."""
     path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Deletes a table made by written() whose rows are no longer needed."""
-    spark = df.sparkSession
+def delete(spark: SparkSession, *paths: str) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
 
 
+def drop_written(df: DataFrame) -> None:
+    """Deletes a table made by written() whose rows are no longer needed."""
+    delete(df.sparkSession, *{f.rsplit("/", 1)[0] for f in df.inputFiles()})
+
+
+@contextlib.contextmanager
+def only_result(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes, at the end, the folders made inside the block; tables appended to the list that it gives stay."""
+    made = _MADE.setdefault(spark.sparkContext.applicationId, [])
+    before, kept = len(made), []
+    try:
+        yield kept
+    finally:
+        stay = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for df in kept for f in df.inputFiles()}
+        gone = [p for p in made[before:] if p.split(":", 1)[-1].lstrip("/") not in stay]
+        delete(spark, *gone)
+        made[before:] = [p for p in made[before:] if p not in gone]
+
+
 def words_of(text: Column | str) -> Column:
     """The words of a text as an array; null: none."""
     text = F.col(text) if isinstance(text, str) else text
@@ -65,44 +99,68 @@ def partitions_for(spark: SparkSession, rows: int, per_partition: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_partition))
 
 
-class HashCache(dict):
-    """word -> 64-bit hash; emptied when full, so bounded."""
+class Powers:
+    """Powers of an odd number and of its inverse modulo 2**64, as many as were asked for."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = 1 << (n - 1).bit_length()
+            self.up, self.down = (np.multiply.accumulate(np.append(np.uint64(1), np.full(size - 1, x, np.uint64))) for x in (self.BASE, pow(self.BASE, -1, 1 << 64)))
+        return self.up[:n], self.down[:n]
+
 
-    def __init__(self, limit: int = 100_000):
-        super().__init__()
-        self.limit = limit
+POWERS = Powers()
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x ^= x >> np.uint64(32)
+    x *= MIX2
+    x ^= x >> np.uint64(29)
+    x *= MIX
+    x ^= x >> np.uint64(32)
+    return x
 
-def word_hashes(texts: list[bytes | None], cache: HashCache) -> tuple[np.ndarray, np.ndarray]:
+
+def _ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray | int) -> np.ndarray:
+    """A hash of the values in each range from starts to ends, from running sums: order counts, place doesn't."""
+    up, down = POWERS(len(values))
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * down, out=sums[1:])
+    return (sums[ends] - sums[starts]) * up[starts]
+
+
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """The 64-bit hashes of all words of some texts, one after another, and the n+1 offsets of the texts in them."""
-    split = [t.split() if t else [] for t in texts]  # bytes.split() parts at \x20 and \x09-\x0D alone
-    offsets = np.zeros(len(split) + 1, np.int64)
-    np.cumsum([len(w) for w in split], out=offsets[1:])
-    flat = np.fromiter(map(cache.__getitem__, itertools.chain.from_iterable(split)), np.uint64, int(offsets[-1]))
-    return flat, offsets
+    whole = b" ".join(t or b"" for t in texts)
+    hashes, starts, at = [], [], 0
+    while at < len(whole):
+        cut = GAP.search(whole, at + CHUNK_BYTES) if at + CHUNK_BYTES < len(whole) else None
+        end = cut.end() if cut else len(whole)
+        part = np.frombuffer(whole, np.uint8, end - at, at)
+        inside = np.zeros(len(part) + 2, np.int8)
+        inside[1:-1] = IN_WORD[part]
+        edge = np.diff(inside)
+        start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        if len(start):
+            size = (stop - start).astype(np.uint64)
+            hashes.append(_mixed(_ranges(part.astype(np.uint64) + np.uint64(1), start, stop) + size * MIX))
+            starts.append(start + at)
+        at = end
+    flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    ends = np.cumsum([len(t or b"") + 1 for t in texts]) if texts else np.zeros(0, np.int64)
+    held = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+    return flat, np.append(0, np.searchsorted(held, ends)).astype(np.int64)
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """A hash of every window of `size` consecutive hashes (windows over text ends included)."""
-    n = len(words) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        out = words[:n] * MIX
-        for k in range(1, size):
-            out ^= out >> np.uint64(29)
-            out *= MIX2
-            out += words[k : k + n]
-        out ^= out >> np.uint64(32)
-        out *= MIX
-        out ^= out >> np.uint64(29)
-    return out
+    starts = np.arange(max(0, len(words) - size + 1))
+    return _mixed(_ranges(words, starts, starts + size)) if len(starts) else np.zeros(0, np.uint64)
 
 
 def chunks(column, limit: int = CHUNK_BYTES) -> Iterator[tuple]:
@@ -151,8 +209,3 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     return labels
-
-
-def remove_local(path: str) -> None:
-    if os.path.exists(path):
-        os.unlink(path)

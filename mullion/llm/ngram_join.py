@@ -3,11 +3,12 @@
 Two documents link when 100 * |A n B| >= 75 * |A u B| of their sets of distinct 5-word shingles (64-bit hashes).
 
 The distributed part of DivideSkip. A partner y of x shares T >= ceil(0.75 |x|) shingles with it. Of x's lists, the T-1
-longest are never merged, only probed; so any partner stands in one of the |x|-T+1 shortest, and only those are moved. (Of a pair, the smaller set has a partner's shingle among still
-fewer: T >= 6/7 |x| there. Lists without an entry of that kind lead nowhere.)
-List lengths come from a sketch of fixed size over all shingles of all documents: counters, and bits for what occurs
-twice; so lists of one document, which lead to nobody, come first. The sketch only orders the lists, any order gives
-whole results. Documents that meet in a short list form candidate clusters, found as components of star
+longest are never merged, only probed; so any partner stands in one of the |x|-T+1 shortest, and of those only lists of
+two documents or more are moved. (Of a pair, the smaller set has a partner's shingle among still fewer: T >= 6/7 |x|
+there. Lists without an entry of that kind lead nowhere.) List lengths are exact counts over all documents, made and told
+back by ranges of the hash space (mullion.llm.exchange), so the order of lists is as sharp at any size of corpus: what
+most texts have only in common with themselves costs nothing, and a text reaches a list of common words only where over
+three quarters of it are such. Documents that meet in a short list form candidate clusters, found as components of star
 edges, one edge a posting, never all pairs. Each cluster's documents then come together with their full sets, where
 DivideSkip itself runs: heap-merge of short lists with skips, binary probes of long ones, and the exact overlap needed
 for the two sizes. Within a cluster, documents already linked to one another aren't searched again: first each document
@@ -31,23 +32,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mullion.llm.common import HashCache, chunks, connected_components, drop_written, partitions_for, window_hashes, word_hashes, written
+from mullion.llm.common import chunks, connected_components, only_result, partitions_for, window_hashes, word_hashes, written
+from mullion.llm.exchange import CHUNK_BYTES, HELD, Told, bits_for, chunked, runs, tell
 
 WORDS = 5
 PERCENT = 75
-#: The sketch: 2**22 counters (16 MB) and 2**28 bits (32 MB) at most, however large the corpus.
-SKETCH_BITS, TWICE_BITS = 22, 28
-SKETCH_PARTS = 16
 POSTINGS_PER_PARTITION = 1_500_000
 CLUSTER_SHINGLES_PER_PARTITION = 2_000_000
 #: Shingles of a cluster's documents that come together in one task.
 BLOCK_SHINGLES = 1_000_000
-#: Lists whose counter is this far over the mean are hot: their smallest document is found by partial aggregation.
+#: Lists of so many documents are hot: their smallest document is found by partial aggregation.
 HOT_LIST = 20_000
 #: Ids of dropped documents that are broadcast: some 64 MB at most.
 BROADCAST_IDS = 2_000_000
@@ -60,9 +57,9 @@ def overlap_needed(n: int, m: int, percent: int = PERCENT) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def shingles(texts: list[bytes | None], cache: HashCache, size: int = WORDS) -> list[np.ndarray]:
+def shingles(texts: list[bytes | None], size: int = WORDS) -> list[np.ndarray]:
     """The shingle hashes of each text, with repeats, in text order."""
-    flat, offsets = word_hashes([t.lower() if t else t for t in texts], cache)  # bytes.lower() changes A-Z alone
+    flat, offsets = word_hashes([t.lower() if t else t for t in texts])  # bytes.lower() changes A-Z alone
     whole = window_hashes(flat, size)
     out = []
     for a, b in itertools.pairwise(offsets.tolist()):
@@ -76,127 +73,58 @@ def shingles(texts: list[bytes | None], cache: HashCache, size: int = WORDS) ->
     return out
 
 
-# -- the sketch of list lengths --------------------------------------------------------------------------------------
-
-
-class Sketch:
-    """Counters of shingles by the top bits of their hash, and a bit for each slot that two shingles have met."""
-
-    def __init__(self, counts: np.ndarray, twice: np.ndarray):
-        self.counts, self.twice = counts, twice
-        self.shift, self.slot = np.uint64(64 - len(counts).bit_length() + 1), np.uint64(64 - (8 * len(twice)).bit_length() + 1)
-
-    def order(self, own: np.ndarray) -> np.ndarray:
-        """A number for each shingle, small for short lists."""
-        slot = own >> self.slot
-        met = (self.twice[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1
-        return np.where(met, self.counts[(own >> self.shift).astype(np.int64)], 0)
-
-
-def sketch(docs: DataFrame, bits: int = SKETCH_BITS, twice_bits: int = TWICE_BITS) -> Sketch:
-    """The sketch of all shingles of all documents. Tasks' tables are joined in two rounds, so none reads many of them."""
-    size, part = 1 << bits, (1 << bits) // SKETCH_PARTS
-    slots, some = 1 << (twice_bits - 3), (1 << (twice_bits - 3)) // SKETCH_PARTS
-    shift, to_slot = np.uint64(64 - bits), np.uint64(64 - twice_bits)
-
-    def mark(table: np.ndarray, slot: np.ndarray) -> None:
-        np.bitwise_or.at(table, (slot >> np.uint64(3)).astype(np.int64), (1 << (slot & np.uint64(7))).astype(np.uint8))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, once, twice, cache = np.zeros(size, np.uint32), np.zeros(slots, np.uint8), np.zeros(slots, np.uint8), HashCache()
-        for b in batches:
-            for _, texts in chunks(b.column(0)):
-                flat = np.concatenate(shingles(texts, cache))
-                np.add.at(total, (flat >> shift).astype(np.int64), np.uint32(1))
-                slot = np.sort(flat >> to_slot)
-                again = np.zeros(len(slot), bool)
-                again[1:] = slot[1:] == slot[:-1]
-                mark(twice, slot[again])
-                slot = slot[~again]
-                mark(twice, slot[(once[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1])
-                mark(once, slot)
-        task = TaskContext.get().partitionId()
-        for k in range(SKETCH_PARTS):
-            x = slice(k * some, (k + 1) * some)
-            yield _sketch_row(k, task % 32, total[k * part : (k + 1) * part], once[x], twice[x])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for b in batches:
-            for k, _, counts, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                more = _unpacked(counts, np.uint32).astype(np.uint64), _unpacked(x, np.uint8), _unpacked(y, np.uint8)
-                if k in held:
-                    before = held[k]
-                    more = np.minimum(before[0] + more[0], 0xFFFFFFFF), before[1] | more[1], before[2] | more[2] | (before[1] & more[1])
-                held[k] = more
-        for k, (counts, once, twice) in held.items():
-            yield _sketch_row(k, 0, counts.astype(np.uint32), once, twice)
-
-    schema = "part int, salt int, counts binary, once binary, twice binary"
-    counted = docs.select(F.encode("text", "UTF-8")).mapInArrow(count, schema)
-    counted = counted.repartition("part", "salt").mapInArrow(add, schema).repartition("part").mapInArrow(add, schema)
-    counts, twice = np.zeros(size, np.uint32), np.zeros(slots, np.uint8)
-    for row in counted.select("part", "counts", "twice").toLocalIterator():  # 16 parts of a fixed size
-        counts[row.part * part : (row.part + 1) * part] = _unpacked(row.counts, np.uint32)
-        twice[row.part * some : (row.part + 1) * some] = _unpacked(row.twice, np.uint8)
-    return Sketch(counts, twice)
-
-
-def _sketch_row(part: int, salt: int, *tables: np.ndarray) -> pa.RecordBatch:
-    """A part of a task's tables, packed: one task's are mostly zeros."""
-    packed = [pa.array([zstandard.compress(t.tobytes(), 1)], pa.binary()) for t in tables]
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([salt], pa.int32()), *packed], ["part", "salt", "counts", "once", "twice"])
-
-
-def _unpacked(data: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), kind)
+# -- list lengths ----------------------------------------------------------------------------------------------------
+
+
+def list_lengths(src: DataFrame, shingles_: int, bits: int, held: int) -> str:
+    """The folder of the lengths of all lists of two documents or more, by chunk; src is made by chunked()."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, None]]:
+        for chunk, part in runs(batches):
+            sets = [np.unique(x) for x in shingles(part.column("text").to_pylist())]
+            yield chunk, np.concatenate(sets), None
+
+    rows = src.where("doc_id is not null").select("text", "chunk")
+    return tell(rows, of, lambda n, _: n > 1, shingles_, bits, "lengths", held)
 
 
 # -- short lists and candidate clusters ------------------------------------------------------------------------------
 
 
-def prefixes(docs: DataFrame, percent: int = PERCENT, hot_list: int = HOT_LIST, **sizes: int) -> DataFrame:
+def prefixes(src: DataFrame, lengths: str, bits: int, percent: int = PERCENT, hot_list: int = HOT_LIST) -> DataFrame:
     """Per row: doc_id, n_shingles, a digest of the set, and the shingles of its short lists, hot ones apart.
 
-    Short lists are null for rows without shingles or id, and for a set that its task has seen before: the digest links
-    those rows.
+    Lists of one document are left out. Short lists are null for rows without shingles or id, and for a set that its task
+    has seen before: the digest links those rows.
     """
-    made = sketch(docs, **sizes)
-    limit = hot_list + 8 * int(made.counts.mean())
-    held = docs.sparkSession.sparkContext.broadcast(made)
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("short", pa.list_(pa.int64())), ("n_index", pa.int32()), ("hot", pa.list_(pa.int64()))])
 
+    def short_lists(own: np.ndarray, told: Told) -> tuple[np.ndarray, int, np.ndarray | None]:
+        n = len(own)
+        freq = told.count(own)
+        order = np.argsort(freq, kind="stable")[: n - -(-percent * n // 100) + 1]  # by length, then by hash: own is sorted
+        own, freq = own[order], freq[order]
+        index = np.arange(len(own)) < n - -(-2 * percent * n // (100 + percent)) + 1
+        plain, over = (freq > 0) & (freq < hot_list), freq >= hot_list
+        return own[plain].view(np.int64), int((plain & index).sum()), own[over].view(np.int64) if over.any() else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order_of, cache, seen = held.value.order, HashCache(), set()
-        for b in batches:
-            for start, texts in chunks(b.column(1)):
-                ids = b.column(0).slice(start, len(texts)).to_pylist()
-                sizes, digests, short, index, hot = [], [], [], [], []
-                for doc, flat in zip(ids, shingles(texts, cache), strict=True):
-                    own = np.unique(flat)
-                    n = len(own)
-                    digest = xxhash.xxh3_128_digest(own.tobytes()) if n else None
-                    sizes.append(n)
-                    digests.append(digest)
-                    if not n or doc is None or digest in seen:
-                        short.append(None)
-                        index.append(None)
-                        hot.append(None)
-                        continue
+        told, seen = Told(lengths, bits), set()
+        for chunk, part in runs(batches):
+            told.turn_to(chunk)
+            ids = part.column("doc_id").to_pylist()
+            rows = []
+            for doc, flat in zip(ids, shingles(part.column("text").to_pylist()), strict=True):
+                own = np.unique(flat)
+                digest = xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None
+                if digest is None or doc is None or digest in seen:
+                    rows.append((len(own), digest, None, None, None))
+                else:
                     seen.add(digest)
-                    length = n - -(-percent * n // 100) + 1
-                    freq = order_of(own)
-                    if length < n:
-                        # by counter, then by hash: own is sorted, and the sort is stable
-                        order = np.argsort(freq, kind="stable")[:length]
-                        own, freq = own[order], freq[order]
-                    over = freq >= limit
-                    short.append(own[~over].view(np.int64))
-                    index.append(int((~over[: n - -(-2 * percent * n // (100 + percent)) + 1]).sum()))
-                    hot.append(own[over].view(np.int64) if over.any() else None)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(short, pa.list_(pa.int64())), pa.array(index, pa.int32()), pa.array(hot, pa.list_(pa.int64()))], schema=schema)
+                    rows.append((len(own), digest, *short_lists(own, told)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[1:], strict=True))], schema=schema)
 
-    return docs.select("doc_id", F.encode("text", "UTF-8").alias("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, short array<bigint>, n_index int, hot array<bigint>")
+    return src.select("doc_id", "text", "chunk").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, short array<bigint>, n_index int, hot array<bigint>")
 
 
 def star_edges(postings: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -453,9 +381,9 @@ class Block:
         return out
 
 
-def _sets(rows: list[tuple], cache: HashCache) -> list[np.ndarray]:
+def _sets(rows: list[tuple]) -> list[np.ndarray]:
     """The sets of some rows, the text last."""
-    return [np.unique(s) for _, texts in chunks([r[-1] for r in rows]) for s in shingles(texts, cache)]
+    return [np.unique(s) for _, texts in chunks([r[-1] for r in rows]) for s in shingles(texts)]
 
 
 def _in_runs(rows: Iterator[tuple], limit: int = 1 << 20) -> Iterator[list[tuple]]:
@@ -474,23 +402,23 @@ def _search_blocks(rows: DataFrame, n_shingles: int, percent: int, between: bool
     parts = partitions_for(rows.sparkSession, n_shingles, CLUSTER_SHINGLES_PER_PARTITION)
     rows = rows.select("cluster", "block", "asked", "class", "doc_id", "text").repartition(parts, "cluster", "block").sortWithinPartitions("cluster", "block", "asked", "doc_id")
 
-    def found(key: tuple, own: Iterator[tuple], cache: HashCache) -> Iterator[list[tuple[int, int]]]:
+    def found(own: Iterator[tuple]) -> Iterator[list[tuple[int, int]]]:
         block = None
         for asked, part in itertools.groupby(own, key=lambda r: r[2]):
             if not asked:
                 part = list(part)
                 if not between:
-                    yield links_within([r[4] for r in part], _sets(part, cache), percent)
+                    yield links_within([r[4] for r in part], _sets(part), percent)
                     continue
-                block = Block([(r[4], r[3], s) for r, s in zip(part, _sets(part, cache), strict=True)], percent)
+                block = Block([(r[4], r[3], s) for r, s in zip(part, _sets(part), strict=True)], percent)
             elif block:
                 for some in _in_runs(part):
-                    yield [x for r, s in zip(some, _sets(some, cache), strict=True) for x in block.query(r[4], r[3], s)]
+                    yield [x for r, s in zip(some, _sets(some), strict=True) for x in block.query(r[4], r[3], s)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, cache = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), HashCache()
-        for key, own in itertools.groupby(rows, key=lambda r: r[:2]):
-            for links in found(key, own, cache):
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for _, own in itertools.groupby(rows, key=lambda r: r[:2]):
+            for links in found(own):
                 if links:
                     a, b = zip(*links, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -515,7 +443,7 @@ def similar_links(docs: DataFrame, table: DataFrame, percent: int = PERCENT, blo
     clusters = clusters.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     clusters = written(clusters.select("doc_id", "cluster", "n_shingles", "block", "blocks"), "clusters")
     n_near = clusters.agg(F.sum("n_shingles").alias("n")).first().n or 0
-    texts = docs.select("doc_id", F.encode("text", "UTF-8").alias("text"))
+    texts = docs.select("doc_id", "text")
     members = clusters.join(texts, "doc_id")
     plain = members.select("cluster", "block", F.lit(False).alias("asked"), F.lit(0).cast("long").alias("class"), "doc_id", "text")
     found = written(_search_blocks(plain, n_near, percent, False), "links")
@@ -544,21 +472,27 @@ def similar_links(docs: DataFrame, table: DataFrame, percent: int = PERCENT, blo
 # -- results ---------------------------------------------------------------------------------------------------------
 
 
-def components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = BLOCK_SHINGLES, hot_list: int = HOT_LIST, **sizes: int) -> DataFrame:
+def components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", block_shingles: int = BLOCK_SHINGLES, hot_list: int = HOT_LIST, chunk_bytes: int = CHUNK_BYTES, held: int = HELD) -> DataFrame:
     """Per row: doc_id, n_shingles and component_id, the smallest doc_id that links reach."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    table = written(prefixes(docs, percent, hot_list, **sizes), "shingles")
-    found = similar_links(docs, table, percent, block_shingles)
-    # written, so that the joins below deal out both sides anew and a digest of very many rows can be split
-    groups = written(table.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("gid")), "groups")
-    # a digest's rows join its smallest id; links join the ids of different digests
-    shown = table.where("short is not null").select("digest", "doc_id").join(groups, "digest").where("doc_id <> gid").select(F.col("gid").alias("a"), F.col("doc_id").alias("b"))
-    labels = connected_components(found.unionByName(shown), "classes").select(F.col("node").alias("gid"), "component")
-    groups = written(groups.join(labels, "gid", "left").select("digest", F.coalesce("component", "gid").alias("component_id")), "groups")
-    own = table.select("doc_id", "n_shingles", "digest").join(groups, "digest", "left")
-    out = written(own.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")), "classes")
-    drop_written(table)
-    return out
+    spark = docs.sparkSession
+    with only_result(spark) as kept:
+        src = chunked(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col), "UTF-8").alias("text")), "texts", chunk_bytes)
+        size = (src.agg(F.sum("size").alias("n")).first()["n"] or 0) // 6 + 1
+        bits = bits_for(size)
+        table = written(prefixes(src, list_lengths(src, size, bits, held), bits, percent, hot_list), "shingles")
+        found = similar_links(src, table, percent, block_shingles)
+        # written, so that the joins below deal out both sides anew and a digest of very many rows can be split
+        keyed = table.where("digest is not null and doc_id is not null")
+        groups = written(keyed.groupBy("digest").agg(F.min("doc_id").alias("gid")), "groups")
+        # a digest's rows join its smallest id; links join the ids of different digests, and an id its own digests
+        several = keyed.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("doc_id")
+        shown = keyed.where("short is not null").select("digest", "doc_id").unionByName(keyed.select("digest", "doc_id").join(several, "doc_id").select("digest", "doc_id").distinct())
+        shown = shown.join(groups, "digest").where("doc_id <> gid").select(F.col("gid").alias("a"), F.col("doc_id").alias("b"))
+        labels = connected_components(found.unionByName(shown), "classes").select(F.col("node").alias("gid"), "component")
+        groups = written(groups.join(labels, "gid", "left").select("digest", F.coalesce("component", "gid").alias("component_id")), "groups")
+        own = table.select("doc_id", "n_shingles", "digest").join(groups, "digest", "left")
+        kept.append(written(own.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")), "classes"))
+    return kept[0]
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

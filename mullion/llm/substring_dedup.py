@@ -3,16 +3,13 @@
 A window is `WINDOW` consecutive words of one document; a word goes when it is covered by a window whose word sequence
 also starts anywhere else. A window of 2b-1 words holds one whole block of a document's non-overlapping blocks of b
 words, so: (1) index the blocks of all documents; (2) probe the index with every rolling b-word window of all documents;
-(3) where a block meets other occurrences, extend to both sides: hashes of the 35-word windows around the anchor, one
-for each offset the block can have in a window, show how far two occurrences agree, and the offsets that agree somewhere
-else are the maximal exact repeats.
+(3) extend the hits to both sides: every window that holds a hit is compared, as a whole, with all other such windows, and
+windows that lie side by side make up the maximal exact repeats.
 
-The index that the probes meet first is a bit table of bounded size; a second table of that size has what the probes
-found twice. So windows without a partner, the own ones of the blocks included, mostly don't leave their task; those
-that pass are grouped by block hash in one shuffle, which decides exactly (64 bits of block, 64 of context). Tables that
-fill up as the corpus grows let more windows through and lose nothing. Copies of a whole document (same words) meet by a
-digest: one of them per task goes on, all are removed whole. Occurrences with the same context in one task are combined
-before the shuffle, and those that need no more answer are dealt out by themselves.
+Index and probes meet by ranges of the hash space (mullion.llm.exchange): each chunk of texts sends its distinct rolling
+hashes, packed and with a mark on its blocks, and gets back those that are a block of some document and occur twice or
+more. The windows around these hits meet in the same way, by a hash of all their words (63 bits). So texts move nowhere,
+both exchanges grow with the corpus and with nothing else, and a passage in very many documents is one entry a chunk.
 
 Cases: null or wordless text: no words, nothing removed; fewer than WINDOW words: nothing removed; a window overlapping
 another of the same text counts; repeated rows are copies of each other; null or repeated doc_ids: results keep a row for
@@ -25,305 +22,104 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mullion.llm.common import HashCache, chunks, partitions_for, window_hashes, word_hashes
+from mullion.llm.common import delete, window_hashes, word_hashes
+from mullion.llm.exchange import CHUNK_BYTES, HELD, Told, bits_for, chunked, runs, tell
 
 WINDOW = 35
 BLOCK = (WINDOW + 1) // 2
-#: Offsets that a block can have in a window.
-OFFSETS = WINDOW - BLOCK + 1
-#: The place of rows that stand for a whole document.
-WHOLE = -1
-#: The bit table: 2**28 bits, 32 MB, at most; 2 bits a block.
-MAX_BITS, BITS_PER_BLOCK, TABLE_PARTS = 28, 40, 16
-ROWS_PER_PARTITION = 300_000
-ANCHOR = "block bigint, doc_id bigint, row bigint, at int, own boolean, lead tinyint, tail tinyint, context binary, known int"
+#: Bits of the hash of a whole window.
+WINDOW_BITS = 63
 
 
-def _places(blocks: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of each block hash."""
-    return blocks >> np.uint64(64 - bits), (blocks * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
-
-
-def _test(table: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return (table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
-def _set(table: np.ndarray, place: np.ndarray) -> None:
-    np.bitwise_or.at(table, (place >> np.uint64(3)).astype(np.int64), (1 << (place & np.uint64(7))).astype(np.uint8))
-
-
-def _passes(table: np.ndarray, blocks: np.ndarray, bits: int) -> np.ndarray:
-    x, y = _places(blocks, bits)
-    hit = _test(table, x)
-    hit[hit] = _test(table, y[hit])
-    return hit
-
-
-class Fresh:
-    """Which documents of a chunk can have a repeated window and aren't copies of one that the task has seen.
-
-    `digests` has (document, digest of its words, copies seen before) of the chunk's documents of WINDOW words or more.
-    """
-
-    def __init__(self) -> None:
-        self.seen: dict[bytes, int] = {}
-        self.digests: list[tuple[int, bytes, int]] = []
-
-    def __call__(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        alive = np.diff(offsets) >= WINDOW
-        self.digests = []
-        for i in np.flatnonzero(alive).tolist():
-            digest = xxhash.xxh3_128_digest(flat[offsets[i] : offsets[i + 1]].tobytes())
-            before = self.seen.get(digest, 0)
-            self.seen[digest] = before + 1
-            self.digests.append((i, digest, before))
-            alive[i] = not before
-        return alive
-
-
-def _documents(batch: pa.RecordBatch, column: str, cache: HashCache) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    for start, texts in chunks(batch.column(column)):
-        yield start, *word_hashes(texts, cache)
-
-
-def _rolling(flat: np.ndarray, offsets: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, document and place in it of every rolling window of BLOCK words, and which lie in a living document."""
+def _places(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word of some documents its place in its document, and how many words follow from it on."""
     n = np.diff(offsets)
-    whole = window_hashes(flat, BLOCK)
-    doc = np.repeat(np.arange(len(n)), n)[: len(whole)]
-    at = np.arange(len(whole)) - offsets[doc]
-    return whole, doc, at, alive[doc] & (at + BLOCK <= n[doc])
-
-
-def bit_table(docs: DataFrame, bits: int, within: np.ndarray | None = None) -> np.ndarray:
-    """The bit table of all documents' blocks; or, given it, that of what the rolling windows in it hold twice.
-
-    A task's tables go out in parts, which are joined in two rounds, so no task reads many: once = or, twice = or of both
-    and of what is once in either.
-    """
-    size = 1 << (bits - 3)
-    part = size // TABLE_PARTS
-    held = docs.sparkSession.sparkContext.broadcast(within)
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice, cache, fresh = np.zeros(size, np.uint8), np.zeros(size, np.uint8), HashCache(), Fresh()
-        table = held.value
-        for b in batches:
-            for _, flat, offsets in _documents(b, "text", cache):
-                whole, _, at, hit = _rolling(flat, offsets, fresh(flat, offsets))
-                if table is None:
-                    for place in _places(whole[hit & (at % BLOCK == 0)], bits):
-                        _set(once, place)
-                    continue
-                blocks = whole[hit]
-                blocks = blocks[_passes(table, blocks, bits)]
-                for place in _places(blocks, bits):
-                    place, n = np.unique(place, return_counts=True)
-                    _set(twice, place[(n > 1) | _test(once, place)])
-                    _set(once, place)
-        task = TaskContext.get().partitionId()
-        yield _parts([(k, task % 32, once[k * part : (k + 1) * part].tobytes(), b"" if table is None else twice[k * part : (k + 1) * part].tobytes()) for k in range(TABLE_PARTS)])
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for b in batches:
-            for k, _, x, y in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                once, twice = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-                if k in held:
-                    before = held[k]
-                    twice = before[1] | twice | (before[0] & once) if len(twice) else twice
-                    once = before[0] | once
-                held[k] = once, twice
-        for k, (once, twice) in held.items():
-            yield _parts([(k, 0, once.tobytes(), twice.tobytes())])
-
-    schema = "part int, salt int, once binary, twice binary"
-    made = docs.select("text").mapInArrow(mark, schema)
-    made = made.repartition("part", "salt").mapInArrow(join, schema).repartition("part").mapInArrow(join, schema)
-    table = np.zeros(size, np.uint8)
-    for r in made.select("part", "once" if within is None else "twice").toLocalIterator():  # 16 parts of a bounded size
-        table[r[0] * part : (r[0] + 1) * part] = np.frombuffer(r[1], np.uint8)
-    return table
-
-
-def _parts(rows: list[tuple]) -> pa.RecordBatch:
-    k, salt, once, twice = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(salt, pa.int32()), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], ["part", "salt", "once", "twice"])
-
-
-def _contexts(wide: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """For anchors at `starts`, the hash of the window at each offset, as a matrix; out of range: any value."""
-    at = starts[:, None] - np.arange(OFFSETS)[None, :]
-    return wide[np.clip(at, 0, max(len(wide) - 1, 0))] if len(wide) else np.zeros((len(starts), OFFSETS), np.uint64)
-
-
-def _valid(lead: np.ndarray, tail: np.ndarray) -> np.ndarray:
-    """Which offsets leave the window inside its document: lead and tail words stand before and after the block."""
-    o = np.arange(OFFSETS)[None, :]
-    return (o <= lead[:, None]) & (WINDOW - BLOCK - o <= tail[:, None])
-
-
-def anchors(docs: DataFrame, table: np.ndarray, bits: int) -> DataFrame:
-    """The rolling windows that pass the table, with their contexts: one row a distinct context of a block and task.
-
-    `own` marks the document's own blocks, which the result needs; `known` has a bit for each offset whose window was
-    found twice within the task. A context is 64 bits a window. Rows of the place WHOLE have a document's digest as their
-    context; a task sends two of each digest to its group, and any more as known copies under hashes of no group.
-    """
-    held = docs.sparkSession.sparkContext.broadcast(table)
-    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("own", pa.bool_()), ("lead", pa.int8()), ("tail", pa.int8()), ("context", pa.binary()), ("known", pa.int32())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, fresh = HashCache(), Fresh()
-        for b in batches:
-            ids, rows = b.column("doc_id"), b.column("row")
-            for start, flat, offsets in _documents(b, "text", cache):
-                whole, doc, at, hit = _rolling(flat, offsets, fresh(flat, offsets))
-                if fresh.digests:
-                    yield pa.RecordBatch.from_arrays(_wholes(fresh.digests, start, ids, rows), schema=schema)
-                hit[hit] = _passes(held.value, whole[hit], bits)
-                p = np.flatnonzero(hit)
-                if not len(p):
-                    continue
-                d, at = doc[p], at[p]
-                after = np.diff(offsets)[d] - at - BLOCK
-                lead, tail = np.minimum(at, OFFSETS - 1).astype(np.int8), np.minimum(after, OFFSETS - 1).astype(np.int8)
-                context = _contexts(window_hashes(flat, WINDOW), p)
-                block, known, order = _combined(whole[p], at, at % BLOCK == 0, lead, tail, context)
-                of = pa.array(start + d[order])
-                data, width = np.ascontiguousarray(context[order]), OFFSETS * 8
-                binary = pa.Array.from_buffers(pa.binary(), len(order), [None, pa.py_buffer((np.arange(len(order) + 1) * width).astype(np.int32)), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([pa.array(block.view(np.int64)), ids.take(of), rows.take(of), pa.array(at[order].astype(np.int32)), pa.array(at[order] % BLOCK == 0), pa.array(lead[order]), pa.array(tail[order]), binary, pa.array(known)], schema=schema)
-
-    return docs.select("doc_id", "row", "text").mapInArrow(run, ANCHOR)
-
-
-def _wholes(digests: list[tuple[int, bytes, int]], start: int, ids: pa.Array, rows: pa.Array) -> list[pa.Array]:
-    of = pa.array([start + i for i, _, _ in digests])
-    named = rows.take(of)
-    block = [int.from_bytes(d[:8], "little", signed=True) if before < 2 else r for (_, d, before), r in zip(digests, named.to_pylist(), strict=True)]
-    same = lambda value, kind: pa.array([value] * len(digests), kind)
-    context = pa.array([d + bytes(OFFSETS * 8 - len(d)) for _, d, _ in digests], pa.binary())
-    known = pa.array([-1 if before > 1 else 0 for *_, before in digests], pa.int32())
-    return [pa.array(block, pa.int64()), ids.take(of), named, same(WHOLE, pa.int32()), same(True, pa.bool_()), same(-1, pa.int8()), same(-1, pa.int8()), context, known]
-
-
-def _combined(block, at, own, lead, tail, context) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(block, known, order): the anchors that go on, in order.
-
-    Of anchors with equal block, context and reach, every window is found twice. One of them goes to its block's group;
-    the others go on only if they are own ones, for their answer, under a block hash of no group.
-    """
-    whole = context * np.arange(1, 2 * OFFSETS, 2, dtype=np.uint64)[None, :]
-    key = np.bitwise_xor.reduce(whole ^ (whole >> np.uint64(31)), axis=1)
-    order = np.lexsort((~own, tail, lead, key, block))
-    same = np.zeros(len(order), bool)
-    x, y = order[1:], order[:-1]
-    same[1:] = (block[x] == block[y]) & (lead[x] == lead[y]) & (tail[x] == tail[y]) & (context[x] == context[y]).all(1)
-    twice = same.copy()
-    twice[:-1] |= same[1:]
-    keep = ~same | own[order]
-    order, twice, same = order[keep], twice[keep], same[keep]
-    known = np.where(twice, (_valid(lead[order], tail[order]) << np.arange(OFFSETS)[None, :]).sum(1), 0).astype(np.int32)
-    sent = block[order]
-    sent[same] ^= (np.arange(1, int(same.sum()) + 1).astype(np.uint64) + at[order][same].astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
-    return sent, known, order
-
-
-def repeats(found: DataFrame, parts: int) -> DataFrame:
-    """(doc_id, row, at, offsets): per own block, the bits of the offsets whose window starts elsewhere too; WHOLE: a copy."""
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("offsets", pa.int32())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        whole = pa.Table.from_batches(held).combine_chunks()
-        block, own, lead, tail, known = (whole.column(c).to_numpy() for c in ("block", "own", "lead", "tail", "known"))
-        order = np.argsort(block, kind="stable")
-        many = np.zeros(len(order), bool)
-        many[1:] = block[order][1:] == block[order][:-1]
-        many[:-1] |= many[1:]
-        order = order[many | (known[order] != 0)]
-        if not len(order):
-            return
-        data = whole.column("context").combine_chunks()
-        data = data.chunk(0) if isinstance(data, pa.ChunkedArray) else data
-        context = np.frombuffer(data.buffers()[2], np.uint64, len(block) * OFFSETS, data.offset * OFFSETS * 8).reshape(-1, OFFSETS)
-        block, own, valid, bits = block[order], own[order], _valid(lead[order], tail[order]), known[order].copy()
-        for o in range(OFFSETS):
-            i = np.flatnonzero(valid[:, o])
-            if not len(i):
-                continue
-            h, g = context[order[i], o], block[i]
-            s = np.lexsort((h, g))
-            twice = np.zeros(len(s), bool)
-            twice[1:] = (h[s][1:] == h[s][:-1]) & (g[s][1:] == g[s][:-1])
-            twice[:-1] |= twice[1:]
-            bits[i[s[twice]]] |= 1 << o
-        i = np.flatnonzero(lead[order] < 0)  # whole documents, which are valid at no offset
-        if len(i):
-            g = np.unique(context[order[i], :2], axis=0, return_inverse=True)[1].ravel()
-            bits[i[np.bincount(g)[g] > 1]] = -1
-        out = own & (bits != 0)
-        for k in range(0, int(out.sum()), 50_000):
-            j = np.flatnonzero(out)[k : k + 50_000]
-            part = whole.select(["doc_id", "row", "at"]).take(pa.array(order[j])).combine_chunks()
-            yield pa.RecordBatch.from_arrays([c.chunk(0) for c in part.columns] + [pa.array(bits[j])], schema=schema)
-
-    return found.repartition(parts, "block").mapInArrow(run, "doc_id bigint, row bigint, at int, offsets int")
-
-
-def kept_words(words: list[bytes], at: list[int], offsets: list[int]) -> list[bytes]:
-    """The words that no repeated window covers; a block at `at` with bit o stands for the window at at - o."""
-    gone = np.zeros(len(words) + 1, np.int32)
-    for a, bits in zip(at, offsets, strict=True):
-        for o in range(OFFSETS):
-            if bits >> o & 1:
-                gone[a - o] += 1
-                gone[a - o + WINDOW] -= 1
-    stays = np.cumsum(gone[:-1]) == 0
-    return [w for w, s in zip(words, stays.tolist(), strict=True) if s]
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
+    at = np.arange(offsets[-1]) - np.repeat(offsets[:-1], n)
+    return at, np.repeat(n, n) - at
+
+
+def _rolling(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of the block-long window at each word, whether it is in a document that can hold a repeat, place, words left."""
+    at, left = _places(offsets)
+    whole = np.zeros(len(flat), np.uint64)
+    made = window_hashes(flat, BLOCK)
+    whole[: len(made)] = made
+    return whole, (left >= BLOCK) & (at + left >= WINDOW), at, left
+
+
+def _words(batches: Iterator[pa.RecordBatch], told: Told | None = None) -> Iterator[tuple]:
+    """(chunk, word hashes, offsets) of the texts, but for chunks of which nothing was told."""
+    for chunk, part in runs(batches):
+        if told is None or told.turn_to(chunk):
+            yield chunk, *word_hashes(part.column("text").to_pylist())
+
+
+def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(chunk, rolling hashes, which of them are the document's own blocks)."""
+    for chunk, flat, offsets in _words(batches):
+        whole, there, at, _ = _rolling(flat, offsets)
+        yield chunk, whole[there], at[there] % BLOCK == 0
+
+
+def extended(batches: Iterator[pa.RecordBatch], hits: Told) -> Iterator[tuple[int, np.ndarray, None]]:
+    """(chunk, hashes of the windows that hold a hit)."""
+    for chunk, flat, offsets in _words(batches, hits):
+        whole, there, _, left = _rolling(flat, offsets)
+        hit = np.zeros(len(flat) + 1, np.int64)
+        there = np.flatnonzero(there)
+        hit[there + 1] = hits.count(whole[there]) > 0
+        np.cumsum(hit, out=hit)
+        start = np.flatnonzero(left >= WINDOW)
+        start = start[hit[start + WINDOW - BLOCK + 1] > hit[start]]
+        yield chunk, window_hashes(flat, WINDOW)[start], None
+
+
+def covered(flat: np.ndarray, offsets: np.ndarray, repeated: Told) -> np.ndarray:
+    """Whether a repeated window covers each word."""
+    gone = np.zeros(len(flat) + 1, np.int64)
+    start = np.flatnonzero(_places(offsets)[1] >= WINDOW)
+    start = start[repeated.count(window_hashes(flat, WINDOW)[start]) > 0]
+    gone[start] += 1
+    gone[start + WINDOW] -= 1
+    return np.cumsum(gone[:-1]) > 0
+
+
+def repeats(src: DataFrame, words: int, held: int = HELD) -> str:
+    """The folder of the hashes of repeated windows, by chunk; src is made by chunked(), `words` is about how many it has."""
+    bits = bits_for(words)
+    hits = tell(src.select("text", "chunk"), probes, lambda n, block: block & (n > 1), words, bits, "hits", held)
+    try:
+        return tell(src.select("text", "chunk"), lambda batches: extended(batches, Told(hits, bits)), lambda n, _: n > 1, words, WINDOW_BITS, "repeats", held)
+    finally:
+        delete(src.sparkSession, hits)
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, held: int = HELD) -> DataFrame:
     """Per row: doc_id, n_words, n_removed and kept, the words that stay joined by a space."""
-    spark = docs.sparkSession
-    # doc_id and a digest of the row name it in every pass, whoever runs it
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(text_col, "UTF-8").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    sizes = ids.agg(F.sum(F.length("text")).alias("bytes")).first()
-    blocks = max(1, (sizes["bytes"] or 0) // (6 * BLOCK))
-    bits = max(7, min(max_bits, max(16, (blocks * BITS_PER_BLOCK).bit_length())))  # a byte for each part at least
-    table = bit_table(ids, bits, bit_table(ids, bits))
-    found = anchors(ids, table, bits)
-    parts = partitions_for(spark, blocks, ROWS_PER_PARTITION)
-    marks = repeats(found, parts).groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "offsets")).alias("marks"))
+    src = chunked(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col), "UTF-8").alias("text")), "texts", chunk_bytes)
+    size = src.agg(F.sum("size").alias("n")).first()["n"] or 0
+    path = repeats(src, size // 6 + 1, held)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids_, texts, marks_ = (b.column(c).to_pylist() for c in ("doc_id", "text", "marks"))
-            n_words, n_removed, kept = [], [], []
-            for text, m in zip(texts, marks_, strict=True):
-                words = text.split() if text else []
-                stay = words
-                if m and any(x["at"] == WHOLE for x in m):
-                    stay = []
-                elif m:
-                    stay = kept_words(words, [x["at"] for x in m], [x["offsets"] for x in m])
-                n_words.append(len(words))
-                n_removed.append(len(words) - len(stay))
-                kept.append(b" ".join(stay))
-            yield pa.RecordBatch.from_arrays([pa.array(ids_, pa.int64()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], schema=schema)
-
-    told = marks.select(F.col("doc_id").alias("of"), F.col("row").alias("named"), "marks")
-    joined = ids.join(told, ids["doc_id"].eqNullSafe(F.col("of")) & (ids["row"] == F.col("named")), "left").select("doc_id", "text", "marks")
-    return joined.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept binary")
+        repeated = Told(path, WINDOW_BITS)
+        for chunk, part in runs(batches):
+            texts = [t.split() if t else [] for t in part.column("text").to_pylist()]
+            n_words = [len(t) for t in texts]
+            if repeated.turn_to(chunk):
+                flat, offsets = word_hashes(part.column("text").to_pylist())
+                gone = covered(flat, offsets, repeated)
+                for i in np.flatnonzero(np.add.reduceat(np.append(gone, False), offsets[:-1]) * (np.diff(offsets) > 0)).tolist():
+                    texts[i] = [w for w, g in zip(texts[i], gone[offsets[i] : offsets[i + 1]].tolist(), strict=True) if not g]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array([n - len(t) for n, t in zip(n_words, texts, strict=True)], pa.int64()), pa.array([b" ".join(t) for t in texts], pa.binary())],
+                schema=schema,
+            )
+
+    return src.select("doc_id", "text", "chunk").mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept binary")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from mullion.llm.common import fresh_path, partitions_for, written
+from mullion.llm.common import fresh_path, open_fs, partitions_for, written
 
 DATE = "2020-01-01T00:00:00Z"
 ROLL_BYTES = 64 << 20
@@ -39,12 +39,6 @@ GZIP_LEVEL = 4
 READ_SCHEMA = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
 
 
-def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
-    if "://" not in path:
-        path = "file://" + path.removeprefix("file:")
-    return pafs.FileSystem.from_uri(path)
-
-
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -7,13 +8,11 @@ from pyspark.sql import functions as F
 from mullion.llm import ngram_join as m
 from tests.llm import plain
 
-SMALL = {"bits": 10, "twice_bits": 16}
 
-
-@pytest.mark.parametrize("how", [{}, {"block_shingles": 400}, {"block_shingles": 150, "hot_list": 0, "bits": 4, "twice_bits": 8}])
+@pytest.mark.parametrize("how", [{}, {"block_shingles": 400, "chunk_bytes": 20_000}, {"block_shingles": 150, "hot_list": 2, "held": 1000}])
 def test_equals_all_pairs(small_docs, how):
     docs, texts = small_docs
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in m.components(docs, **SMALL | how).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in m.components(docs, **how).collect()}
     assert got == plain.components(list(texts.items()))
 
 
@@ -29,9 +28,9 @@ def test_keep_one_and_columns(small_docs, monkeypatch, ids):
 
 def test_nulls_repeats_and_empty_tables(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (9, "A b c d e f"), (5, None)], "doc_id bigint, text string")
-    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id) for r in m.components(docs, **SMALL).collect())
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id) for r in m.components(docs).collect())
     assert got == [(-1, 2, None), (3, 2, 3), (3, 2, 3), (5, 0, 5), (9, 2, 3)]
-    assert m.components(docs.where("false"), **SMALL).count() == 0
+    assert m.components(docs.where("false")).count() == 0
     assert m.keep_one(docs).count() == 4
 
 
@@ -65,7 +64,7 @@ def test_chain_is_one_component(spark):
         rows.append((k, " ".join(base)))
         base[8 * k % 90] = f"x{k}"
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {r.doc_id: r.component_id for r in m.components(docs, **SMALL).collect()}
+    got = {r.doc_id: r.component_id for r in m.components(docs).collect()}
     assert got == {i: c for i, (_, c) in plain.components(rows).items()}
 
 
@@ -75,9 +74,38 @@ def test_lists_are_cut_by_size(spark):
     assert [tuple(r) for r in m.star_edges(postings).collect()] == [(10, 11)]
 
 
-def test_sketch_counts_all(small_docs):
-    docs, texts = small_docs
-    made = m.sketch(docs, 10, 14)
-    total = sum(max(len(plain.words(t)) - 4, 1 if plain.words(t) else 0) for t in texts.values())
-    assert int(made.counts.sum()) == total
-    assert docs.where(F.col("text").isNull()).count() == 1
+def lists_of(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").select("doc_id", F.encode("text", "UTF-8").alias("text"))
+    src = m.chunked(docs, "texts", 5000)
+    return src, m.prefixes(src, m.list_lengths(src, 10_000, 24, 1 << 20), 24)
+
+
+def test_list_lengths_are_exact(spark, small_docs):
+    _, texts = small_docs
+    src, _ = lists_of(spark, list(texts.items()))
+    path = m.list_lengths(src, 10_000, 63, 1 << 20)
+    count = Counter(h for t in texts.values() for h in set(m.shingles([t.encode() if t else t])[0].tolist()))
+    for chunk in {r.chunk for r in src.select("chunk").collect()}:
+        told = m.Told(path, 63)
+        told.turn_to(chunk)
+        for r in src.where(F.col("chunk") == chunk).collect():
+            own = m.shingles([bytes(r.text) if r.text else r.text])[0]
+            assert told.count(own).tolist() == [n if n > 1 else 0 for n in (count[h] for h in own.tolist())]
+
+
+def test_boilerplate_makes_no_cluster(spark):
+    """Four fifths of each text in common with all others: too little to link, and nothing of it is moved as the smaller side."""
+    common = [f"c{i}" for i in range(160)]
+    rows = [(i, " ".join(common + [f"u{i}x{k}" for k in range(44)])) for i in range(3000)]
+    src, table = lists_of(spark, rows)
+    assert table.agg(F.sum("n_index")).first()[0] == 0
+    assert m.similar_links(src, table).count() == 0
+    got = {r.component_id for r in m.components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(got) == len(rows)
+
+
+def test_an_id_with_two_texts_joins_their_classes(spark):
+    a, b = "a b c d e f g", "p q r s t u v"
+    for parts in (1, 3):
+        docs = spark.createDataFrame([(3, a), (5, a), (5, b), (7, b)], "doc_id bigint, text string").repartition(parts)
+        assert {(r.doc_id, r.component_id) for r in m.components(docs).collect()} == {(3, 3), (5, 3), (7, 3)}
