@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -49,3 +50,49 @@ def test_empty_tables(planted):
     docs, bench, _ = planted
     assert m.leaks(docs.where("false"), bench).count() == 0 and m.leaks(docs, bench.where("false")).count() == 0
     assert m.clean(docs, bench.where("false")).count() == docs.count()
+
+
+def overlaps(texts, items):
+    """{(doc, item): (agreed, stretch, places)} by laying every item along every place of every text."""
+    out = {}
+    for d, t in texts.items():
+        own = t.lower().split()
+        for i, text in items.items():
+            words = text.lower().split()
+            stretch = min(len(words), 16)
+            best, places = 0, 0
+            for at in range(1 - len(words), len(own)):
+                same = [0 <= at + k < len(own) and own[at + k] == w for k, w in enumerate(words)]
+                agreed = max(sum(same[p : p + stretch]) for p in range(len(words) - stretch + 1))
+                if 100 * agreed >= 75 * stretch:
+                    best, places = max(best, agreed), places + 1
+            if places and len(words) >= 4:
+                out[d, i] = best, stretch, places
+    return out
+
+
+def test_no_overlap_is_missed(spark):
+    """Items of all lengths, with as many substitutions as the threshold allows: at random, and at every fourth word."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    items = {n: [word() for _ in range(n)] for n in [*range(1, 25), 40]}
+    texts, k = {}, 0
+    for n, words in items.items():
+        for how in range(8):
+            part = list(words)
+            gone = range(how, n, 4) if how < 4 else rng.sample(range(n), min(n, n * 25 // 100 if n < 16 else 4) + (how == 7))
+            for j in gone:
+                part[j] = word()
+            texts[k] = " ".join([word() for _ in range(rng.randint(0, 9))] + part + [word() for _ in range(rng.randint(0, 9))])
+            k += 1
+    items = {n: " ".join(w) for n, w in items.items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.agreed, r.stretch, r.n_places) for r in m.leaks(docs, bench).collect()}
+    assert got == overlaps(texts, items) and len(got) > 100
+
+
+def test_masks_lose_nothing():
+    for n in range(12, 17):
+        for gone in itertools.combinations(range(n), n // 4):
+            assert any(all(s + o not in gone for o in mask) for mask in m.MASKS for s in range(n - mask[-1]))
