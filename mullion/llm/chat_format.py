@@ -7,15 +7,17 @@ and roles are escaped reversibly. A turn that alone is over the budget gets a wi
 
 Cases: null text or role: empty; null conv_id: a conversation like any other; turns sort by turn, then role and text
 (nulls first), so ties and repeated rows have one order; empty table: no windows; other columns are not read. One
-conversation streams through one task in turn order and holds a budget's worth of turns, however long it is.
+conversation streams through one task in turn order and holds a budget's worth of turns, however long it is. Texts of any
+length are counted whole, white space of any length included.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import itertools
 import re
-from collections import deque
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import public_tokenizers
@@ -32,6 +34,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Control strings: an opening character, then one of these.
 CONTROL = re.compile(r"([<\[])(\\*)(/?s>|/?INST\]|<SYS>>|</SYS>>)")
 ESCAPED = re.compile(r"([<\[])\\(\\*)(/?s>|/?INST\]|<SYS>>|</SYS>>)")
+#: White space that is counted by itself: the tokenizer's pattern engine can't go back over runs of several 100,000.
+LONG_SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{1000,}")
 TURN = re.compile(r"<s>(.*?)\[INST\] (.*?) \[/INST\]</s>\n", re.DOTALL)
 WINDOW = "conv_id bigint, window int, formatted string, loss array<struct<start:int,stop:int>>, n_repeated int, n_turns int, n_tokens bigint, over_budget boolean"
 
@@ -65,56 +69,89 @@ def tokenizer(path: str | None = None) -> Callable[[str], int]:
     with open(path or public_tokenizers.path(VOCABULARY), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     encoding = tiktoken.Encoding("turns", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: len(encoding.encode_ordinary(text))
+
+    def count(text: str) -> int:
+        total, at = 0, 0
+        for gap in LONG_SPACE.finditer(text):
+            # the pattern takes white space up to the last character, which the next match may begin with; at the end, all
+            stop = gap.end() if gap.end() == len(text) else gap.end() - 1
+            total += len(encoding.encode_ordinary(text[at : gap.start()])) + len(contract(text[gap.start() : stop].encode(), ranks))
+            at = stop
+        return total + len(encoding.encode_ordinary(text[at:]))
+
+    return count
+
+
+def contract(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one match of the pattern: the leftmost pair of least rank is joined, again and again."""
+    parts: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
+    after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+    heap: list[tuple[int, int, bytes, bytes]] = []
+
+    def push(x: int, y: int) -> None:
+        if x >= 0 and y < len(parts) and (rank := ranks.get(parts[x] + parts[y])) is not None:
+            heapq.heappush(heap, (rank, x, parts[x], parts[y]))
+
+    for i in range(len(parts) - 1):
+        push(i, i + 1)
+    while heap:
+        _, i, a, b = heapq.heappop(heap)
+        n = after[i]
+        if parts[i] != a or n >= len(parts) or parts[n] != b:
+            continue
+        parts[i], parts[n], after[i] = a + b, None, after[n]
+        if after[i] < len(parts):
+            before[after[i]] = i
+        push(before[i], i)
+        push(i, after[i])
+    return [ranks[p] for p in parts if p is not None]
 
 
 def windows(turns: Iterator[tuple[str, str]], count: Callable[[str], int], budget: int, history: int) -> Iterator[tuple]:
     """(formatted, loss spans, repeated turns, turns, tokens, over budget) of one conversation's windows, as turns come.
 
-    `sums` are prefix sums of tokens over the turns held; a span is the longest run of new turns for which the difference
-    of two sums, with the system turn and the history before it, is within the budget.
+    `sums` are prefix sums of tokens over the turns held, so turns i to j cost sums[j] - sums[i]. A window's new turns are
+    the longest run whose cost, with the system turn and the history before it, is within the budget; the history is what
+    a binary search in the sums puts within its own budget, less where the new turns need the room.
     """
-    system: tuple[str, str, int] | None = None
-    past: deque[tuple[str, str, int]] = deque()  # turns that may be repeated
-    new: list[tuple[str, str, int]] = []
+    system: tuple[str, str] | None = None
+    lead, shown_system = 0, False  # the system turn's tokens, and whether a window has had it
+    held: list[tuple[str, str]] = []  # history, then new turns
     sums = [0]
-    first = True
-
-    def base() -> int:
-        return (system[2] if system else 0) + sum(t[2] for t in past)
+    new = 0  # where the new turns begin in `held`
 
     def close() -> tuple:
-        lead = [t for t in (system,) if t and emitted] + list(past)
-        fresh = ([system] if system and not emitted else []) + new
+        fresh = ([system] if system and not shown_system else []) + held[new:]
+        repeated = ([system] if system and shown_system else []) + held[:new]
         out, at, loss = [], 0, []
-        for k, (role, text, _) in enumerate(lead + fresh):
+        for k, (role, text) in enumerate(repeated + fresh):
             shown, a, b = render(role, text)
-            if k >= len(lead) and role == "assistant" and b > a:
+            if k >= len(repeated) and role == "assistant" and b > a:
                 loss.append({"start": at + a, "stop": at + b})
             out.append(shown)
             at += len(shown)
-        tokens = sum(t[2] for t in lead + fresh)
-        return "".join(out), loss, len(lead), len(lead + fresh), tokens, tokens > budget
-
-    emitted = False
-    for role, text in turns:
-        turn = (role, text, count(text) + TURN_TOKENS)
-        if first and role == "system":
-            system, first = turn, False
+        tokens = lead + sums[-1] - sums[0]
+        return "".join(out), loss, len(repeated), len(repeated) + len(fresh), tokens, tokens > budget
+
+    def forget(n: int) -> None:
+        nonlocal new
+        del held[:n], sums[:n]
+        new -= n
+
+    for k, (role, text) in enumerate(turns):
+        cost = count(text) + TURN_TOKENS
+        if not k and role == "system":
+            system, lead = (role, text), cost
             continue
-        first = False
-        if new and base() + sums[-1] + turn[2] > budget:
+        if len(held) > new and lead + sums[-1] + cost - sums[0] > budget:
             yield close()
-            emitted = True
-            past.extend(new)
-            while past and sum(t[2] for t in past) > history:
-                past.popleft()
-            new, sums = [], [0]
-        while past and not new and base() + turn[2] > budget:  # history gives way to what is new
-            past.popleft()
-        new.append(turn)
-        sums.append(sums[-1] + turn[2])
-    if new or (system and not emitted):
+            shown_system, new = True, len(held)
+            forget(bisect_left(sums, sums[-1] - history))
+        if len(held) == new:  # history gives way to what is new
+            forget(min(new, bisect_left(sums, lead + sums[-1] + cost - budget)))
+        held.append((role, text))
+        sums.append(sums[-1] + cost)
+    if len(held) > new or (system and not shown_system):
         yield close()
 
 

@@ -1,5 +1,6 @@
 """Quality rules: a threshold table compiled into one projection of built-in expressions.
 
+Repeated windows are found by hash and confirmed by their words, so counts are exact in texts of any length.
 Cases: null text counts as empty (no words, base_failed, not kept); ratios over zero words, lines or characters are 0;
 repeated rows and ids are judged row by row; extra columns are ignored by judge() and kept by passing(), whatever their
 names; an empty table gives an empty table.
@@ -25,6 +26,9 @@ STOP_WORDS = {
 }
 
 
+WORD_HASH = F.xxhash64
+
+
 class Rule(NamedTuple):
     """A document breaks the rule where its metric is under `least` or over `most`."""
 
@@ -56,13 +60,19 @@ def measures(text: str) -> list[dict[str, Column]]:
     stop = sorted({w for words in STOP_WORDS.values() for w in words.split()})
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    # hash of a 3-word window above, its position below: one sort of plain longs brings equal windows together
+    # bits of the hash of a 3-word window above, its position below: one sort of plain longs brings equal windows together
     packed = F.expr(
         "if(n_words >= 3, sort_array(transform(sequence(0, int(n_words) - 3), i -> shiftleft(xxhash64(get(__h, i), get(__h, i + 1), get(__h, i + 2)), __bits) | bigint(i))), cast(array() as array<bigint>))"
     )
-    twice = F.expr(
+    # what shares the kept bits of its hash with a neighbour; where bits ran short in a long text, some of it by chance
+    alike = F.expr(
         "sort_array(transform(filter(__packed, (x, j) -> coalesce(shiftright(get(__packed, j - 1), __bits) = shiftright(x, __bits), false) or coalesce(shiftright(get(__packed, j + 1), __bits) = shiftright(x, __bits), false)), x -> x & (shiftleft(1L, __bits) - 1L)))"
     )
+    # so the words themselves decide: equal windows come together by hash and words
+    named = F.expr(
+        "array_sort(transform(__alike, i -> struct(xxhash64(get(__h, int(i)), get(__h, int(i) + 1), get(__h, int(i) + 2)) as h, concat_ws(' ', get(__words, int(i)), get(__words, int(i) + 1), get(__words, int(i) + 2)) as g, i as i)))"
+    )
+    twice = F.expr("sort_array(transform(filter(__named, (x, j) -> coalesce(get(__named, j - 1).g = x.g, false) or coalesce(get(__named, j + 1).g = x.g, false)), x -> x.i))")
     covered = F.expr("aggregate(__twice, struct(0L as total, 0L as upto), (s, p) -> struct(s.total + p + 3L - greatest(p, s.upto) as total, p + 3L as upto), s -> s.total)")
     return [
         {"__words": words_of(text), "__lines": lines},
@@ -75,10 +85,12 @@ def measures(text: str) -> list[dict[str, Column]]:
             "__n_bullets": F.size(F.filter("__lines", lambda x: x.rlike(r"^[\x20\x09-\x0D]*[-*•‣]"))),
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
             "__n_stop": F.size(F.filter("__words", lambda w: F.lower(w).isin(*stop))),
-            "__h": F.transform("__words", lambda w: F.xxhash64(w)),
+            "__h": F.transform("__words", lambda w: WORD_HASH(w)),
             "__bits": F.length(F.bin(F.size("__words").cast("long"))),
         },
         {"__packed": packed},
+        {"__alike": alike},
+        {"__named": named},
         {"__twice": twice},
         {"n_repeat_words": covered},
         {

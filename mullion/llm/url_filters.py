@@ -4,15 +4,15 @@ A rule is (verdict, host, path): it fits its host and all subdomains where the u
 Of the rules that fit, the longest host plus path wins. Entries of the verdict "listed" are the block list proper: they
 block where no allow or block rule fits, and are not named as the rule. Cases: null urls and urls without "://" have an empty host and
 path; a url that no rule fits gets the default verdict; repeated rows are judged row by row; ports, user names and
-letters outside A-Z stay as they are; an empty table or rule list works; columns besides id and url are not read.
+letters outside A-Z stay as they are; null ids stay null; an empty table or rule list works; columns besides id and url are
+not read, whatever their names.
 """
 
 from __future__ import annotations
 
-import os
 import struct
-import tempfile
 from collections.abc import Iterable, Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
+from mullion.llm.common import fresh_path, open_fs
+
 #: The rules that every query of this operator holds.
 BASE_RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Hosts of an ad and pills kind; a parameter, as any block list of real size is.
@@ -45,30 +47,32 @@ def split_url(url: str | None) -> tuple[str, str]:
 class DigestArray:
     """A file of sorted 64-bit xxhash keys, the place of each key's full string, and the strings; opened by memory map.
 
-    Layout: head (magic, keys n, bytes of text, path lengths m); n keys; n+1 text offsets; n verdicts; m lengths; text.
+    Layout: head (magic, keys n, labels of the longest host, path lengths m); n keys; n+1 text offsets; n verdicts;
+    m lengths; text.
     """
 
-    MAGIC = b"SDA1"
+    MAGIC = b"SDA2"
 
     @classmethod
-    def write(cls, rules: Iterable[tuple[str, str, str]], path: str) -> None:
+    def write(cls, rules: Iterable[tuple[str, str, str]], f: BinaryIO) -> None:
         by_key: dict[bytes, str] = {}
         lengths: set[int] = set()
+        labels = 0
         for verdict, host, prefix in rules:
             by_key.setdefault(f"{host.translate(LOWER)}{prefix}".encode(), verdict)
             lengths.add(len(prefix))
+            labels = max(labels, host.count(".") + 1)
         text = sorted(by_key, key=lambda s: (xxhash.xxh64_intdigest(s), s))
         keys = np.array([xxhash.xxh64_intdigest(s) for s in text], np.uint64)
         offsets = np.zeros(len(text) + 1, np.int64)
         np.cumsum([len(s) for s in text], out=offsets[1:])
-        with open(path, "wb") as f:
-            f.write(HEAD.pack(cls.MAGIC, len(text), int(offsets[-1]), len(lengths)))
-            f.write(keys.tobytes() + offsets.tobytes() + np.array([VERDICTS.index(by_key[s]) for s in text], np.int8).tobytes())
-            f.write(np.array(sorted(lengths, reverse=True), np.int64).tobytes() + b"".join(text))
+        f.write(HEAD.pack(cls.MAGIC, len(text), labels, len(lengths)))
+        f.write(keys.tobytes() + offsets.tobytes() + np.array([VERDICTS.index(by_key[s]) for s in text], np.int8).tobytes())
+        f.write(np.array(sorted(lengths, reverse=True), np.int64).tobytes() + b"".join(text))
 
     def __init__(self, path: str):
         whole = np.memmap(path, np.uint8, "r")
-        magic, n, _, m = HEAD.unpack(bytes(whole[: HEAD.size]))
+        magic, n, self.labels, m = HEAD.unpack(bytes(whole[: HEAD.size]))
         if magic != self.MAGIC:
             raise ValueError(f"{path} is no digest array")
         at = HEAD.size
@@ -100,13 +104,14 @@ class DigestArray:
         return found
 
 
-def _keys(host: str, path: str, lengths: list[int]) -> list[str]:
-    """What a rule for this url may look like: each suffix of the host with each stored length of path prefix."""
+def _keys(host: str, path: str, lengths: list[int], labels: int) -> list[str]:
+    """What a rule for this url may look like: each suffix of the host, of no more labels than any rule has, with each
+    stored length of path prefix. So a host of very many labels costs no more than one of a few."""
     if not host and not path:
         return []
-    labels = host.split(".")
+    parts = host.rsplit(".", labels)[-labels:] if labels else []
     prefixes = dict.fromkeys(path[:n] for n in lengths if n <= len(path))
-    return [".".join(labels[i:]) + p for i in range(len(labels)) for p in prefixes]
+    return [".".join(parts[i:]) + p for i in range(len(parts)) for p in prefixes]
 
 
 def judge_batches(batches: Iterator[pa.RecordBatch], array: DigestArray, default: str) -> Iterator[pa.RecordBatch]:
@@ -116,7 +121,7 @@ def judge_batches(batches: Iterator[pa.RecordBatch], array: DigestArray, default
         owner: list[int] = []
         candidates: list[str] = []
         for i, (host, path) in enumerate(parts):
-            own = _keys(host, path, lengths)
+            own = _keys(host, path, lengths, array.labels)
             candidates += own
             owner += [i] * len(own)
         found = array.probe([c.encode("utf-8", "surrogatepass") for c in candidates])
@@ -136,12 +141,17 @@ def judge_batches(batches: Iterator[pa.RecordBatch], array: DigestArray, default
 
 
 def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = BASE_RULES + LISTED, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """page_id, host, path, rule and verdict of each row. The array goes to the executors as a file, not as a broadcast value."""
-    handle, local = tempfile.mkstemp(prefix="digests-", suffix=".sda")
-    os.close(handle)
-    DigestArray.write(rules, local)
-    pages.sparkSession.sparkContext.addFile(local)
-    name = os.path.basename(local)
+    """page_id, host, path, rule and verdict of each row. The array goes to the executors as a file, not as a broadcast value.
+
+    The file stands in the shared folder as long as the result may be computed.
+    """
+    spark = pages.sparkSession
+    path = fresh_path(spark, "digests")
+    fs, root = open_fs(path)
+    with fs.open_output_stream(root) as f:
+        DigestArray.write(rules, f)
+    spark.sparkContext.addFile(path)
+    name = path.rsplit("/", 1)[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return judge_batches(batches, DigestArray(SparkFiles.get(name)), default)

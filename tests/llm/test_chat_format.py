@@ -64,3 +64,58 @@ def test_empty_and_long(spark):
     long = "word " * 50_000
     w = m.format_chat(spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", long)], schema), 100, 10).collect()
     assert [x.over_budget for x in w] == [False, True] and m.parse(w[-1].formatted)[-1] == ("assistant", long)
+
+
+def test_long_white_space_is_counted_as_the_library_would(spark):
+    count = m.tokenizer()
+    for run in (" " * 1500, "\n" * 1203, " \n" * 700, "\t" * 1000 + " ", "\u3000" * 1001, " " * 999):
+        for text in (run, f"a{run}b", f"{run}b", f"a{run}", f"a{run}. {run}\x1c{run}\n"):
+            assert count(text) == len(encoding().encode_ordinary(text)), repr(text[:20])
+    long = " " * 1_000_000
+    schema = "conv_id bigint, turn bigint, role string, text string"
+    rows = spark.createDataFrame([(1, 0, "user", long + "x"), (1, 1, "assistant", " \n" * 400_000)], schema)
+    r = m.read_back(m.format_chat(rows)).first()
+    assert (r.n_turns, r.loss_chars) == (2, 800_000)
+
+
+def encoding():
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path(m.VOCABULARY), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("turns", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def plain_windows(costs, lead, budget, history):
+    """(first repeated turn, first new turn, end) of each window, by adding up costs anew for every choice."""
+    out, start, back = [], 0, 0
+    while start < len(costs):
+        back = next(h for h in range(back, start + 1) if h == start or lead + sum(costs[h : start + 1]) <= budget)
+        end = start + 1
+        while end < len(costs) and lead + sum(costs[back : end + 1]) <= budget:
+            end += 1
+        out.append((back, start, end))
+        back = next(h for h in range(back, end + 1) if sum(costs[h:end]) <= history)
+        start = end
+    return out
+
+
+def test_windows_are_the_longest_that_fit():
+    rng = random.Random(4)
+    for _ in range(300):
+        n, system = rng.randint(1, 30), rng.random() < 0.5
+        sizes = [rng.choice([0, 1, 2, 5, 30]) for _ in range(n)]
+        turns = [("user" if rng.random() < 0.5 else "assistant", f"t{k}" + " w" * s) for k, s in enumerate(sizes)]
+        costs = [len(t.split()) + m.TURN_TOKENS for _, t in turns]
+        budget, history = rng.randint(1, 60), rng.randint(0, 25)
+        lead = (2 + m.TURN_TOKENS) * system
+        given = ([("system", "s s")] if system else []) + turns
+        made = list(m.windows(iter(given), lambda t: len(t.split()), budget, history))
+        want = plain_windows(costs, lead, budget, history)
+        assert len(made) == len(want)
+        for k, ((text, _, repeated, _, tokens, _), (back, start, end)) in enumerate(zip(made, want, strict=True)):
+            assert m.parse(text)[system:] == turns[back:end]
+            assert repeated == start - back + (system and k > 0) and tokens == lead + sum(costs[back:end])

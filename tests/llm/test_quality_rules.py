@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from mullion.llm import quality_rules as m
 from tests.llm import plain
 
@@ -34,3 +36,18 @@ def test_passing_keeps_columns_of_any_name(spark):
 def test_one_projection_without_functions_of_ours(spark):
     plan = m.judge(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"))._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Exchange"))
+
+
+def test_long_texts_are_exact(spark):
+    distinct = " ".join(f"{i:x}" for i in range(400_000))
+    rows = [(1, distinct), (2, distinct + " 1 2 3"), (3, " ".join(["a b"] * 30_000))]
+    for r in m.judge(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        assert r.n_repeat_words == plain.quality(dict(rows)[r.doc_id])[4]
+
+
+def test_windows_of_equal_hash_are_told_apart_by_their_words(spark, monkeypatch):
+    """With a hash that is the same for all words, every window is a candidate."""
+    monkeypatch.setattr(m, "WORD_HASH", lambda w: F.lit(7).cast("long"))
+    texts = {1: "a b c d e f g", 2: "a b c x a b c y b c x", 3: "a a a a", 4: "p q"}
+    for r in m.judge(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect():
+        assert r.n_repeat_words == plain.quality(texts[r.doc_id])[4]
