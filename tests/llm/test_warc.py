@@ -57,3 +57,46 @@ def test_empty_table(spark):
 def test_equals_its_sql(spark):
     ours, theirs = both(spark, "/root/testdata/sf0.001", m.op2_warc, m.OP2_SQL)
     assert ours == theirs
+
+
+def test_extreme_and_outlying_ids(spark):
+    rows = [(i, f"http://{i}", f"<p>{i % 7} {'x' * (i % 50)}</p>") for i in [-(2**63), -9 * 10**18, *range(200), 2**60, 9 * 10**18, 2**63 - 1]]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)
+    path = m.write_warc(pages, fresh_path(spark, "w"), shard_bytes=10_000)
+    got = {r.page_id: (r.record_type, r.refers_to) for r in m.read_warc(spark, path).collect()}
+    first = {}
+    for i, _, html in sorted(rows):
+        first.setdefault(html, i)
+    assert got == {i: ("response", None) if first[h] == i else ("revisit", first[h]) for i, _, h in rows}
+    sizes = [json.loads(x)["records"] for x in files(path)["manifest.jsonl"].splitlines()]
+    assert len(sizes) > 10 and max(sizes) < 20
+
+
+def test_shards_depend_on_the_rows_alone(spark):
+    rows = [(i * i, "u", "x" * (25_000 if i % 60 == 7 else i % 90)) for i in range(500)]
+    make = lambda r, n: spark.createDataFrame(r, "page_id bigint, url string, html string").repartition(n)
+    want, at, last = [], 0, -9000
+    for i, _, html in rows:
+        if at // 9000 > last // 9000:
+            want.append(i)
+        at, last = at + len(html) + m.RECORD_BYTES, at
+    for some in (make(rows, 1), make(rows[::-1], 5), make(rows, 3)):
+        assert m.shard_starts(some, 9000).tolist() == want
+
+
+def test_rows_without_id_are_spread(spark):
+    rows = [(None, f"u{i}", f"p{i}") for i in range(100)] + [(1, "a", "p0")]
+    path = m.write_warc(spark.createDataFrame(rows, "page_id bigint, url string, html string"), fresh_path(spark, "w"), shard_bytes=10_000)
+    assert {r.record_type for r in m.read_warc(spark, path).collect()} == {"response"} and m.read_warc(spark, path).count() == 101
+    assert len(files(path)) > 8
+
+
+def test_revisits_name_their_original(spark):
+    path = m.write_warc(spark.createDataFrame(ROWS, SCHEMA), fresh_path(spark, "w"))
+    records = [h for n, data in files(path).items() if n.endswith(".gz") for h, _ in m.read_records(iter([data]))]
+    by_id = {h["WARC-Record-ID"]: h for h in records}
+    revisits = [h for h in records if h["WARC-Type"] == "revisit"]
+    assert len(revisits) == 3
+    for h in revisits:
+        original = by_id[h["WARC-Refers-To"]]
+        assert original["WARC-Payload-Digest"] == h["WARC-Payload-Digest"] and original["WARC-Target-URI"] == h["WARC-Refers-To-Target-URI"]
