@@ -2,9 +2,14 @@
 
 Words unique to both a stretch of text and a template are anchors; the longest increasing subsequence of their places is
 kept, and the gaps between the kept ones are aligned the same way, down to common ends. Coverage is the part of the
-template's words that find a partner. A template is tried around every occurrence of its key words, those that fewest
-templates share, in the whole text, so a notice is found anywhere, any number of times; of finds that overlap, the one
-with the best coverage stays (then more words, then the name).
+template's words that find a partner. Of finds that overlap, the one with the best coverage stays (then more words, then
+the name).
+
+A template is laid at every place of the whole text, in a window with room for a fifth more words on each side; what is
+left out can't reach the coverage asked for. Three bounds see to that, each a count of words that the alignment can't
+exceed: a text must hold one of the template's key words, which are so many that the coverage can't be reached without
+all of them; its words must make up that part of the template; and so must those of the window, whose counts run along
+the text. So a notice is found anywhere, any number of times, whichever of its words were changed.
 
 Words are runs of ASCII letters and digits, lower-cased; all other bytes part words. Cases: null or wordless text: no
 finds; repeated rows are scanned alike; ties go by name; an empty table gives an empty table; columns besides id and text
@@ -13,18 +18,19 @@ are not read.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEAST_COVERAGE = 0.8
-KEY_WORDS = 3
-#: Notices and opening sentences; a parameter, as a full collection of templates would be.
+#: Notices, opening sentences and whole short licenses; a parameter, as a full collection of templates would be.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
@@ -39,6 +45,32 @@ TEMPLATES = {
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "MIT-full": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
+whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission
+notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT
+WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A
+PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES
+OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "BSD-2-Clause-full": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list
+of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
+distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT,
+STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF
+ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "ISC-full": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED
+"AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
+DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE
+OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
     "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
 }
 #: Bytes to lower-cased letters and digits, all others to a space.
@@ -103,35 +135,60 @@ class Find(NamedTuple):
     coverage: float
 
 
+class Template:
+    """A template's words, the least number that has to match, and the words of which one must be in any text that does."""
+
+    def __init__(self, name: str, words: list[bytes], least: float, shared: Counter[bytes]):
+        self.name, self.words, self.counts = name, words, Counter(words)
+        self.need = max(1, math.ceil(least * len(words) - 1e-9))
+        self.slack = max(2, len(words) // 5)
+        self.keys, missing = set(), 0
+        for w in sorted(self.counts, key=lambda w: (shared[w], -len(w), w)):
+            if missing > len(words) - self.need:
+                break
+            self.keys.add(w)
+            missing += self.counts[w]
+        self.code = {w: k for k, w in enumerate(self.counts)}
+
+    def window(self, p: int, n: int) -> tuple[int, int]:
+        """What the template is aligned with when it is laid at word p of n."""
+        return max(0, p - self.slack), min(n, p + len(self.words) + self.slack)
+
+    def places(self, words: list[bytes], present: set[bytes]) -> list[int]:
+        """The places whose window holds enough of the template's words."""
+        if self.keys.isdisjoint(present) or sum(c for w, c in self.counts.items() if w in present) < self.need:
+            return []
+        code = np.fromiter((self.code.get(w, -1) for w in words), np.int32, len(words))
+        p = np.arange(len(words))
+        low, high = np.maximum(0, p - self.slack), np.minimum(len(words), p + len(self.words) + self.slack)
+        held = np.zeros(len(words), np.int64)
+        for w, c in self.counts.items():
+            if w in present:
+                upto = np.append(0, np.cumsum(code == self.code[w]))
+                held += np.minimum(upto[high] - upto[low], c)
+        return np.flatnonzero(held >= self.need).tolist()
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str] | None = None, least: float = LEAST_COVERAGE):
-        self.least = least
-        self.templates = {name: fold(text.encode()) for name, text in sorted((templates or TEMPLATES).items())}
-        shared = Counter(w for words in self.templates.values() for w in set(words))
-        self.keys: dict[bytes, list[tuple[str, int]]] = {}
-        for name, words in self.templates.items():
-            for w in sorted(set(words), key=lambda w: (shared[w], -len(w), w))[:KEY_WORDS]:
-                for q, x in enumerate(words):
-                    if x == w:
-                        self.keys.setdefault(w, []).append((name, q))
+        folded = {name: fold(text.encode()) for name, text in sorted((templates or TEMPLATES).items())}
+        shared = Counter(w for words in folded.values() for w in set(words))
+        self.templates = [Template(name, words, least, shared) for name, words in folded.items() if words]
 
     def scan(self, text: bytes) -> list[Find]:
         words = fold(text)
-        if self.keys.keys().isdisjoint(words):
-            return []
-        tried: set[tuple[str, int]] = set()
-        found: list[Find] = []
-        for p, w in enumerate(words):
-            for name, q in self.keys.get(w, ()):
-                if (name, p - q) in tried:
+        present = set(words)
+        found: set[Find] = set()
+        for t in self.templates:
+            tried: set[tuple[int, int]] = set()
+            for p in t.places(words, present):
+                lo, hi = t.window(p, len(words))
+                if (lo, hi) in tried:
                     continue
-                tried.add((name, p - q))
-                template = self.templates[name]
-                slack = max(2, len(template) // 5)
-                lo, hi = max(0, p - q - slack), min(len(words), p - q + len(template) + slack)
-                pairs = align(words[lo:hi], template)
-                if pairs and len(pairs) >= self.least * len(template):
-                    found.append(Find(name, lo + pairs[0][0], lo + pairs[-1][0] + 1, len(pairs), len(pairs) / len(template)))
+                tried.add((lo, hi))
+                pairs = align(words[lo:hi], t.words)
+                if len(pairs) >= t.need:
+                    found.add(Find(t.name, lo + pairs[0][0], lo + pairs[-1][0] + 1, len(pairs), len(pairs) / len(t.words)))
         out: list[Find] = []
         taken: list[tuple[int, int]] = []
         for f in sorted(found, key=lambda f: (-f.coverage, -f.matched, f.license, f.start, f.stop)):
