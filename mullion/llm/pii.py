@@ -52,9 +52,26 @@ HINTS = {
     "secret": r"[0-9A-Za-z]{16}", "name": "{names}",
 }
 #: Gazetteers, with no claim to be complete.
-GIVEN_NAMES = "James Mary Robert Patricia John Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Karen Nancy Daniel Lisa Anna Peter Paul Maria Laura Julia Hans Klaus Jean Pierre Sophie Carlos Ana Luis Carmen".split()
+GIVEN_NAMES = (
+    "James Mary Robert Patricia John Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Karen Nancy "
+    "Daniel Lisa Anna Peter Paul Maria Laura Julia Hans Klaus Jean Pierre Sophie Carlos Ana Luis Carmen Charles Christopher Matthew Anthony Mark "
+    "Donald Steven Andrew Kenneth George Joshua Kevin Brian Edward Ronald Timothy Jason Jeffrey Ryan Jacob Gary Nicholas Eric Jonathan Stephen Larry "
+    "Margaret Betty Sandra Ashley Kimberly Emily Donna Michelle Carol Amanda Dorothy Melissa Deborah Stephanie Rebecca Sharon Cynthia Kathleen Amy "
+    "Jürgen Stefan Wolfgang Uwe Ursula Monika Petra Sabine Andreas Markus Jan Lukas Felix Lena Hannah Jacques Michel Philippe Nathalie Isabelle "
+    "Camille Antoine Juan Javier Miguel Alejandro Pablo Elena Lucía Marta Pilar Isabel Giulia Marco Francesca Olga Ivan Dmitri Wei Yuki Ahmed Fatima"
+).split()
+FAMILY_NAMES = (
+    "smith johnson williams brown jones garcia miller davis rodriguez martinez hernandez lopez gonzalez wilson anderson thomas taylor moore jackson "
+    "martin lee perez thompson white harris sanchez clark ramirez lewis robinson walker young allen king wright scott torres nguyen hill flores green "
+    "adams nelson baker hall rivera campbell mitchell carter roberts müller schmidt schneider fischer weber meyer wagner becker schulz hoffmann koch "
+    "bauer richter klein wolf neumann schwarz zimmermann bernard dubois durand moreau laurent simon lefebvre leroy roux david bertrand morel fournier "
+    "girard fernandez gomez diaz ruiz alvarez moreno munoz romero alonso gutierrez navarro rossi russo ferrari ivanov petrov kim chen wang"
+).split()
+#: Words that stand after a given name without being a family name.
+NO_NAMES = "street avenue road university college hospital island river school church bridge said was and has the of in on at is january february march april june july august monday friday sunday".split()
+COMMON_WORDS = "the a an is are was it this that these here there look looking arrived stay meet me you him her us them point".split()
 NAME_PATTERN = rf"(?<![\p{{L}}])(?:{'|'.join(GIVEN_NAMES)}) [A-Z][a-z]{{2,20}}+(?![\p{{L}}])"
-TLDS = "com org net edu gov io de fr es uk eu info biz co dev app".split()
+TLDS = "com org net edu gov mil int info biz name pro io ai co me tv dev app cloud shop xyz online de fr es uk eu it nl be ch at pl cz se no dk fi ie pt gr ro hu ru ua tr us ca mx br ar cl au nz jp cn kr in sg hk za il".split()
 CUES = {
     "email": "mail|contact|write to|@", "ip": "ip|server|host|address|login", "card": "card|visa|mastercard|amex|payment|credit|karte|carte|tarjeta",
     "phone": "phone|tel|call|mobile|fax", "spelled_email": "mail|contact|reach|write", "local_phone": "phone|tel|call|mobile|fax",
@@ -69,19 +86,38 @@ def pattern(kind: str) -> str:
     return PATTERNS[kind].replace("{names}", NAME_PATTERN)
 
 
+#: Code points of a piece of a text, and spans that are put together at once.
+PIECE, BLOCK = 8192, 256
+
+
+def pieces(text: str) -> Column:
+    """A text in pieces of PIECE code points, so that a part of it is found without counting from its start."""
+    t = F.col(text)
+    return F.when(F.length(t) <= PIECE, F.array(t)).otherwise(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
+
+
+def part(held: Column, start: Column, stop: Column) -> Column:
+    """Code points start to stop of a text in pieces."""
+    first = F.floor(start / PIECE).cast("int")
+    near = F.array_join(F.slice(held, first + 1, F.floor((stop - 1) / PIECE).cast("int") - first + 1), "")
+    return F.when(stop > start, F.substring(near, F.pmod(start, F.lit(PIECE)) + 1, stop - start)).otherwise(F.lit(""))
+
+
+def blocks(items: Column) -> Column:
+    """An array in runs of BLOCK, the last one shorter or empty."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.size(items) / BLOCK).cast("int")), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
+
+
 def find_spans(text: str, regex: str, hint: str) -> Column:
     """array<struct<start, stop, said>> of a pattern's matches: texts between matches give the places.
 
     Places add up by blocks of matches, so that thousands of matches in a text don't cost the square of their number.
     """
-    t, block = F.col(text), 256
+    t = F.col(text)
     found = F.regexp_extract_all(t, F.lit(regex), F.lit(0))
     gaps = F.transform(F.split(t, regex, -1), lambda g: F.length(g))
     sized = F.arrays_zip(found.alias("said"), F.slice(gaps, F.lit(1), F.size(found)).alias("gap"))
-    parts = F.transform(
-        F.sequence(F.lit(0), F.floor(F.size(found) / block).cast("int")),
-        lambda b: F.slice(sized, b * block + 1, F.lit(block)),
-    )
+    parts = blocks(sized)
     empty = F.expr("cast(array() as array<struct<start:int,stop:int,said:string>>)")
 
     def place(s: Column, x: Column) -> Column:
@@ -121,11 +157,13 @@ def _vote(yes: Column, no: Column | None = None) -> Column:
     return (vote.when(F.coalesce(no, F.lit(False)), -1) if no is not None else vote).otherwise(0)
 
 
-def votes(kind: str, x: Column, text: Column) -> Column:
-    """The labelers' votes on a candidate, in the order of LABELERS."""
+def votes(kind: str, x: Column, held: Column) -> Column:
+    """The labelers' votes on a candidate of a text in pieces, in the order of LABELERS."""
     said = x["said"]
     digits = F.regexp_replace(said, "[^0-9]", "")
-    around = F.lower(F.concat_ws(" ", F.substring(text, F.greatest(x["start"] - AROUND + 1, F.lit(1)), F.least(x["start"], F.lit(AROUND))), F.substring(text, x["stop"] + 1, F.lit(AROUND))))
+    # slices end by themselves where the text does
+    before, after = part(held, F.greatest(x["start"] - AROUND, F.lit(0)), x["start"]), part(held, x["stop"], x["stop"] + AROUND)
+    around = F.lower(F.concat_ws(" ", before, after))
     tld = F.lower(F.regexp_extract(said, r"([A-Za-z]+)$", 1))
     if kind in BASE_KINDS:
         form = _vote(is_base(kind, said), ~is_base(kind, said))
@@ -133,13 +171,17 @@ def votes(kind: str, x: Column, text: Column) -> Column:
         form = _vote(said.rlike(r"^(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}([ .-]))[2-9][0-9]{2}[ .-][0-9]{4}$"), said.rlike(r"^\(?[01]"))
     elif kind == "secret":
         form = _vote(said.rlike("[0-9]") & said.rlike("(?i)[a-z]"), ~(said.rlike("[0-9]") & said.rlike("(?i)[a-z]")))
+    elif kind == "spelled_email":
+        common = rf"(?i)(?:^|[ (\[])(?:{'|'.join(COMMON_WORDS)})(?:$| ?[(\[]| )"
+        form = _vote(said.rlike(r"(?i)^[a-z][a-z0-9._%+-]* ?\(?\[?at\]?\)? ?[a-z][a-z0-9-]+ ?\(?\[?dot\]?\)? ?[a-z]{2,6}$") & ~said.rlike(common), said.rlike(common))
     else:
-        form = _vote(F.lit(True))
+        family = F.lower(F.regexp_extract(said, r"([A-Za-z]+)$", 1))
+        form = _vote(~family.isin(*NO_NAMES) & ~after.rlike(r"^ (?:Street|Avenue|Road|University|College|Hospital|Inc|Ltd|GmbH|Day|River|Bay)\b"), family.isin(*NO_NAMES) | after.rlike(r"^ (?:Street|Avenue|Road|University|College|Hospital|Inc|Ltd|GmbH|Day|River|Bay)\b"))
     gazetteer = {
         "email": _vote(tld.isin(*TLDS), tld == ""), "spelled_email": _vote(tld.isin(*TLDS), ~tld.isin(*TLDS)),
         "ip": _vote(~said.rlike(r"^0*(?:0|127|255)\."), said.rlike(r"^0*0\.")), "card": _vote(digits.rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6)"), digits.rlike("^0")),
         "phone": _vote(digits.rlike("^(?:1|3[0-9]|4[0-9]|5[1-8]|6|7|8|9)"), digits.rlike("^0")), "local_phone": _vote(digits.rlike("^(?:555|[2-9]11)"), digits.rlike("^0")),
-        "secret": _vote(said.rlike("(?i)^(?:sk|pk|ghp|xox|akia)"), said.rlike(r"^(.)\1+$")), "name": _vote(F.lit(True)),
+        "secret": _vote(said.rlike("(?i)^(?:sk|pk|ghp|xox|akia)"), said.rlike(r"^(.)\1+$")), "name": _vote(F.lower(F.regexp_extract(said, r"([A-Za-z]+)$", 1)).isin(*FAMILY_NAMES), F.lower(F.regexp_extract(said, r"([A-Za-z]+)$", 1)).isin(*NO_NAMES)),
     }[kind]
     context = _vote(around.rlike(rf"(?<![a-z])(?:{CUES[kind]})(?![a-z])") & ~around.rlike(rf"(?<![a-z])(?:{AGAINST})(?![a-z])"), around.rlike(rf"(?<![a-z])(?:{AGAINST})(?![a-z])"))
     shape = {
@@ -154,14 +196,15 @@ def votes(kind: str, x: Column, text: Column) -> Column:
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, found): per row the candidates of all kinds, with their votes."""
     df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    return df.select("doc_id", found_in("__text").alias("found"))
+    df = df.select("doc_id", "__text", pieces("__text").alias("__pieces"))
+    return df.select("doc_id", found_in("__text", "__pieces").alias("found"))
 
 
-def found_in(text: str) -> Column:
+def found_in(text: str, held: str) -> Column:
     def of(kind: str) -> Column:
         return F.transform(
             find_spans(text, pattern(kind), HINTS[kind]),
-            lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), F.coalesce(is_base(kind, x["said"]), F.lit(False)).alias("base"), votes(kind, x, F.col(text)).alias("votes")),
+            lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), F.coalesce(is_base(kind, x["said"]), F.lit(False)).alias("base"), votes(kind, x, F.col(held)).alias("votes")),
         ).cast(f"array<{SPAN}>")
 
     return F.concat(*[of(k) for k in KINDS])
@@ -258,29 +301,38 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", we
     return found.select("doc_id", _ordered(base).alias("base"), _ordered(every).alias("spans"))
 
 
-def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def _reach(parts: Column) -> Column:
+    """How far the spans of each block and of those ahead of it reach."""
+    ends = F.transform(parts, lambda b: F.coalesce(F.array_max(F.transform(b, lambda x: x["stop"])), F.lit(0)))
+    return F.aggregate(ends, F.expr("cast(array() as array<int>)"), lambda s, x: F.array_append(s, F.greatest(F.coalesce(F.get(s, F.size(s) - 1), F.lit(0)), x)))
+
+
+def _joined(block: Column, upto: Column, held: Column) -> Column:
+    """The text from `upto` to the end of a block's spans, each of them replaced; one that begins within others goes with them."""
+
+    def step(s: Column, x: Column) -> Column:
+        out = F.concat(s["out"], part(held, s["upto"], x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
+        return F.struct(F.greatest(x["stop"], s["upto"]).alias("upto"), F.when(x["start"] >= s["upto"], out).otherwise(s["out"]).alias("out"))
+
+    return F.aggregate(block, F.struct(upto.alias("upto"), F.lit("").alias("out")), step, lambda s: s["out"])
+
+
+def redact(docs: DataFrame, text_col: str = "text", weights: list[float] | None = None) -> DataFrame:
     """docs with each span replaced by its kind in brackets; overlapping spans go together under the first one's kind."""
     names = docs.columns
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__t"))
-    df = written(df.select("__row", "__t", found_in("__t").alias("found")), "pii")
-    weights = train(vote_counts(df))
-    df = df.select("__row", "__t", _ordered(F.filter("found", lambda c: c["base"] | accepted(weights, c))).alias("__spans"))
-    cover = F.aggregate(
-        "__spans",
-        F.expr("cast(array() as array<struct<start:int,stop:int,kind:string>>)"),
-        lambda s, x: F.when(
-            (F.size(s) > 0) & (F.coalesce(F.get(s, F.size(s) - 1)["stop"], F.lit(-1)) > x["start"]),
-            F.concat(
-                F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0))),
-                F.array(F.struct(F.get(s, F.size(s) - 1)["start"].alias("start"), F.greatest(F.get(s, F.size(s) - 1)["stop"], x["stop"]).alias("stop"), F.get(s, F.size(s) - 1)["kind"].alias("kind"))),
-            ),
-        ).otherwise(F.array_append(s, F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["kind"].alias("kind")))),
-    )
-    df = df.select("__row", "__t", cover.alias("__cover"))
-    before = F.transform("__cover", lambda s, i: F.concat(F.substring(F.col("__t"), F.coalesce(F.get("__cover", i - 1)["stop"], F.lit(0)) + 1, s["start"] - F.coalesce(F.get("__cover", i - 1)["stop"], F.lit(0))), F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    tail = F.substring(F.col("__t"), F.element_at("__cover", -1)["stop"] + 1, F.length("__t"))
-    clean = F.when(F.size("__cover") > 0, F.concat(F.array_join(before, ""), tail)).otherwise(F.col(f"__row.`{text_col}`"))
-    return df.select(*[clean.alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in names])
+    df = df.select("__row", "__t", pieces("__t").alias("__pieces"))
+    df = written(df.select("__row", found_in("__t", "__pieces").alias("found")), "pii")
+    weights = train(vote_counts(df)) if weights is None else weights
+    df = df.select("__row", F.coalesce(F.col(f"__row.`{text_col}`"), F.lit("")).alias("__t"), _ordered(F.filter("found", lambda c: c["base"] | accepted(weights, c))).alias("__spans"))
+    # spans are taken in blocks, each put together by itself from where those ahead of it end: the work grows with the text
+    found = F.size("__spans") > 0
+    df = df.select("__row", F.length("__t").alias("__length"), F.when(found, pieces("__t")).alias("__pieces"), F.when(found, blocks(F.col("__spans"))).alias("__blocks"))
+    df = df.select("__row", "__length", "__pieces", "__blocks", _reach(F.col("__blocks")).alias("__ends"))
+    texts = F.transform("__blocks", lambda b, k: _joined(b, F.coalesce(F.get("__ends", k - 1), F.lit(0)), F.col("__pieces")))
+    clean = F.concat(F.array_join(texts, ""), part(F.col("__pieces"), F.element_at("__ends", -1), F.col("__length")))
+    df = df.select("__row", F.when(F.col("__blocks").isNotNull(), clean).otherwise(F.col(f"__row.`{text_col}`")).alias("__clean"))
+    return df.select(*[F.col("__clean").alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in names])
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
 import random
+import re
+import time
 
 from mullion.llm import pii as m
 from tests.llm import plain
@@ -76,3 +78,61 @@ def test_redact_keeps_columns(spark):
 def test_no_python_in_the_plan(spark):
     plan = m.candidates(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def plain_redacted(text, spans):
+    out, upto = [], 0
+    for start, _, stop, kind in spans:
+        if start >= upto:
+            out.append(text[upto:start] + f"[{kind.upper()}]")
+        upto = max(upto, stop)
+    return "".join(out) + text[upto:]
+
+
+def test_redact_equals_a_plain_version(spark, monkeypatch):
+    """Pieces and blocks of any size, overlapping spans, code points of two units, and spans by the thousand."""
+    rng = random.Random(4)
+    bits = ["a@b.co", "a@1.2.3.4", "é😀", " ", "+1 (743) 555-3824", "4111 1111 1111 1111", "token = sk-a1b2c3d4e5f6g7h8", "x" * 9, "\n"]
+    texts = [None, "", "x", *("".join(rng.choice(bits) for _ in range(rng.randint(1, 60))) for _ in range(200)), " ".join(["é a@b.co"] * 3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    weights = m.train(m.vote_counts(m.candidates(docs)))
+    spans = {r.doc_id: [(x.start, x.rank, x.stop, x.kind) for x in r.spans] for r in m.find_pii(docs, weights=weights).collect()}
+    for sizes in ((8192, 256), (7, 2)):
+        for name, size in zip(("PIECE", "BLOCK"), sizes, strict=True):
+            monkeypatch.setattr(m, name, size)
+        some = docs if sizes[0] > 7 else docs.where("length(text) < 5000")
+        got = {r.doc_id: r.text for r in m.redact(some, weights=weights).collect()}
+        assert got == {i: None if texts[i] is None else plain_redacted(texts[i], spans[i]) for i in got}
+
+
+def test_many_spans_in_a_long_text(spark):
+    rows = [(1, " ".join(f"person{i}@example.com" for i in range(20_000)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    began = time.monotonic()
+    assert m.redact(docs).first().text == " ".join(["[EMAIL]"] * 20_000)
+    assert time.monotonic() - began < 30
+
+
+def added(text, votes_of):
+    """What the added kinds' candidates are, by plain patterns."""
+    return [(x.start(), x.end(), kind) for kind, pattern in votes_of.items() for x in re.finditer(pattern, text)]
+
+
+def test_added_candidates_equal_plain_patterns(spark):
+    plain_patterns = {
+        "spelled_email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[a-z0-9-]{1,63} ?(?:\(dot\)|\[dot\]| dot ) ?[a-z]{2,10}(?![a-z])",
+        "name": rf"(?<![^\W\d_])(?:{'|'.join(m.GIVEN_NAMES)}) [A-Z][a-z]{{2,20}}(?![^\W\d_])",
+    }
+    texts = ["write john.doe (at) mail (dot) com now", "a.b[at]c[dot]org, x at y dot net", "look at the dot com", "Mary Smith and Peter Schmidt met Anna Street", "xMary Smith", "Karen O", "James Universityx", "é Paul Meyer."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in m.candidates(docs).collect():
+        got = sorted((c.start, c.stop, c.kind) for c in r.found if c.kind in plain_patterns)
+        assert got == sorted(added(texts[r.doc_id], plain_patterns)), texts[r.doc_id]
+
+
+def test_labelers_of_added_kinds_say_no_as_well(spark):
+    texts = {1: "Mary Smith", 2: "Anna Street", 3: "Peter Brown University", 4: "John was", 5: "jane.roe (at) mail (dot) org", 6: "look at the dot com"}
+    docs = spark.createDataFrame([(i, f"so {t} is") for i, t in texts.items()], "doc_id bigint, text string")
+    votes = {r.doc_id: [tuple(c.votes[:2]) for c in r.found] for r in m.candidates(docs).collect()}
+    assert votes[1] == [(1, 1)] and votes[2] == [(-1, -1)] and votes[3][0][0] == -1 and votes[4] == []
+    assert votes[5][0][0] == 1 and votes[6][0][0] == -1
