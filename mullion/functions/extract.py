@@ -30,43 +30,44 @@ def with_code(df: DataFrame, text: str, prefix: str = "") -> DataFrame:
     or an earlier step leaves the row to it.
     """
     t = F.col(text)
-    df = df.withColumns({"__after": after_last(t, p.THINK_CLOSE), "__closes": occurrences(t, p.THINK_CLOSE)})
-    df = df.withColumn("__clean", lstrip(F.col("__after")))
+    given = df.columns
+    df = df.withColumns({"__extract_after": after_last(t, p.THINK_CLOSE), "__extract_closes": occurrences(t, p.THINK_CLOSE)})
+    df = df.withColumn("__extract_clean", lstrip(F.col("__extract_after")))
     has = lambda c: F.contains(F.col(c), F.lit(p.FENCE_MARK))
-    df = df.withColumn("__fenced", F.when(has("__after"), last_match(F.col("__after"), p.FENCED_CODE)))
-    df = df.withColumn("__anywhere", F.when(F.col("__fenced").isNull() & has(text), last_match(t, p.FENCED_CODE)))
-    open_ = F.col("__fenced").isNull() & F.col("__anywhere").isNull()
-    df = df.withColumn("__opened", F.when(open_ & has("__clean"), F.struct(F.col("__clean").rlike(p.OPENING_FENCE).alias("first"), F.regexp_extract("__clean", p.AFTER_OPENING_FENCE, 1).alias("code"))))
-    bare = open_ & F.col("__opened").isNull()
-    df = df.withColumn("__label", F.when(bare & F.col("__clean").rlike(p.LANGUAGE_LABEL), lstrip(F.regexp_replace("__clean", p.LANGUAGE_LABEL, ""))))
-    df = df.withColumn("__label_code", F.when(F.col("__label").isNotNull(), F.nullif(F.regexp_extract("__label", p.CODE_FROM_START, 1), F.lit(""))))
-    df = df.withColumn("__start_code", F.when(bare & F.col("__label_code").isNull(), F.nullif(F.regexp_extract("__clean", p.CODE_FROM_START, 1), F.lit(""))))
-    df = df.withColumn("__def", F.when(bare & F.col("__label_code").isNull() & F.col("__start_code").isNull(), F.nullif(F.regexp_extract("__clean", p.DEF_BLOCK, 1), F.lit(""))))
+    df = df.withColumn("__extract_fenced", F.when(has("__extract_after"), last_match(F.col("__extract_after"), p.FENCED_CODE)))
+    df = df.withColumn("__extract_anywhere", F.when(F.col("__extract_fenced").isNull() & has(text), last_match(t, p.FENCED_CODE)))
+    open_ = F.col("__extract_fenced").isNull() & F.col("__extract_anywhere").isNull()
+    df = df.withColumn("__extract_opened", F.when(open_ & has("__extract_clean"), F.struct(F.col("__extract_clean").rlike(p.OPENING_FENCE).alias("first"), F.regexp_extract("__extract_clean", p.AFTER_OPENING_FENCE, 1).alias("code"))))
+    bare = open_ & F.col("__extract_opened").isNull()
+    df = df.withColumn("__extract_label", F.when(bare & F.col("__extract_clean").rlike(p.LANGUAGE_LABEL), lstrip(F.regexp_replace("__extract_clean", p.LANGUAGE_LABEL, ""))))
+    df = df.withColumn("__extract_label_code", F.when(F.col("__extract_label").isNotNull(), F.nullif(F.regexp_extract("__extract_label", p.CODE_FROM_START, 1), F.lit(""))))
+    df = df.withColumn("__extract_start_code", F.when(bare & F.col("__extract_label_code").isNull(), F.nullif(F.regexp_extract("__extract_clean", p.CODE_FROM_START, 1), F.lit(""))))
+    df = df.withColumn("__extract_def", F.when(bare & F.col("__extract_label_code").isNull() & F.col("__extract_start_code").isNull(), F.nullif(F.regexp_extract("__extract_clean", p.DEF_BLOCK, 1), F.lit(""))))
 
     def prose_before(whole: str, code: str) -> Column:
         return strip(F.left(F.col(whole), F.length(whole) - F.length(code))) != ""
 
     def row(method: str, issue: Column | str, code: Column, override: bool = True) -> Column:
         issue = F.lit(issue) if isinstance(issue, str) else issue
-        issue = F.when(F.col("__closes") > 1, "extra_think_tag_after_code").otherwise(issue) if override else issue
+        issue = F.when(F.col("__extract_closes") > 1, "extra_think_tag_after_code").otherwise(issue) if override else issue
         return F.struct(code.alias("code"), F.lit(method).alias("method"), issue.alias("issue"))
 
     found = (
-        F.when(F.col("__fenced").isNotNull(), row("last_fenced_after_think", "none", F.col("__fenced")))
-        .when(F.col("__anywhere").isNotNull(), row("last_fenced_anywhere", "none", F.col("__anywhere"), False))
-        .when(F.col("__opened.first"), row("opening_fence_after_think", "unterminated_fence", strip_unmatched_fence(F.col("__clean"))))
-        .when(F.col("__opened").isNotNull(), row("opening_fence_anywhere", "prose_before_unterminated_fence", strip_unmatched_fence(F.col("__opened.code"))))
+        F.when(F.col("__extract_fenced").isNotNull(), row("last_fenced_after_think", "none", F.col("__extract_fenced")))
+        .when(F.col("__extract_anywhere").isNotNull(), row("last_fenced_anywhere", "none", F.col("__extract_anywhere"), False))
+        .when(F.col("__extract_opened.first"), row("opening_fence_after_think", "unterminated_fence", strip_unmatched_fence(F.col("__extract_clean"))))
+        .when(F.col("__extract_opened").isNotNull(), row("opening_fence_anywhere", "prose_before_unterminated_fence", strip_unmatched_fence(F.col("__extract_opened.code"))))
         .when(
-            F.col("__label_code").isNotNull(),
-            row("code_start_after_language_label", F.when(prose_before("__label", "__label_code"), "language_label_then_prose_before_code").otherwise("language_label_before_code"), strip_unmatched_fence(F.col("__label_code"))),
+            F.col("__extract_label_code").isNotNull(),
+            row("code_start_after_language_label", F.when(prose_before("__extract_label", "__extract_label_code"), "language_label_then_prose_before_code").otherwise("language_label_before_code"), strip_unmatched_fence(F.col("__extract_label_code"))),
         )
         .when(
-            F.col("__start_code").isNotNull(),
-            row("code_start_after_think", F.when(prose_before("__clean", "__start_code"), "prose_before_code").otherwise("no_fenced_block"), strip_unmatched_fence(F.col("__start_code"))),
+            F.col("__extract_start_code").isNotNull(),
+            row("code_start_after_think", F.when(prose_before("__extract_clean", "__extract_start_code"), "prose_before_code").otherwise("no_fenced_block"), strip_unmatched_fence(F.col("__extract_start_code"))),
         )
-        .when(F.col("__def").isNotNull(), row("def_after_think", "no_fenced_block", F.col("__def")))
+        .when(F.col("__extract_def").isNotNull(), row("def_after_think", "no_fenced_block", F.col("__extract_def")))
         .otherwise(row("empty", "empty_code", F.lit(""), False))
     )
-    df = df.withColumn("__found", F.when(t.isNotNull(), found).otherwise(F.struct(F.lit(None).cast("string").alias("code"), F.lit("not_run").alias("method"), F.lit("generation_error").alias("issue"))))
-    df = df.withColumns({f"{prefix}extracted_code": F.col("__found.code"), "extraction_method": F.col("__found.method"), "extraction_issue": F.col("__found.issue")})
-    return df.drop(*[c for c in df.columns if c.startswith("__")])
+    df = df.withColumn("__extract_found", F.when(t.isNotNull(), found).otherwise(F.struct(F.lit(None).cast("string").alias("code"), F.lit("not_run").alias("method"), F.lit("generation_error").alias("issue"))))
+    df = df.withColumns({f"{prefix}extracted_code": F.col("__extract_found.code"), "extraction_method": F.col("__extract_found.method"), "extraction_issue": F.col("__extract_found.issue")})
+    return df.drop(*[c for c in df.columns if c.startswith("__extract_") and c not in given])

@@ -3,16 +3,17 @@
 Flags: d = only \\n ends a line, U = Unicode classes, s = dot matches \\n, m = ^ and $ at lines, i = ignore case.
 """
 
-# Tags, fences and patterns of responses, and the texts of prompts.
+# Runs of white space are possessive and begin where none stands before, so each is tried once.
+# Tags, fences and patterns of responses.
 THINK_OPEN = "<think>"
 THINK_CLOSE = "</think>"
 FENCE_MARK = "```"
 
 SPACE = r"[\s\x1c-\x1f]"
 LEADING_SPACE = rf"(?U)\A{SPACE}+"
-TRAILING_SPACE = rf"(?U){SPACE}+\z"
-LEADING_THINK_TAGS = rf"(?U)\A{SPACE}*(?:<think>{SPACE}*)*"
-TRAILING_THINK_TAGS = rf"(?U)(?:{SPACE}*</think>)*{SPACE}*\z"
+TRAILING_SPACE = rf"(?U)(?<!{SPACE}){SPACE}++\z"
+LEADING_THINK_TAGS = rf"(?U)\A{SPACE}*+(?:<think>{SPACE}*+)*+"
+TRAILING_THINK_TAGS = rf"(?U)(?<!{SPACE})(?<!</think>)(?:{SPACE}*+</think>)*+{SPACE}*+\z"
 THINK_PAIR = r"(?s)<think>(.*?)</think>"
 FENCED_CODE = r"(?isU)```(?:python|py)?[ \t\r]*\n?(.*?)```"
 BEFORE_FENCED_CODE = r"(?is)\A(.*?)```(?:python|py)?[ \t\r]*\n?.*?```"
@@ -26,6 +27,7 @@ CHUNK = r"(?U)[\s\x1c-\x1f]+|[A-Za-z_][A-Za-z_0-9]*|\d+(?:\.\d+)?|[^\s\x1c-\x1fA
 STARTER_FUNCTION = r"(?U)def\s+(\w+)\s*\("
 SOLUTION_CLASS = r"(?mU)^\s*class\s+Solution\b"
 
+# The texts of prompts.
 SYSTEM_PROMPT = (
     "You are an expert Python programmer.  Think carefully in your <think> block, then write correct, efficient, "
     "well-tested code.  Wrap your final code in a ```python ... ``` fenced block."
@@ -47,6 +49,7 @@ FUNCTION_TAIL = "```\n"
 TEXT_TAIL = "\n\nWrite the complete implementation in Python."
 CONTEST_TAIL = "\n\nImplement the complete solution in Python.  If a class Solution signature is provided, use it.  Return only runnable code in a ```python``` block."
 
+# Modes and fields of plans.
 #: (index, mode, label); the order of modes in every report.
 MODES = ((0, "free", "FREE"), (1, "fsm", "FSM"), (2, "prompt_terse", "PROMPT_TERSE"))
 

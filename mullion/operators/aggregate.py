@@ -79,34 +79,45 @@ def wide(results: DataFrame, *columns: str) -> DataFrame:
 
 
 def results_wide(results: DataFrame) -> DataFrame:
-    """One row a task with a struct for each mode; a missing mode is null."""
+    """One row a task with a struct for each mode; a missing mode is null, of repeated rows the least one counts."""
     names = [c for c in results.columns if c not in ("ordinal", "task_id", "mode", "ix")]
-    one = [F.first(F.when(F.col("mode") == m, F.struct(*names)), ignorenulls=True).alias(m) for m in MODE_NAMES]
+    one = [F.min(F.when(F.col("mode") == m, F.struct(*names))).alias(m) for m in MODE_NAMES]
     return results.groupBy("ordinal", "task_id").agg(*one)
 
 
-def _buckets(tasks: DataFrame, check: str, bucket: Column, names: tuple[str, ...]) -> DataFrame:
-    """(check, bucket, n, task_ids): ids in order; empty buckets stay while there is any task at all."""
-    labelled = tasks.select("ordinal", "task_id", bucket.alias("bucket"))
-    found = labelled.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("ordinal", "task_id"))).alias("rows"))
-    dimension = labelled.select(F.lit(1).alias("there")).limit(1).select(F.explode(F.array(*[F.struct(F.lit(i).alias("bucket_ix"), F.lit(n).alias("bucket")) for i, n in enumerate(names)])).alias("b")).select("b.*")
-    ids = F.coalesce(F.transform("rows", lambda r: r["task_id"]), F.expr("cast(array() as array<string>)"))
-    joined = dimension.join(found, "bucket", "left")
-    return joined.select(F.lit(check).alias("check"), "bucket", "bucket_ix", F.size(ids).cast("bigint").alias("n"), ids.alias("task_ids"))
+#: The buckets of each check, in order.
+CHECKS = {"free_vs_fsm": PAIR_BUCKETS, "prompt_terse_checks": TRIPLE_BUCKETS}
+
+
+def _buckets(results: DataFrame, *checks: str) -> DataFrame:
+    """(check, bucket, bucket_ix, n, task_ids): ids in order; empty buckets stay while the check has any task at all.
+
+    One pivot by task serves all checks: a task goes to a bucket of each that it has the modes for. The ids are the
+    result, so a bucket's are one row, as long as the run has problems.
+    """
+    tasks = wide(results, "pass")
+    pair = F.when((F.col("free_n") > 0) & (F.col("fsm_n") > 0), pair_bucket(F.col("free_pass"), F.col("fsm_pass")))
+    triple = F.when(pair.isNotNull() & (F.col("prompt_terse_n") > 0), triple_bucket(F.col("free_pass"), F.col("fsm_pass"), F.col("prompt_terse_pass")))
+    of = {"free_vs_fsm": pair, "prompt_terse_checks": triple}
+    each = tasks.select("ordinal", "task_id", F.explode(F.array(*[F.struct(F.lit(c).alias("check"), of[c].alias("bucket")) for c in checks])).alias("b"))
+    found = each.where("b.bucket is not null").groupBy("b.check", "b.bucket").agg(F.array_sort(F.collect_list(F.struct("ordinal", "task_id"))).alias("rows"))
+    by_check = found.groupBy("check").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "rows"))).alias("held"))
+    names = F.create_map(*[x for c in checks for x in (F.lit(c), F.array(*[F.lit(n) for n in CHECKS[c]]))])
+    rows = by_check.select("check", "held", F.posexplode(names[F.col("check")]).alias("bucket_ix", "bucket"))
+    ids = F.coalesce(F.transform(F.col("held")[F.col("bucket")], lambda r: r["task_id"]), F.expr("cast(array() as array<string>)"))
+    return rows.select("check", "bucket", "bucket_ix", F.size(ids).cast("bigint").alias("n"), ids.alias("task_ids"))
 
 
 def pair_overlap(results: DataFrame) -> DataFrame:
-    tasks = wide(results, "pass").where("free_n > 0 and fsm_n > 0")
-    return _buckets(tasks, "free_vs_fsm", pair_bucket(F.col("free_pass"), F.col("fsm_pass")), PAIR_BUCKETS)
+    return _buckets(results, "free_vs_fsm")
 
 
 def triple_overlap(results: DataFrame) -> DataFrame:
-    tasks = wide(results, "pass").where("free_n > 0 and fsm_n > 0 and prompt_terse_n > 0")
-    return _buckets(tasks, "prompt_terse_checks", triple_bucket(F.col("free_pass"), F.col("fsm_pass"), F.col("prompt_terse_pass")), TRIPLE_BUCKETS)
+    return _buckets(results, "prompt_terse_checks")
 
 
 def outcome_breakdown(results: DataFrame) -> DataFrame:
-    return pair_overlap(results).unionByName(triple_overlap(results))
+    return _buckets(results, *CHECKS)
 
 
 def pass_sets(results: DataFrame) -> DataFrame:

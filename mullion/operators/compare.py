@@ -22,6 +22,17 @@ def require_result(results: DataFrame, task_id: str, mode: str) -> DataFrame:
     return found
 
 
+def require_pair(left: DataFrame, right: DataFrame, task_id: str, left_mode: str, right_mode: str) -> DataFrame:
+    """The first row of a task on each side (side, ...); a side that doesn't have it is an error that names the side."""
+    found = []
+    for side, rows, mode in (("left", left, left_mode), ("right", right, right_mode)):
+        try:
+            found.append(require_result(rows, task_id, mode).withColumn("side", F.lit(side)))
+        except LookupError as e:
+            raise LookupError(f"{side} run: {e}") from e
+    return found[0].unionByName(found[1], allowMissingColumns=True)
+
+
 def first_rows(results: DataFrame) -> DataFrame:
     """One row for each task and mode, the first by ordinal."""
     names = [c for c in results.columns if c not in ("task_id", "mode")]

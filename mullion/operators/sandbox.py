@@ -17,32 +17,36 @@ from mullion.functions.prompts import test_program
 from mullion.functions.text import function_name, with_prelude
 
 TIMEOUT = 30
-#: How functional cases are run: the method of a Solution, else the function; arguments a JSON value or text a line;
-#: results equal when their JSON with sorted keys is.
+#: What calls the entry point: cases are (arguments, wanted result), compared by their JSON with sorted keys.
 HARNESS = """
-import json as _j
+def _run_cases(name, cases, scope):
+    from json import dumps
+
+    def entry_point():
+        owner = scope.get("Solution")
+        found = getattr(owner(), name, None) if hasattr(owner, name) else scope.get(name)
+        if found is None:
+            raise RuntimeError(f"entry point {name} not found")
+        return found
+
+    def same(left, right):
+        return dumps(left, sort_keys=True) == dumps(right, sort_keys=True)
+
+    target = entry_point()
+    for number, (arguments, wanted) in enumerate(cases):
+        result = target(*arguments)
+        if not same(result, wanted):
+            raise AssertionError(f"test {number}: expected {wanted!r}, got {result!r}")
+"""
+
 
-def _value(text):
+def value(text: str) -> object:
+    """A JSON value, or the text itself where it is none."""
     try:
-        return _j.loads(text)
-    except Exception:
+        return json.loads(text)
+    except ValueError:
         return text
 
-_scope = globals()
-_holder = _scope.get("Solution")
-if _holder is not None and hasattr(_holder, _NAME):
-    _call = getattr(_holder(), _NAME)
-elif _NAME in _scope:
-    _call = _scope[_NAME]
-else:
-    raise RuntimeError(f"entry point {_NAME} not found")
-for _i, _case in enumerate(_CASES):
-    _wanted = _value(_case["output"])
-    _got = _call(*[_value(x) for x in _case["input"].splitlines() if x.strip()])
-    if _j.dumps(_got, sort_keys=True) != _j.dumps(_wanted, sort_keys=True):
-        raise AssertionError(f"test {_i}: expected {_wanted!r}, got {_got!r}")
-"""
-
 
 def run_program(program: str, timeout: float) -> tuple[bool, str]:
     """(passed, last 500 characters of stderr, or TIMEOUT). From a file, as long programs don't fit a command line."""
@@ -70,7 +74,11 @@ def functional_program(code: str, name: str, cases: str | None) -> tuple[str | N
         return None, f"bad_tests: {e}"
     if not tests:
         return None, "no_tests"
-    return f"{code}\n\n_NAME = {name!r}\nimport json as _json\n_CASES = _json.loads({json.dumps(tests)!r})\n{HARNESS}", ""
+    try:
+        made = [([value(x) for x in t["input"].splitlines() if x.strip()], value(t["output"])) for t in tests]
+    except (AttributeError, KeyError, TypeError) as e:
+        return None, f"bad_tests: {type(e).__name__} {e}"
+    return f"{code}\n{HARNESS}\nimport json as _json\n_run_cases({name!r}, _json.loads({json.dumps(made)!r}), globals())\n", ""
 
 
 def run_tests(df: DataFrame, timeout: float = TIMEOUT, contest: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mullion.functions import patterns as p
 from mullion.functions.classify import failure_type
 from mullion.functions.extract import extract_think, with_code
-from mullion.functions.text import BLOAT_THRESHOLD, COMMENT_BLOAT_THRESHOLD, bloated, comment_metrics, count_tokens, cut_error, entry_point_found, post_think_tokens
+from mullion.functions.text import BLOAT_THRESHOLD, COMMENT_BLOAT_THRESHOLD, bloated, comment_metrics, count_tokens, cut_error, entry_point_found, function_name, post_think_tokens
 
 
 def modes_to_run(only: str) -> list[str]:
@@ -21,26 +21,30 @@ def mode_dimension(spark) -> DataFrame:
 
 
 def with_metrics(
-    responses: DataFrame, entry_point: Column | None = None, contest: bool = False, bloat: int = BLOAT_THRESHOLD, comment_bloat: int = COMMENT_BLOAT_THRESHOLD
+    responses: DataFrame, entry_point: Column | None = None, contest: bool | Column = False, bloat: int = BLOAT_THRESHOLD, comment_bloat: int = COMMENT_BLOAT_THRESHOLD
 ) -> DataFrame:
     """responses (raw_response, completion_tokens, ...) with everything that doesn't need a test run.
 
     Metrics are of the whole texts; the stored ones are cut to 500 characters afterwards.
     """
     df = with_code(responses, "raw_response", "full_")
-    df = df.withColumn("__think", F.when(F.col("raw_response").isNotNull(), extract_think(F.col("raw_response"))))
-    df = df.withColumns({"think_tokens": count_tokens(F.col("__think")), "total_tokens": F.coalesce(F.col("completion_tokens").cast("bigint"), count_tokens(F.col("raw_response"))), "__comments": comment_metrics(F.col("full_extracted_code"))})
-    df = df.withColumns({n: F.coalesce(F.col(f"__comments.{n}"), F.lit(0)) for n in ("code_lines", "code_comment_lines", "code_comment_tokens")})
+    df = df.withColumn("__score_think", F.when(F.col("raw_response").isNotNull(), extract_think(F.col("raw_response"))))
+    df = df.withColumns({"think_tokens": count_tokens(F.col("__score_think")), "total_tokens": F.coalesce(F.col("completion_tokens").cast("bigint"), count_tokens(F.col("raw_response"))), "__score_comments": comment_metrics(F.col("full_extracted_code"))})
+    df = df.withColumns({n: F.coalesce(F.col(f"__score_comments.{n}"), F.lit(0)) for n in ("code_lines", "code_comment_lines", "code_comment_tokens")})
     df = df.withColumns({"total_tokens": F.when(F.col("raw_response").isNotNull(), F.col("total_tokens")), "post_think_tokens": F.coalesce(post_think_tokens(F.col("total_tokens"), F.col("think_tokens")), F.lit(0))})
-    found = entry_point_found(F.col("full_extracted_code"), entry_point if entry_point is not None else F.lit("candidate"), contest)
+    code, name = F.col("full_extracted_code"), entry_point if entry_point is not None else F.lit("candidate")
+    if isinstance(contest, Column):
+        found = F.when(contest, entry_point_found(code, name, True)).otherwise(entry_point_found(code, name, False))
+    else:
+        found = entry_point_found(code, name, contest)
     df = df.withColumns({
         "answer_channel_bloat": bloated(F.col("post_think_tokens"), bloat),
         "comment_bloat": bloated(F.col("code_comment_tokens"), comment_bloat),
         "entry_point_found": F.coalesce(found, F.lit(False)),
-        "extracted_think": F.left("__think", F.lit(500)),
+        "extracted_think": F.left("__score_think", F.lit(500)),
         "extracted_code": F.left("full_extracted_code", F.lit(500)),
     })
-    return df.drop("full_extracted_code", *[c for c in df.columns if c.startswith("__")])
+    return df.drop("full_extracted_code", "__score_think", "__score_comments")
 
 
 def with_verdict(df: DataFrame, passed: Column, stderr: Column) -> DataFrame:
@@ -50,3 +54,22 @@ def with_verdict(df: DataFrame, passed: Column, stderr: Column) -> DataFrame:
     df = df.withColumn("pass", F.when(empty | failed, F.lit(False)).otherwise(passed))
     df = df.withColumn("err", F.when(failed, F.left(F.concat(F.lit("gen_error: "), F.coalesce(stderr, F.lit(""))), F.lit(300))).when(empty, "empty_code").when(F.col("pass"), "").otherwise(F.coalesce(cut_error(stderr), F.lit(""))))
     return df.withColumn("failure_type", failure_type(F.col("pass"), F.col("err"), F.col("extraction_issue"), F.col("entry_point_found")))
+
+
+def with_problem(responses: DataFrame, problems: DataFrame) -> DataFrame:
+    """Responses with what scoring needs of their problem: data set, entry point, test kind, and the tests themselves.
+
+    Of problems that share a task id the last one by ordinal counts; a response without a problem keeps nulls. Columns of
+    a problem that the responses have already are the responses' own.
+    """
+    name = F.when(F.col("dataset") == "livecodebench", function_name(F.col("metadata"), F.col("starter_code"))).otherwise(F.col("entry_point"))
+    kind = F.when(F.col("dataset") == "livecodebench", "functional").otherwise("check")
+    wanted = [c for c in ("dataset", "test", "metadata", "starter_code", "public_test_cases") if c not in responses.columns]
+    of = problems.withColumns({"entry_point": name, "test_kind": kind})
+    of = of.groupBy("task_id").agg(F.max_by(F.struct("entry_point", "test_kind", *wanted), "ordinal").alias("problem"))
+    return responses.join(of, "task_id", "left").select(*responses.columns, "problem.*")
+
+
+def score(responses: DataFrame, problems: DataFrame, **thresholds: int) -> DataFrame:
+    """Responses joined with their problems, with metrics; the entry point is looked for as the problem's data set asks."""
+    return with_metrics(with_problem(responses, problems), F.coalesce("entry_point", F.lit("")), F.col("test_kind").eqNullSafe("functional"), **thresholds)

@@ -15,7 +15,7 @@ from mullion.functions.plan_grammar import plan_fields, plan_kind
 from mullion.functions.prompts import request, rewritten_prompt, system_prompt, user_prompt
 from mullion.operators import aggregate as a
 from mullion.operators import compare, report
-from mullion.operators.scoring import mode_dimension, with_metrics
+from mullion.operators.scoring import mode_dimension, score, with_metrics
 from mullion.plans.oracles import ORACLES
 from mullion.sources import problems as src
 from mullion.sources.fixtures import fixture
@@ -170,6 +170,14 @@ def q_entry_point_found(spark, d):
     return code.select("ordinal", "mode", t.entry_point_found(F.col("extracted_code"), F.lit("f"), False).alias("plain"), t.entry_point_found(F.col("extracted_code"), F.lit("h"), True).alias("contest"))
 
 
+@query
+def q_scoring_join(spark, d):
+    """Responses with their problem's data set, entry point and kind of test, and whether the code shows that entry point."""
+    dataset = F.when(F.col("ordinal") % 2 == 0, "livecodebench").otherwise("humaneval")
+    known = fixture(spark, d, "problems").withColumns({"dataset": dataset, "entry_point": F.lit("f"), "test": F.lit("")})
+    return score(fixture(spark, d, "responses"), known).select("ordinal", "mode", "dataset", "entry_point", "test_kind", "entry_point_found")
+
+
 @query
 def q_prelude(spark, d):
     code = with_code(_answered(spark, d), "raw_response").withColumn("code", F.concat(F.when(F.col("ordinal") % 2 == 0, F.lit("from __future__ import annotations\n")).otherwise(""), F.col("extracted_code")))

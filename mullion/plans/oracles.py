@@ -68,8 +68,8 @@ _PLAT = "coalesce(platform, '') = 'leetcode'"
 _STARTER = _TRIM.format("coalesce(starter_code, '')")
 _USER = f"question_content || CASE WHEN {_STARTER} <> '' THEN chr(10) || chr(10) || 'Starter code:' || chr(10) || '```python' || chr(10) || {_STARTER} || chr(10) || '```' ELSE '' END || {_lit(p.CONTEST_TAIL)}"
 _DIRECT = f"replace(replace({_USER}, {_lit(p.FENCE_REQUESTS[0])}, {_lit(p.DIRECT_REQUEST)}), {_lit(p.FENCE_REQUESTS[1])}, {_lit(p.DIRECT_REQUEST)})"
-_TOKENS = r"regexp_extract_all({0}, '\s+|[A-Za-z_][A-Za-z_0-9]*|\d+(?:\.\d+)?|[^\sA-Za-z_0-9]')"
-_PANE = f"""{_RESP}, t0 AS (SELECT *, coalesce(nullif(raw_response, ''), 'gen_error: x') AS said FROM q WHERE k IN (2, 4, 5, 6, 7, 8, 9, 12, 14)),
+_TOKENS = r"regexp_extract_all({0}, '[\s\x0b\x1c-\x1f\x85\pZ]+|[A-Za-z_][A-Za-z_0-9]*|\p{{Nd}}+(?:\.\p{{Nd}}+)?|[^\s\x0b\x1c-\x1f\x85\pZA-Za-z_0-9]')"
+_PANE = f"""{_RESP}, t0 AS (SELECT *, coalesce(nullif(raw_response, ''), 'gen_error: x') AS said FROM q),
 t1 AS (SELECT *, {_TOKENS.format('said')} AS c FROM t0), t2 AS (SELECT *, coalesce(nullif(completion_tokens, 0), greatest(1, len(c))) AS total FROM t1),
 pane AS (SELECT *, CASE WHEN ordinal % 2 = 0 THEN 12.5::DOUBLE ELSE total / 40.0::DOUBLE END AS seconds FROM t2)"""
 _PLAN = r"^<think>\n{0}</think>\n\n[\x09\x0A\x0D\x20-\x7E]+$"
@@ -109,12 +109,14 @@ ORACLES: dict[str, str] = {
     "q_comment_metrics": f"{_ALL}, n AS (SELECT *, {_LINES} AS ls FROM m), o AS (SELECT *, list_filter(list_transform(ls, lambda x: ltrim(x)), lambda x: starts_with(x, '#')) AS cs FROM n), e AS (SELECT *, array_to_string(list_filter(list_transform(cs, lambda x: trim(substr(x, 2))), lambda x: x <> ''), chr(10)) AS said FROM o) SELECT q.ordinal, q.mode, CAST(coalesce(len(ls), 0) AS BIGINT) AS code_lines, CAST(coalesce(len(cs), 0) AS BIGINT) AS code_comment_lines, CAST(CASE WHEN coalesce(said, '') = '' THEN 0 ELSE greatest(1, length(said) // 4) END AS BIGINT) AS code_comment_tokens FROM q LEFT JOIN e USING (ordinal, mode)",
     "q_bloat_flags": f"{_ALL} SELECT mode, CAST(count(*) FILTER (greatest(total - greatest(1, length(think) // 4), 0) >= 1024) AS BIGINT) AS answer_channel_bloat, CAST(count(*) FILTER (regexp_matches(code, '(?m)^\\s*#\\s*\\S')) AS BIGINT) AS comment_bloat FROM m GROUP BY mode",
     "q_entry_point_found": f"{_RESP}, {_CODE} SELECT ordinal, mode, trim(code, chr(10) || ' ') <> '' AND regexp_matches(code, '(?m)^\\s*def\\s+f\\s*\\(') AS plain, trim(code, chr(10) || ' ') <> '' AND (regexp_matches(code, '(?m)^\\s*class\\s+Solution\\b') OR regexp_matches(code, '(?m)^\\s*def\\s+h\\s*\\(')) AS contest FROM c6",
+    "q_scoring_join": f"{_RESP}, {_CODE}, p AS ({fx.PROBLEMS}), o AS (SELECT task_id, max(ordinal) AS at FROM p GROUP BY task_id), n AS (SELECT p.task_id, CASE WHEN p.ordinal % 2 = 0 THEN 'livecodebench' ELSE 'humaneval' END AS dataset, CASE WHEN p.ordinal % 2 = 0 THEN {_NAME} ELSE 'f' END AS entry_point FROM p JOIN o ON o.task_id = p.task_id AND o.at = p.ordinal), e AS (SELECT q.ordinal, q.mode, dataset, entry_point, code FROM q LEFT JOIN n USING (task_id) LEFT JOIN c6 ON c6.ordinal = q.ordinal AND c6.mode = q.mode) SELECT ordinal, mode, dataset, entry_point, CASE WHEN dataset = 'livecodebench' THEN 'functional' WHEN dataset = 'humaneval' THEN 'check' END AS test_kind, coalesce(trim(code, chr(10) || ' ') <> '' AND CASE WHEN dataset = 'livecodebench' THEN entry_point <> '' AND (regexp_matches(code, '(?m)^\\s*class\\s+Solution\\b') OR regexp_matches(code, '(?m)^\\s*def\\s+' || entry_point || '\\s*\\(')) ELSE regexp_matches(code, '(?m)^\\s*def\\s+' || coalesce(entry_point, '') || '\\s*\\(') END, false) AS entry_point_found FROM e",
+    "q_summary_json": f"{_RES}, s AS ({_SUMMARY.format('r')}) SELECT mode, to_json(struct_pack(n := n, pass_rate := pass_rate, think_tokens_mean := think_tokens_mean, total_tokens_mean := total_tokens_mean, post_think_tokens_mean := post_think_tokens_mean, code_comment_tokens_mean := code_comment_tokens_mean))::VARCHAR AS summary FROM s",
     "q_prelude": f"{_RESP}, {_CODE} SELECT ordinal, mode, CASE WHEN ordinal % 2 = 0 THEN 'from __future__ import annotations' || chr(10) ELSE '' END || 'from typing import *' || CASE WHEN code = '' AND ordinal % 2 = 1 THEN '' WHEN code = '' THEN chr(10) ELSE chr(10) || code END AS program FROM c6",
-    "q_tokenize_chunks": f"{_RESP} SELECT ordinal, mode, CAST(len({_TOKENS.format('raw_response')}) AS BIGINT) AS n, array_to_string({_TOKENS.format('raw_response')}, '|') AS chunks, true AS lossless FROM q WHERE k IN (2, 4, 5, 6, 7, 8, 9, 12)",
+    "q_tokenize_chunks": f"{_RESP} SELECT ordinal, mode, CAST(len({_TOKENS.format('raw_response')}) AS BIGINT) AS n, array_to_string({_TOKENS.format('raw_response')}, '|') AS chunks, true AS lossless FROM q WHERE raw_response IS NOT NULL",
     "q_pane_payload": f"{_PANE} SELECT ordinal, mode, upper(mode) AS label, CAST(total AS BIGINT) AS total_tokens, seconds, CAST(len(c) AS BIGINT) AS n_chunks, false AS unsafe FROM pane",
     "q_tps": f"{_PANE} SELECT ordinal, max(total / greatest(seconds, 0.001)) AS tps, max(seconds) AS horizon FROM pane GROUP BY ordinal",
     "q_replay_prefix": f"{_PANE} SELECT ordinal, mode, '' AS at_0, array_to_string(c[: CAST(floor(0.375::DOUBLE * len(c)) AS BIGINT)], '') AS at_3, said AS at_9 FROM pane",
-    "q_split_close": f"{_RESP} SELECT ordinal, mode, md5(CASE WHEN contains(raw_response, '</think>') THEN string_split(raw_response, '</think>')[1] || '</think>' ELSE raw_response END) AS think, md5(replace(replace(replace(CASE WHEN contains(raw_response, '</think>') THEN array_to_string(string_split(raw_response, '</think>')[2:], '</think>') ELSE '' END, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS rest FROM q WHERE raw_response IS NOT NULL AND k <> 10",
+    "q_split_close": f"{_RESP} SELECT ordinal, mode, md5(CASE WHEN contains(raw_response, '</think>') THEN string_split(raw_response, '</think>')[1] || '</think>' ELSE raw_response END) AS think, md5(replace(replace(replace(CASE WHEN contains(raw_response, '</think>') THEN array_to_string(string_split(raw_response, '</think>')[2:], '</think>') ELSE '' END, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS rest FROM q WHERE raw_response IS NOT NULL",
     "q_plan_conforms": f"WITH x AS ({fx.PLANS}) SELECT ordinal, CASE WHEN regexp_matches(raw_response, '{_P3}') THEN 'plan_3' WHEN regexp_matches(raw_response, '{_P5}') THEN 'plan_5' ELSE 'none' END AS plan FROM x",
     "q_plan_fields": f"WITH x AS ({fx.PLANS}) SELECT ordinal, regexp_extract(raw_response, '{_P3}', 1) AS goal, regexp_extract(raw_response, '{_P3}', 2) AS approach, NULL::VARCHAR AS state, NULL::VARCHAR AS algo, regexp_extract(raw_response, '{_P3}', 3) AS edge, NULL::VARCHAR AS verify FROM x WHERE regexp_matches(raw_response, '{_P3}') UNION ALL SELECT ordinal, regexp_extract(raw_response, '{_P5}', 1), NULL, regexp_extract(raw_response, '{_P5}', 2), regexp_extract(raw_response, '{_P5}', 3), regexp_extract(raw_response, '{_P5}', 4), regexp_extract(raw_response, '{_P5}', 5) FROM x WHERE regexp_matches(raw_response, '{_P5}')",
     "q_classify_failure": f"{_RES}, c AS (SELECT *, left(right(repeat('x', 400) || err, 500), 200) AS cut FROM r) SELECT ordinal, mode, failure_type, {_FAILURE.format(err='cut')} AS as_cut FROM c",

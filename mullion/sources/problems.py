@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mullion.functions.patterns import MODES
 from mullion.sources.schemas import PROBLEMS, RESULT_ROWS, TEST_CASES
 
 
@@ -14,11 +16,26 @@ def load_problems(spark: SparkSession, dataset: str, path: str, version: str | N
         raise ValueError(f"unknown dataset {dataset}")
     reader = spark.read.schema(PROBLEMS)
     at = f"{path}/version={version}" if version else path
-    rows = reader.json(at) if path.rstrip("/").endswith((".json", ".jsonl")) else reader.option("basePath", path).parquet(at)
+    try:
+        rows = reader.json(at) if path.rstrip("/").endswith((".json", ".jsonl")) else reader.option("basePath", path).parquet(at)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        there = f"there are {', '.join(versions(spark, path)) or 'none'}" if version else "nothing is there"
+        raise FileNotFoundError(f"cannot load {dataset}{f' version {version}' if version else ''} from {path}: {there}. Give a path, or a version, that exists; this library fetches nothing.") from e
     rows = rows.where(F.col("dataset").isNull() | (F.col("dataset") == dataset))
     return rows.withColumn("task_id", F.coalesce("task_id", "question_id", "question_title", F.lit("unknown"))) if dataset == "livecodebench" else rows
 
 
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """The versions that a path has folders for."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(n.removeprefix("version=") for n in names if n.startswith("version="))
+
+
 def since(cutoff: str) -> Column:
     """Dates are texts that compare as such; an empty cutoff keeps all, a missing date is the empty text."""
     return (F.col("contest_date") >= cutoff) if cutoff else F.lit(True)
@@ -70,6 +87,23 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RESULT_ROWS).json(path)
 
 
-def read_grammar(path: str) -> str:
+def long_results(rows: DataFrame) -> DataFrame:
+    """Rows of a results file as (ordinal, task_id, mode, ...), one for each mode that a row has.
+
+    A row without an ordinal gets one by its place, which is the order of lines in a file.
+    """
+    order = {m: i for i, m, _ in MODES}
+    rows = rows.withColumn("ordinal", F.coalesce("ordinal", F.monotonically_increasing_id()))
+    each = F.array(*[F.struct(F.lit(i).alias("ix"), F.lit(m).alias("mode"), F.col(m).alias("of")) for m, i in order.items()])
+    out = rows.select("ordinal", "task_id", F.explode(each).alias("r")).where("r.of is not null")
+    return out.select("ordinal", "task_id", "r.ix", "r.mode", "r.of.*")
+
+
+def read_grammar(path: str | None, modes: list[str]) -> str | None:
+    """The grammar's text where a mode is to run that needs one; it is read only then, and has to be there."""
+    if "fsm" not in modes:
+        return None
+    if not path:
+        raise ValueError("mode fsm needs a grammar file")
     with open(path, encoding="utf-8") as f:
         return f.read()

@@ -21,4 +21,4 @@ MODE_RESULT = StructType(
     + [StructField("entry_point_found", BooleanType())]
     + _text("failure_type")
 )
-RESULT_ROWS = StructType([StructField("task_id", StringType()), *[StructField(m, MODE_RESULT) for m in ("free", "fsm", "prompt_terse")]])
+RESULT_ROWS = StructType([StructField("ordinal", LongType()), StructField("task_id", StringType()), *[StructField(m, MODE_RESULT) for m in ("free", "fsm", "prompt_terse")]])

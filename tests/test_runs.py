@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mullion.operators import aggregate as a
-from mullion.operators import compare, report, sandbox
+from mullion.operators import compare, evaluate, report, sandbox
 from mullion.operators.scoring import modes_to_run, with_metrics, with_verdict
 from mullion.operators.tokenizer import token_counter
 from mullion.plans.catalogue import results
@@ -106,3 +106,52 @@ def test_stream_counts(spark, tmp_path):
     run = live.live_accounting(made).writeStream.outputMode("complete").format("memory").queryName("accounting").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").start()
     run.awaitTermination(120)
     assert [(r["mode"], r.n, r.passes) for r in spark.table("accounting").collect()] == [("free", 4, 4)]
+
+
+def test_a_whole_run(spark, tmp_path):
+    cases = json.dumps([{"testtype": "functional", "input": "2", "output": "3"}])
+    problems = spark.createDataFrame(
+        [(0, "a", "humaneval", "f", "def check(g):\n    assert g(1) == 2", None, None), (1, "b", "livecodebench", None, None, cases, '{"func_name": "f"}'), (2, "b", "livecodebench", None, None, cases, '{"func_name": "h"}')],
+        "ordinal bigint, task_id string, dataset string, entry_point string, test string, public_test_cases string, metadata string",
+    ).withColumns({"starter_code": F.lit(None).cast("string"), "prompt": F.lit("do"), "question_content": F.lit("it")})
+    code = "t</think>```python\ndef {0}(x):\n    return x + 1\n```"
+    rows = [(0, "a", "free", code.format("f"), 9), (0, "a", "fsm", code.format("q"), None), (1, "b", "free", code.format("h"), 9), (1, "b", "fsm", "t</think>", 9), (1, "b", "prompt_terse", None, None)]
+    responses = spark.createDataFrame(rows, "ordinal bigint, task_id string, mode string, raw_response string, completion_tokens bigint")
+    made = evaluate.evaluate(responses, problems).persist()
+    got = {(r.task_id, r["mode"]): (r["pass"], r.failure_type, r.entry_point_found) for r in made.collect()}
+    assert got == {("a", "free"): (True, "pass", True), ("a", "fsm"): (False, "missing_entry_point", False), ("b", "free"): (True, "pass", True), ("b", "fsm"): (False, "extraction_empty_code", False), ("b", "prompt_terse"): (False, "generation_error", False)}
+    summary = evaluate.write_run(made, problems, f"{tmp_path}/run", {"model": "m", "dataset": "d"})
+    assert summary["free"]["pass_rate"] == 1.0 and json.loads((tmp_path / "run/summary.json").read_text())["n"] == 2
+    assert "## b" in (tmp_path / "run/report.md").read_text()
+    long = src.long_results(src.read_results(spark, f"{tmp_path}/run/results.jsonl"))
+    assert {(r.ordinal, r.task_id, r["mode"], r["pass"]) for r in long.collect()} == {(0 if t == "a" else 1, t, m, p) for (t, m), (p, *_) in got.items()}
+    assert compare.require_result(long, "b", "free").first().failure_type == "pass"
+    pair = compare.require_pair(long, long, "b", "free", "fsm").collect()
+    assert [(r.side, r["pass"]) for r in pair] == [("left", True), ("right", False)]
+    with pytest.raises(LookupError, match="right run: task 'a' has no mode"):
+        compare.require_pair(long, long, "a", "free", "prompt_terse")
+    with pytest.raises(ValueError, match="no problems"):
+        evaluate.evaluate(responses, problems.where("false"))
+
+
+def test_lines_without_ordinal_keep_their_order(spark, tmp_path):
+    lines = [{"task_id": t, "free": {"pass": p}} for t, p in (("x", False), ("y", True), ("x", True))]
+    (tmp_path / "r.jsonl").write_text("\n\n".join(map(json.dumps, lines)) + "\n")
+    long = src.long_results(src.read_results(spark, f"{tmp_path}/r.jsonl"))
+    assert compare.require_result(long, "x", "free").first()["pass"] is False and long.count() == 3
+
+
+def test_versions_and_grammar(spark, tmp_path):
+    spark.createDataFrame([(0, "q")], "ordinal bigint, question_id string").write.parquet(f"{tmp_path}/p/version=v5")
+    assert src.load_problems(spark, "livecodebench", f"{tmp_path}/p", "v5").first().task_id == "q"
+    with pytest.raises(FileNotFoundError, match="version v6 .* there are v5"):
+        src.load_problems(spark, "livecodebench", f"{tmp_path}/p", "v6")
+    (tmp_path / "g").write_text("code ::= [a-z]")
+    assert src.read_grammar(f"{tmp_path}/g", ["free", "fsm"]) == "code ::= [a-z]" and src.read_grammar("/nowhere", ["free"]) is None
+    with pytest.raises(ValueError, match="grammar"):
+        src.read_grammar(None, ["fsm"])
+
+
+def test_bad_cases_are_that_rows_error():
+    assert sandbox.functional_program("x", "f", '[{"input": 3}]')[1].startswith("bad_tests")
+    assert sandbox.functional_program("x", "f", "{")[1].startswith("bad_tests")
