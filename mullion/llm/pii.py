@@ -70,7 +70,9 @@ FAMILY_NAMES = (
 #: Words that stand after a given name without being a family name.
 NO_NAMES = "street avenue road university college hospital island river school church bridge said was and has the of in on at is january february march april june july august monday friday sunday".split()
 COMMON_WORDS = "the a an is are was it this that these here there look looking arrived stay meet me you him her us them point".split()
-NAME_PATTERN = rf"(?<![\p{{L}}])(?:{'|'.join(GIVEN_NAMES)}) [A-Z][a-z]{{2,20}}+(?![\p{{L}}])"
+#: By first letter, so that a word is held against a few names alone.
+_GIVEN = "|".join(f"{a}(?:{'|'.join(n[1:] for n in own)})" for a, own in itertools.groupby(sorted(GIVEN_NAMES), key=lambda n: n[0]))
+NAME_PATTERN = rf"(?=[A-Z])(?<![\p{{L}}])(?:{_GIVEN}) [A-Z][a-z]{{2,20}}+(?![\p{{L}}])"
 TLDS = "com org net edu gov mil int info biz name pro io ai co me tv dev app cloud shop xyz online de fr es uk eu it nl be ch at pl cz se no dk fi ie pt gr ro hu ru ua tr us ca mx br ar cl au nz jp cn kr in sg hk za il".split()
 CUES = {
     "email": "mail|contact|write to|@", "ip": "ip|server|host|address|login", "card": "card|visa|mastercard|amex|payment|credit|karte|carte|tarjeta",
