@@ -164,6 +164,29 @@ def cut_error(stderr: Column) -> Column:
     return F.left(F.right(stderr, F.lit(500)), F.lit(200))
 
 
+def padded(x: Column, width: int) -> Column:
+    """x with spaces before it, up to a width; longer ones stay whole."""
+    return F.lpad(x, F.greatest(F.length(x), F.lit(width)), F.lit(" "))
+
+
+def fixed(x: Column, places: int, signed: bool = False) -> Column:
+    """A double with so many decimals (0 to 2), rounded from its exact value, ties to even.
+
+    x is split into halves of few bits, so that twice its scaled value less an odd number has the right sign.
+    """
+    scale = 10**places
+    size = F.abs(x)
+    wide = size * F.lit(134217729.0)
+    high = wide - (wide - size)
+    low = size - high
+    whole = F.floor(size * scale)
+    over = (high * (2 * scale) - (whole * 2 + 1)) + low * (2 * scale)
+    units = whole + F.when((over > 0) | ((over == 0) & (whole % 2 == 1)), 1).otherwise(0)
+    sign = F.when(x < 0, "-").otherwise("+" if signed else "")
+    digits = F.floor(units / scale).cast("bigint").cast("string") if places else units.cast("string")
+    return F.concat(sign, digits, F.lit("."), F.lpad((units % scale).cast("string"), places, "0")) if places else F.concat(sign, digits)
+
+
 def ids_line(ids: Column, limit: int = 16) -> Column:
     shown = F.array_join(F.slice(ids, F.lit(1), F.lit(limit)), ", ")
     more = F.when(F.size(ids) > limit, F.concat(F.lit(", ... (+"), (F.size(ids) - limit).cast("string"), F.lit(")"))).otherwise("")

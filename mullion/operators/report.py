@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mullion.functions import patterns as p
-from mullion.functions.text import counts_line, ids_line, snippet, strip
-from mullion.operators.aggregate import outcome_tags, think_compression
+from mullion.functions.text import counts_line, fixed, ids_line, padded, snippet, strip
+from mullion.operators.aggregate import comparison, counts_by_mode, extraction_issues, failure_accounting, failure_types, outcome_tags, think_compression
 
 LEGEND = "Outcome legend: 🔺 FSM wins on a problem FREE got wrong · 🔻 FSM regresses vs FREE · 🟰 both pass · ❌ both fail · 🟡/🟠 PROMPT_TERSE-only divergence."
 
@@ -71,7 +71,7 @@ def report_sections(results: DataFrame, problems: DataFrame) -> DataFrame:
     ratio = think_compression(results).select("ordinal", "task_id", "ratio", "free_tokens", "fsm_tokens")
     rows = with_problem(made.join(tags, ["ordinal", "task_id"]).join(ratio, ["ordinal", "task_id"], "left"), problems)
     said = F.when(F.coalesce("statement", F.lit("")) != "", F.concat(F.lit("**Problem:**\n\n```text\n"), snippet(F.col("statement")), F.lit("\n```\n")))
-    compression = F.when(F.col("ratio").isNotNull(), F.concat(F.lit("_think compression_: **"), F.format_string("%.2f", "ratio"), F.lit("×** ("), F.col("free_tokens").cast("string"), F.lit(" → "), F.col("fsm_tokens").cast("string"), F.lit(" tokens)\n")))
+    compression = F.when(F.col("ratio").isNotNull(), F.concat(F.lit("_think compression_: **"), fixed(F.col("ratio"), 2), F.lit("×** ("), F.col("free_tokens").cast("string"), F.lit(" → "), F.col("fsm_tokens").cast("string"), F.lit(" tokens)\n")))
     body = F.concat(F.array(F.concat(F.lit("## "), F.col("task_id"), F.lit(" — "), F.col("tag"), F.lit("\n")), said), F.transform("parts", lambda x: x["markdown"]), F.array(compression, F.lit("---\n")))
     return rows.select("ordinal", "task_id", F.array_join(F.array_compact(body), "\n").alias("markdown"))
 
@@ -83,7 +83,7 @@ def report_header(dataset: str, n: int, model: str, modes: list[str], max_tokens
 def breakdown_lines(breakdown: DataFrame) -> DataFrame:
     """(check, bucket_ix, line) of overlaps, as a console shows them."""
     width = F.when(F.col("check") == "free_vs_fsm", 18).otherwise(34)
-    return breakdown.select("check", "bucket_ix", F.concat(F.rpad("bucket", width, " "), F.lit(" "), F.lpad(F.col("n").cast("string"), 3, " "), F.lit("  "), ids_line(F.col("task_ids"))).alias("line"))
+    return breakdown.select("check", "bucket_ix", F.concat(F.rpad("bucket", width, " "), F.lit(" "), padded(F.col("n").cast("string"), 3), F.lit("  "), ids_line(F.col("task_ids"))).alias("line"))
 
 
 def status_line(results: DataFrame) -> DataFrame:
@@ -99,3 +99,35 @@ def status_line(results: DataFrame) -> DataFrame:
 
 def count_lines(by_mode: DataFrame) -> DataFrame:
     return by_mode.select("mode", counts_line(F.col("counts")).alias("line"))
+
+
+def summary_lines(summary: DataFrame) -> DataFrame:
+    """(ix, line) of a mode summary, as a console shows it: a line a mode, then the comparison where free and fsm ran."""
+    order = F.coalesce(*[F.when(F.col("mode") == m, F.lit(i)) for i, m, _ in p.MODES])
+    label = F.coalesce(*[F.when(F.col("mode") == m, F.lit(v)) for _, m, v in p.MODES])
+    mean = lambda name, c: F.concat(F.lit(f"{name} = "), padded(fixed(F.col(f"{c}_mean"), 0), 6), F.lit(" tok"))
+    parts = [F.concat(F.lit("pass@1 = "), padded(fixed(F.col("pass_rate") * 100, 1), 5), F.lit("%")), mean("mean think", "think_tokens"), mean("mean total", "total_tokens")]
+    parts += [mean("post-think", "post_think_tokens"), mean("comments", "code_comment_tokens")]
+    modes = summary.select(order.alias("ix"), F.concat(F.rpad(label, 13, " "), F.lit(":  "), F.concat_ws("   ", *parts)).alias("line"))
+    delta = F.concat(F.lit("Accuracy delta (FSM − FREE): "), padded(fixed(F.col("accuracy_delta_pp"), 1, signed=True), 5), F.lit(" pp"))
+    ratio = F.concat(F.lit("Think-token compression    : "), padded(fixed(F.col("think_compression"), 2), 5), F.lit("×"))
+    both = comparison(summary).where("accuracy_delta_pp is not null")
+    at = len(p.MODES)
+    return modes.unionByName(both.select(F.inline(F.array(F.struct(F.lit(at).alias("ix"), delta.alias("line")), F.struct(F.lit(at + 1).alias("ix"), ratio.alias("line"))))))
+
+
+def accounting_lines(results: DataFrame) -> DataFrame:
+    """(ix, part, line) of the failure accounting, four lines a mode, as a console shows it."""
+    types = counts_by_mode(failure_types(results), "failure_type").select("mode", counts_line(F.col("counts")).alias("types"))
+    issues = counts_by_mode(extraction_issues(results), "extraction_issue").select("mode", counts_line(F.col("counts")).alias("issues"))
+    rows = failure_accounting(results).join(types, "mode", "left").join(issues, "mode", "left")
+    order = F.coalesce(*[F.when(F.col("mode") == m, F.lit(i)) for i, m, _ in p.MODES])
+    label = F.rpad(F.coalesce(*[F.when(F.col("mode") == m, F.lit(v)) for _, m, v in p.MODES]), 13, " ")
+    blank, said = F.lit(" " * 13), lambda c: F.coalesce(F.col(c), F.lit("-"))
+    lines = F.array(
+        F.concat(label, F.lit(" failures: "), padded(F.col("failures").cast("string"), 3), F.lit("  "), said("types")),
+        F.concat(blank, F.lit(" extraction issues: "), said("issues")),
+        F.concat(blank, F.lit(" post-think mean: "), fixed(F.col("post_think_tokens_mean"), 0), F.lit("  bloat: "), F.col("answer_channel_bloat").cast("string")),
+        F.concat(blank, F.lit(" comment mean: "), fixed(F.col("code_comment_tokens_mean"), 0), F.lit("  bloat: "), F.col("comment_bloat").cast("string")),
+    )
+    return rows.select(order.alias("ix"), F.posexplode(lines).alias("part", "line"))

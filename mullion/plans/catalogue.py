@@ -12,10 +12,10 @@ from mullion.functions import text as t
 from mullion.functions.classify import failure_type
 from mullion.functions.extract import extract_think, with_code
 from mullion.functions.plan_grammar import plan_fields, plan_kind
-from mullion.functions.prompts import request, rewritten_prompt, system_prompt, user_prompt
+from mullion.functions.prompts import request, rewritten_prompt, system_prompt, test_program, user_prompt
 from mullion.operators import aggregate as a
 from mullion.operators import compare, report
-from mullion.operators.scoring import mode_dimension, score, with_metrics
+from mullion.operators.scoring import mode_dimension, modes_to_run, score, with_metrics, with_verdict
 from mullion.plans.oracles import ORACLES
 from mullion.sources import problems as src
 from mullion.sources.fixtures import fixture
@@ -178,6 +178,27 @@ def q_scoring_join(spark, d):
     return score(fixture(spark, d, "responses"), known).select("ordinal", "mode", "dataset", "entry_point", "test_kind", "entry_point_found")
 
 
+@query
+def q_verdicts(spark, d):
+    """Verdicts of responses whose code a test would pass at every other problem: what has no code isn't run, and failed."""
+    rows = with_metrics(fixture(spark, d, "responses"), F.lit("f"))
+    rows = with_verdict(rows, F.col("ordinal") % 2 == 0, F.lit("AssertionError: test 0"))
+    return rows.select("ordinal", "mode", "pass", "err", "failure_type")
+
+
+@query
+def q_test_program(spark, d):
+    code = with_code(_answered(spark, d), "raw_response")
+    name = F.when(F.col("ordinal") % 2 == 0, "f").otherwise("")
+    return code.select("ordinal", "mode", F.md5(test_program(F.col("extracted_code"), F.lit("def check(g):\n    assert g(1) == 1"), name)).alias("program"))
+
+
+@query
+def q_modes_to_run(spark, d):
+    asked = ("both", "all", "free", "fsm", "prompt_terse")
+    return spark.createDataFrame([(only, i, m) for only in asked for i, m in enumerate(modes_to_run(only))], "asked string, ix bigint, mode string")
+
+
 @query
 def q_prelude(spark, d):
     code = with_code(_answered(spark, d), "raw_response").withColumn("code", F.concat(F.when(F.col("ordinal") % 2 == 0, F.lit("from __future__ import annotations\n")).otherwise(""), F.col("extracted_code")))
@@ -326,7 +347,17 @@ def q_report_markdown(spark, d):
 @query
 def q_report_sections(spark, d):
     rows = report.report_sections(results(spark, d), fixture(spark, d, "problems"))
-    return rows.select("ordinal", "task_id", (F.size(F.split("markdown", "\n### ")) - 1).cast("bigint").alias("sections"), F.contains("markdown", F.lit("_think compression_")).alias("compared"), F.substring_index("markdown", "\n", 1).alias("heading"))
+    return rows.select("ordinal", "task_id", (F.size(F.split("markdown", "\n### ")) - 1).cast("bigint").alias("sections"), F.contains("markdown", F.lit("_think compression_")).alias("compared"), F.substring_index("markdown", "\n", 1).alias("heading"), F.md5("markdown").alias("markdown"))
+
+
+@query
+def q_summary_lines(spark, d):
+    return report.summary_lines(a.mode_summary(results(spark, d))).select(F.col("ix").cast("bigint").alias("ix"), "line")
+
+
+@query
+def q_accounting_lines(spark, d):
+    return report.accounting_lines(results(spark, d)).select(F.col("ix").cast("bigint").alias("ix"), F.col("part").cast("bigint").alias("part"), "line")
 
 
 @query

@@ -2,9 +2,30 @@
 
 from __future__ import annotations
 
-from mullion.functions import patterns as p
 from mullion.sources import fixtures as fx
 
+# Fixed values, written out once more: a wrong one of the library shows.
+SYSTEM = (
+    "You are an expert Python programmer.  Think carefully in your <think> block, then write correct, efficient, "
+    "well-tested code.  Wrap your final code in a ```python ... ``` fenced block."
+)
+DIRECT_SYSTEM = (
+    "You are an expert Python programmer. Think only inside the required <think> block. After </think>, output runnable "
+    "Python code directly. Do not use Markdown fences. Do not write prose, scratch work, or comments after </think>, "
+    "even if the task prompt mentions a fenced code block."
+)
+TERSE_SYSTEM = (
+    "You are an expert Python programmer.  Think carefully but tersely.  Use exactly this thinking format before the final "
+    "answer:\n<think>\nGOAL: one short line\nAPPROACH: one short line\nEDGE: one short line\n</think>\n\nThen write correct, "
+    "efficient, well-tested code.  Wrap your final code in a ```python ... ``` fenced block."
+)
+FENCE_SHORT, FENCE_DOTS = "Return only runnable code in a ```python``` block.", "Return only runnable code in a ```python ... ``` fenced block."
+DIRECT = "Return only runnable Python code directly, with no Markdown fences, comments, or explanatory prose."
+FUNCTION_HEAD, FUNCTION_TAIL = "Complete the following Python function.  Return the full function including the signature and docstring.\n\n```python\n", "```\n"
+TEXT_TAIL = "\n\nWrite the complete implementation in Python."
+CONTEST_TAIL = "\n\nImplement the complete solution in Python.  If a class Solution signature is provided, use it.  Return only runnable code in a ```python``` block."
+MODES = ("free", "fsm", "prompt_terse")
+
 
 def _lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
@@ -66,14 +87,14 @@ _FUNCTIONAL = f"{_ARRAY} > 0 AND len(list_filter(json_extract_string(CASE WHEN j
 _DATE = "coalesce(contest_date, '') >= '2025-01-01'"
 _PLAT = "coalesce(platform, '') = 'leetcode'"
 _STARTER = _TRIM.format("coalesce(starter_code, '')")
-_USER = f"question_content || CASE WHEN {_STARTER} <> '' THEN chr(10) || chr(10) || 'Starter code:' || chr(10) || '```python' || chr(10) || {_STARTER} || chr(10) || '```' ELSE '' END || {_lit(p.CONTEST_TAIL)}"
-_DIRECT = f"replace(replace({_USER}, {_lit(p.FENCE_REQUESTS[0])}, {_lit(p.DIRECT_REQUEST)}), {_lit(p.FENCE_REQUESTS[1])}, {_lit(p.DIRECT_REQUEST)})"
+_USER = f"question_content || CASE WHEN {_STARTER} <> '' THEN chr(10) || chr(10) || 'Starter code:' || chr(10) || '```python' || chr(10) || {_STARTER} || chr(10) || '```' ELSE '' END || {_lit(CONTEST_TAIL)}"
+_DIRECT = f"replace(replace({_USER}, {_lit(FENCE_SHORT)}, {_lit(DIRECT)}), {_lit(FENCE_DOTS)}, {_lit(DIRECT)})"
 _TOKENS = r"regexp_extract_all({0}, '[\s\x0b\x1c-\x1f\x85\pZ]+|[A-Za-z_][A-Za-z_0-9]*|\p{{Nd}}+(?:\.\p{{Nd}}+)?|[^\s\x0b\x1c-\x1f\x85\pZA-Za-z_0-9]')"
 _PANE = f"""{_RESP}, t0 AS (SELECT *, coalesce(nullif(raw_response, ''), 'gen_error: x') AS said FROM q),
 t1 AS (SELECT *, {_TOKENS.format('said')} AS c FROM t0), t2 AS (SELECT *, coalesce(nullif(completion_tokens, 0), greatest(1, len(c))) AS total FROM t1),
 pane AS (SELECT *, CASE WHEN ordinal % 2 = 0 THEN 12.5::DOUBLE ELSE total / 40.0::DOUBLE END AS seconds FROM t2)"""
 _PLAN = r"^<think>\n{0}</think>\n\n[\x09\x0A\x0D\x20-\x7E]+$"
-_P3, _P5 = (_PLAN.format("".join(rf"{f}: ([^\n]+)\n" for f in fs)) for fs in (p.PLAN_3, p.PLAN_5))
+_P3, _P5 = (_PLAN.format("".join(rf"{f}: ([^\n]+)\n" for f in fs)) for fs in (("GOAL", "APPROACH", "EDGE"), ("GOAL", "STATE", "ALGO", "EDGE", "VERIFY")))
 _MARK = "'{0}: `' || {1} || '`'"
 _META = "concat_ws(' · ', " + ", ".join([
     f"CASE WHEN failure_type <> 'pass' THEN {_MARK.format('failure', 'failure_type')} END", f"CASE WHEN extraction_issue <> 'none' THEN {_MARK.format('extraction', 'extraction_issue')} END",
@@ -84,6 +105,7 @@ _TAG = """CASE WHEN t AND NOT f AND NOT s THEN '🟡 PROMPT_TERSE-only pass' WHE
   CASE WHEN f AND s THEN '🟰 both pass' WHEN f AND NOT s THEN '🔻 FSM regression' WHEN NOT f AND s THEN '🔺 FSM wins' WHEN NOT f AND NOT s THEN '❌ both fail'
   WHEN f THEN 'free only: ✓' WHEN NOT f THEN 'free only: ✗' WHEN s THEN 'fsm only: ✓' WHEN NOT s THEN 'fsm only: ✗' WHEN t THEN 'prompt_terse only: ✓' WHEN NOT t THEN 'prompt_terse only: ✗' ELSE '—' END
   || CASE WHEN f IS NOT NULL AND s IS NOT NULL AND t IS NOT NULL THEN CASE WHEN t THEN '; prompt_terse=✓' ELSE '; prompt_terse=✗' END ELSE '' END END"""
+_SECTION = f"'### ' || upper(mode) || '  ' || CASE WHEN pass THEN '✓ pass' ELSE '✗ fail' END || '  (think: ' || coalesce(think_tokens::VARCHAR, '-') || ' tok, total: ' || coalesce(total_tokens::VARCHAR, '-') || ' tok)' || chr(10) || chr(10) || '_meta:_ ' || {_META} || chr(10) || CASE WHEN err <> '' THEN chr(10) || '_error:_' || chr(10) || '```text' || chr(10) || err || chr(10) || '```' || chr(10) ELSE '' END"
 _LATEST = "l AS (SELECT task_id, arg_max(coalesce(nullif(prompt, ''), question_content), ordinal) AS statement FROM p GROUP BY task_id)"
 _SIDE = "SELECT task_id, arg_min(pass, ordinal) AS pass, arg_min(total_tokens, ordinal) AS total FROM r WHERE mode = '{0}' GROUP BY task_id"
 
@@ -95,10 +117,10 @@ ORACLES: dict[str, str] = {
     "q_fn_name": f"{_PROB} SELECT ordinal, {_NAME} AS fn_name FROM p",
     "q_test_counts": f"{_PROB} SELECT ordinal, CAST({_ARRAY} AS BIGINT) AS n_tests FROM p",
     "q_parse_test_args": f"{_PROB}, c AS (SELECT ordinal, unnest(range(0, CAST({_ARRAY} AS BIGINT))) AS case_ix, public_test_cases AS j FROM p) SELECT ordinal, CAST(case_ix AS BIGINT) AS case_ix, 1::BIGINT AS n_args, json_extract_string(j, '$[' || case_ix || '].input') AS args, json_extract_string(j, '$[' || case_ix || '].output') AS expected FROM c",
-    "q_user_prompt": f"{_PROB} SELECT ordinal, 'humaneval' AS dataset, {_lit(p.FUNCTION_HEAD)} || coalesce(prompt, '') || {_lit(p.FUNCTION_TAIL)} AS prompt FROM p UNION ALL SELECT ordinal, 'mbpp', coalesce(prompt, '') || {_lit(p.TEXT_TAIL)} FROM p UNION ALL SELECT ordinal, 'livecodebench', {_USER} FROM p",
+    "q_user_prompt": f"{_PROB} SELECT ordinal, 'humaneval' AS dataset, {_lit(FUNCTION_HEAD)} || coalesce(prompt, '') || {_lit(FUNCTION_TAIL)} AS prompt FROM p UNION ALL SELECT ordinal, 'mbpp', coalesce(prompt, '') || {_lit(TEXT_TAIL)} FROM p UNION ALL SELECT ordinal, 'livecodebench', {_USER} FROM p",
     "q_prompt_rewrite": f"{_PROB} SELECT ordinal, {_DIRECT} AS closed, {_USER} AS open FROM p",
-    "q_system_prompt": f"{_PROB} SELECT ordinal, CASE WHEN ordinal % 2 = 0 THEN {_lit(p.DIRECT_CODE_SYSTEM_PROMPT)} ELSE {_lit(p.SYSTEM_PROMPT)} END AS prompt FROM p",
-    "q_request_rows": f"{_PROB} SELECT ordinal, mode, CASE mode WHEN 'fsm' THEN {_lit(p.DIRECT_CODE_SYSTEM_PROMPT)} WHEN 'free' THEN {_lit(p.SYSTEM_PROMPT)} ELSE {_lit(p.PROMPT_TERSE_SYSTEM_PROMPT)} END AS system, md5(CASE mode WHEN 'fsm' THEN {_DIRECT} ELSE {_USER} END) AS user_md5, 8192::BIGINT AS max_tokens, 0.0::DOUBLE AS temperature, CASE WHEN mode = 'fsm' THEN 'code ::= [a-z]+' END AS grammar FROM p CROSS JOIN (VALUES ('free'), ('fsm'), ('prompt_terse')) AS m(mode)",
+    "q_system_prompt": f"{_PROB} SELECT ordinal, CASE WHEN ordinal % 2 = 0 THEN {_lit(DIRECT_SYSTEM)} ELSE {_lit(SYSTEM)} END AS prompt FROM p",
+    "q_request_rows": f"{_PROB} SELECT ordinal, mode, CASE mode WHEN 'fsm' THEN {_lit(DIRECT_SYSTEM)} WHEN 'free' THEN {_lit(SYSTEM)} ELSE {_lit(TERSE_SYSTEM)} END AS system, md5(CASE mode WHEN 'fsm' THEN {_DIRECT} ELSE {_USER} END) AS user_md5, 8192::BIGINT AS max_tokens, 0.0::DOUBLE AS temperature, CASE WHEN mode = 'fsm' THEN 'code ::= [a-z]+' END AS grammar FROM p CROSS JOIN (VALUES ('free'), ('fsm'), ('prompt_terse')) AS m(mode)",
     "q_message_text": f"WITH m AS ({fx.MESSAGES}), n AS (SELECT *, coalesce(nullif(reasoning_content, ''), nullif(reasoning, '')) AS said FROM m) SELECT ordinal, CASE WHEN said IS NULL THEN coalesce(content, '') ELSE '<think>' || chr(10) || {_UNTAG.format('said')} || chr(10) || '</think>' || chr(10) || chr(10) || coalesce(content, '') END AS text FROM n",
     "q_strip_think_tags": f"{_RESP} SELECT ordinal, mode, md5({_UNTAG.format('raw_response')}) AS stripped, md5(string_split(raw_response, '</think>')[-1]) AS after, md5(string_split(raw_response, '</think>')[1]) AS before, CAST(len(string_split(raw_response, '</think>')) - 1 AS BIGINT) AS closes FROM q WHERE raw_response IS NOT NULL",
     "q_extract_think": f"{_RESP} SELECT ordinal, mode, {_THINK} AS think FROM q WHERE raw_response IS NOT NULL",
@@ -131,15 +153,35 @@ ORACLES: dict[str, str] = {
     "q_golden_overlap": f"WITH g AS ({fx.GOLDEN}), {_W.format(src='g')} SELECT * FROM ({_overlap('free_vs_fsm')}) UNION ALL SELECT * FROM ({_overlap('prompt_terse_checks')})",
     "q_pass_set_algebra": f"{_RES}, {_W.format(src='r')} SELECT {_PAIR} AS bucket, task_id FROM w WHERE f IS NOT NULL AND s IS NOT NULL",
     "q_outcome_tag": f"{_RES}, {_W.format(src='r')} SELECT ordinal, task_id, {_TAG} AS tag FROM w",
-    "q_format_ids": f"{_RES}, {_W.format(src='r')}, k AS (SELECT {_PAIR} AS bucket, list(task_id ORDER BY ordinal) AS ids FROM w WHERE f IS NOT NULL AND s IS NOT NULL GROUP BY ALL) SELECT 'free_vs_fsm' AS \"check\", CAST(bucket_ix AS BIGINT) AS bucket_ix, rpad(b.bucket, 18, ' ') || ' ' || lpad(coalesce(len(ids), 0)::VARCHAR, greatest(3, 1), ' ') || '  ' || CASE WHEN ids IS NULL THEN '-' ELSE array_to_string(ids[:16], ', ') || CASE WHEN len(ids) > 16 THEN ', ... (+' || (len(ids) - 16) || ')' ELSE '' END END AS line FROM {_PAIRS} LEFT JOIN k ON k.bucket = b.bucket",
+    "q_format_ids": f"{_RES}, {_W.format(src='r')}, k AS (SELECT {_PAIR} AS bucket, list(task_id ORDER BY ordinal) AS ids FROM w WHERE f IS NOT NULL AND s IS NOT NULL GROUP BY ALL) SELECT 'free_vs_fsm' AS \"check\", CAST(bucket_ix AS BIGINT) AS bucket_ix, rpad(b.bucket, 18, ' ') || ' ' || lpad(coalesce(len(ids), 0)::VARCHAR, greatest(3, length(coalesce(len(ids), 0)::VARCHAR))::INTEGER, ' ') || '  ' || CASE WHEN ids IS NULL THEN '-' ELSE array_to_string(ids[:16], ', ') || CASE WHEN len(ids) > 16 THEN ', ... (+' || (len(ids) - 16) || ')' ELSE '' END END AS line FROM {_PAIRS} LEFT JOIN k ON k.bucket = b.bucket",
     "q_format_counts": f"{_RES}, k AS (SELECT mode, failure_type, count(*) AS n FROM r WHERE NOT pass GROUP BY ALL) SELECT mode, string_agg(failure_type || '=' || n, ', ' ORDER BY failure_type) AS line FROM k GROUP BY mode",
     "q_modes_present": f"{_RES} SELECT DISTINCT CAST(ix AS BIGINT) AS ix, mode, upper(mode) AS label FROM r",
     "q_problem_lookup": f"{_RES}, p AS ({fx.PROBLEMS}), {_LATEST} SELECT ordinal, mode, md5(statement) AS statement FROM r LEFT JOIN l USING (task_id)",
-    "q_report_markdown": f"{_RES} SELECT ordinal, mode, '### ' || upper(mode) || '  ' || CASE WHEN pass THEN '✓ pass' ELSE '✗ fail' END || '  (think: ' || coalesce(think_tokens::VARCHAR, '-') || ' tok, total: ' || coalesce(total_tokens::VARCHAR, '-') || ' tok)' || chr(10) || chr(10) || '_meta:_ ' || {_META} || chr(10) || CASE WHEN err <> '' THEN chr(10) || '_error:_' || chr(10) || '```text' || chr(10) || err || chr(10) || '```' || chr(10) ELSE '' END AS markdown FROM r",
-    "q_report_sections": f"{_RES}, {_W.format(src='r')}, c AS (SELECT ordinal, count(*) AS n, max(think_tokens) FILTER (mode = 'free') > 0 AND max(think_tokens) FILTER (mode = 'fsm') > 0 AS cmp FROM r GROUP BY ordinal) SELECT ordinal, task_id, n AS sections, coalesce(cmp, false) AS compared, '## ' || task_id || ' — ' || {_TAG} AS heading FROM w JOIN c USING (ordinal)",
+    "q_report_markdown": f"{_RES} SELECT ordinal, mode, {_SECTION} AS markdown FROM r",
+    "q_report_sections": f"""{_RES}, p AS ({fx.PROBLEMS}), {_LATEST}, {_W.format(src='r')},
+c AS (SELECT ordinal, count(*) AS n, max(think_tokens) FILTER (mode = 'free') AS ft, max(think_tokens) FILTER (mode = 'fsm') AS st, string_agg({_SECTION}, chr(10) ORDER BY ix) AS parts FROM r GROUP BY ordinal),
+h AS (SELECT w.ordinal, w.task_id, n, coalesce(ft > 0 AND st > 0, false) AS compared, '## ' || w.task_id || ' — ' || {_TAG} AS heading, ft, st, parts, {_TRIM.format('statement')} AS said, statement FROM w JOIN c USING (ordinal) LEFT JOIN l ON l.task_id = w.task_id)
+SELECT ordinal, task_id, n AS sections, compared, heading, md5(heading || chr(10) || chr(10) ||
+  CASE WHEN coalesce(statement, '') <> '' THEN '**Problem:**' || chr(10) || chr(10) || '```text' || chr(10) || CASE WHEN length(said) > 400 THEN regexp_replace(left(said, 400), '[\\s\\x0b\\x1c-\\x1f]+$', '') || ' …' ELSE said END || chr(10) || '```' || chr(10) || chr(10) ELSE '' END ||
+  parts || chr(10) || CASE WHEN compared THEN '_think compression_: **' || printf('%.2f', ft / greatest(st, 1)) || '×** (' || ft || ' → ' || st || ' tokens)' || chr(10) || chr(10) ELSE '' END || '---' || chr(10)) AS markdown FROM h""",
+    "q_summary_lines": f"""{_RES}, s AS ({_SUMMARY.format('r')}), m AS (SELECT CASE mode WHEN 'free' THEN 0 WHEN 'fsm' THEN 1 ELSE 2 END::BIGINT AS ix, * FROM s)
+SELECT ix, rpad(upper(mode), 13, ' ') || printf(':  pass@1 = %5.1f%%   mean think = %6.0f tok   mean total = %6.0f tok   post-think = %6.0f tok   comments = %6.0f tok', pass_rate * 100, think_tokens_mean, total_tokens_mean, post_think_tokens_mean, code_comment_tokens_mean) AS line FROM m
+UNION ALL SELECT 3, printf('Accuracy delta (FSM − FREE): %+5.1f pp', (b.pass_rate - a.pass_rate) * 100) FROM s a, s b WHERE a.mode = 'free' AND b.mode = 'fsm'
+UNION ALL SELECT 4, printf('Think-token compression    : %5.2f×', a.think_tokens_mean / greatest(b.think_tokens_mean, 1)) FROM s a, s b WHERE a.mode = 'free' AND b.mode = 'fsm'""",
+    "q_verdicts": f"""{_RESP}, {_CODE}, v0 AS (SELECT q.ordinal, q.mode, coalesce(extraction_issue, 'generation_error') AS extraction_issue, coalesce(trim(code, chr(10) || ' ') <> '' AND regexp_matches(code, '(?m)^\\s*def\\s+f\\s*\\('), false) AS entry_point_found FROM q LEFT JOIN c6 ON c6.ordinal = q.ordinal AND c6.mode = q.mode),
+v AS (SELECT *, ordinal % 2 = 0 AND extraction_issue NOT IN ('generation_error', 'empty_code') AS pass, CASE WHEN extraction_issue = 'generation_error' THEN 'gen_error: AssertionError: test 0' WHEN extraction_issue = 'empty_code' THEN 'empty_code' WHEN ordinal % 2 = 0 THEN '' ELSE 'AssertionError: test 0' END AS err FROM v0)
+SELECT ordinal, mode, pass, err, {_FAILURE.format(err='err')} AS failure_type FROM v""",
+    "q_test_program": f"{_RESP}, {_CODE} SELECT ordinal, mode, md5(code || chr(10) || chr(10) || 'def check(g):' || chr(10) || '    assert g(1) == 1' || chr(10) || chr(10) || 'check(' || CASE WHEN ordinal % 2 = 0 THEN 'f' ELSE 'candidate' END || ')' || chr(10)) AS program FROM c6",
+    "q_accounting_lines": f"""{_RES}, t AS (SELECT mode, string_agg(k || '=' || n, ', ' ORDER BY k) AS said FROM (SELECT mode, failure_type AS k, count(*) AS n FROM r WHERE NOT pass GROUP BY ALL) GROUP BY mode),
+i AS (SELECT mode, string_agg(k || '=' || n, ', ' ORDER BY k) AS said FROM (SELECT mode, extraction_issue AS k, count(*) AS n FROM r WHERE extraction_issue <> 'none' GROUP BY ALL) GROUP BY mode),
+a AS (SELECT mode, min(ix) AS ix, count(*) FILTER (NOT pass) AS f, sum(post_think_tokens)::DOUBLE / count(*) AS post, count(*) FILTER (answer_channel_bloat) AS ab, sum(code_comment_tokens)::DOUBLE / count(*) AS com, count(*) FILTER (comment_bloat) AS cb FROM r GROUP BY mode),
+x AS (SELECT a.*, coalesce(t.said, '-') AS ts, coalesce(i.said, '-') AS is_ FROM a LEFT JOIN t ON t.mode = a.mode LEFT JOIN i ON i.mode = a.mode)
+SELECT CAST(ix AS BIGINT) AS ix, CAST(part AS BIGINT) AS part, CASE part WHEN 0 THEN rpad(upper(mode), 13, ' ') || printf(' failures: %3d  ', f) || ts WHEN 1 THEN repeat(' ', 13) || ' extraction issues: ' || is_
+  WHEN 2 THEN repeat(' ', 13) || printf(' post-think mean: %.0f  bloat: %d', post, ab) ELSE repeat(' ', 13) || printf(' comment mean: %.0f  bloat: %d', com, cb) END AS line FROM x, (VALUES (0), (1), (2), (3)) AS v(part)""",
+    "q_modes_to_run": "SELECT asked, CAST(ix AS BIGINT) AS ix, mode FROM (VALUES ('both', 0, 'free'), ('both', 1, 'fsm'), ('all', 0, 'free'), ('all', 1, 'fsm'), ('all', 2, 'prompt_terse'), ('free', 0, 'free'), ('fsm', 0, 'fsm'), ('prompt_terse', 0, 'prompt_terse')) AS v(asked, ix, mode)",
     "q_status_lines": f"{_RES} SELECT ordinal, task_id, string_agg(mode || '=' || CASE WHEN pass THEN '✓' ELSE '✗' END || ' (' || coalesce(think_tokens::VARCHAR, '-') || 'tt)', '   ' ORDER BY ix) || coalesce('  |  ' || string_agg(mode || ': ' || left(err, 80), ' ; ' ORDER BY ix) FILTER (NOT pass AND err <> ''), '') AS line FROM r GROUP BY ordinal, task_id",
     "q_think_compression_per_task": f"{_RES}, k AS (SELECT ordinal, task_id, max(think_tokens) FILTER (mode = 'free') AS free_tokens, max(think_tokens) FILTER (mode = 'fsm') AS fsm_tokens FROM r GROUP BY ordinal, task_id) SELECT *, free_tokens / greatest(fsm_tokens, 1) AS ratio FROM k WHERE free_tokens > 0 AND fsm_tokens > 0",
     "q_results_lookup": f"{_RES} SELECT ordinal, mode, pass, failure_type, total_tokens FROM r WHERE task_id = 'P8' AND mode = 'fsm' ORDER BY ordinal LIMIT 1",
     "q_pair_runs": f"{_RES}, a AS ({_SIDE.format('free')}), b AS ({_SIDE.format('fsm')}) SELECT task_id, a.pass AS left_pass, a.total AS left_total_tokens, b.pass AS right_pass, b.total AS right_total_tokens FROM a JOIN b USING (task_id)",
-    "q_results_wide": f"{_RES} SELECT ordinal, task_id, " + ", ".join(f"any_value({c}) FILTER (mode = '{m}') AS {m}_{c}" for _, m, _ in p.MODES for c in ("pass", "think_tokens", "failure_type")) + " FROM r GROUP BY ordinal, task_id",
+    "q_results_wide": f"{_RES} SELECT ordinal, task_id, " + ", ".join(f"any_value({c}) FILTER (mode = '{m}') AS {m}_{c}" for m in MODES for c in ("pass", "think_tokens", "failure_type")) + " FROM r GROUP BY ordinal, task_id",
 }
