@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mullion.llm.common import chunks, connected_components, only_result, partitions_for, window_hashes, word_hashes, written
+from mullion.llm.common import WORD_GAP, chunks, connected_components, only_result, partitions_for, window_hashes, word_hashes, written
 from mullion.llm.exchange import CHUNK_BYTES, HELD, Told, bits_for, chunked, runs, tell
 
 WORDS = 5
@@ -495,13 +495,35 @@ def components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     return kept[0]
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row for each id, that of the least text, and one for each text with words among rows without id.
+
+    Ids and digests are counted first, by partial aggregation; only rows that repeat one of them move.
+    """
+    words = F.length(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), WORD_GAP, "")) > 0
+    alike = F.when(F.col(id_col).isNotNull(), F.concat(F.lit("i"), F.col(id_col).cast("string"))).when(words, F.concat(F.lit("t"), F.sha2(F.col(text_col).cast("binary"), 256)))
+    repeated = docs.select(alike.alias("__alike")).where("__alike is not null").groupBy("__alike").agg(F.count("*").alias("__n")).where("__n > 1").select("__alike")
+    repeated = written(repeated, "repeated")
+    if repeated.isEmpty():
+        return docs
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(alike.alias("__alike"), row.alias("__row"), F.col(text_col).alias("__text"))
+    once = rows.join(repeated, "__alike", "left_anti")
+    again = rows.join(repeated, "__alike", "left_semi")
+    again = again.groupBy("__alike").agg(F.min_by("__row", F.struct("__text", F.to_json("__row"))).alias("__row"))
+    return once.select("__row.*").unionByName(again.select("__row.*"))
+
+
 def keep_one(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose doc_id is the smallest of its class, with the columns they came with; rows without id stay."""
+    """One row of each class, with the columns it came with: that with the smallest doc_id, of one id that of the least text.
+
+    Rows without id are in no class; of those with equal texts one stays.
+    """
     gone = components(docs, percent, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
     gone = written(gone, "gone")
     if gone.count() <= BROADCAST_IDS:  # else texts and ids meet by a shuffle
         gone = F.broadcast(gone)
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    return one_of_each(docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti"), id_col, text_col)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

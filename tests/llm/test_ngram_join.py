@@ -31,7 +31,17 @@ def test_nulls_repeats_and_empty_tables(spark):
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id) for r in m.components(docs).collect())
     assert got == [(-1, 2, None), (3, 2, 3), (3, 2, 3), (5, 0, 5), (9, 2, 3)]
     assert m.components(docs.where("false")).count() == 0
-    assert m.keep_one(docs).count() == 4
+    kept = sorted((r.doc_id or -1, r.text) for r in m.keep_one(docs).select("doc_id", F.coalesce("text", F.lit("-")).alias("text")).collect())
+    assert kept == [(-1, "a b c d e f"), (3, "a b c d e f"), (5, "-")]
+
+
+def test_keep_one_of_repeated_and_missing_ids(spark):
+    rows = [(1, "p q r s t", {"a": 1}), (1, "z y x", {"b": 2}), (1, "z y x", {"b": 2}), (None, "u v", {"c": 3}), (None, "u v", {"c": 3}), (None, " ", None), (None, None, None), (2, None, None), (2, None, None), (4, "P q r s t", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, `__alike` map<string,int>").repartition(3)
+    kept = m.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = Counter((r[0], r[1]) for r in kept.collect())
+    assert got == Counter([(1, "p q r s t"), (None, "u v"), (None, " "), (None, None), (2, None)])
 
 
 def test_needed_overlap():
