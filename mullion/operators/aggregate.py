@@ -64,8 +64,12 @@ def extraction_methods(results: DataFrame) -> DataFrame:
 
 
 def extraction_issues(results: DataFrame) -> DataFrame:
-    """Of issues that are there: a missing one is none."""
-    return results.where(F.coalesce(F.col("extraction_issue"), F.lit("none")) != "none").groupBy("mode", "extraction_issue").agg(F.count("*").cast("bigint").alias("n"))
+    """Of issues that are there: a missing one is none.
+
+    Counted, not filtered before: a filter would write the whole extraction out again below its projections.
+    """
+    there = F.coalesce(F.col("extraction_issue"), F.lit("none")) != "none"
+    return results.groupBy("mode", "extraction_issue").agg(F.count_if(there).cast("bigint").alias("n")).where("n > 0")
 
 
 def wide(results: DataFrame, *columns: str) -> DataFrame:
