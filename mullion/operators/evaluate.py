@@ -17,7 +17,9 @@ from mullion.sources.problems import require_rows
 def programs(responses: DataFrame, problems: DataFrame) -> DataFrame:
     """What is there to run: the whole code of each response, with its problem's tests; nothing where no code was found."""
     rows = with_code(with_problem(responses, problems), "raw_response", "full_")
-    return rows.where("extraction_method not in ('empty', 'not_run')").withColumn("code", F.col("full_extracted_code"))
+    # rows without code yield null, which is dropped above the generator: a filter below would write the extraction out again
+    found = F.when(~F.col("extraction_method").isin("empty", "not_run"), F.array("full_extracted_code"))
+    return rows.withColumn("code", F.explode_outer(found)).where("code is not null")
 
 
 def run_programs(rows: DataFrame, timeout: float = sandbox.TIMEOUT) -> DataFrame:
