@@ -148,3 +148,30 @@ def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "t
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+#: All measures and the verdict over every text, with its own copy of words and bounds.
+OP6_SQL = r"""
+WITH x AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda s: s <> '') AS w,
+      list_filter(string_split(t, chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS l FROM x),
+z AS (SELECT r, list_zip(w, w[2:], w[3:], true) AS z FROM w WHERE len(w) >= 3),
+g AS (SELECT r, unnest(z) AS g, generate_subscripts(z, 1) AS i FROM z),
+twice AS (SELECT r, unnest(list(i)) AS i FROM g GROUP BY r, g HAVING count(*) > 1),
+again AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS v(k) GROUP BY r),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+      CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+      CAST(coalesce(again.n, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines, length(regexp_replace(t, '\P{L}+', '', 'g')) AS n_letters,
+      len(list_filter(l, lambda s: regexp_matches(s, '^[\x20\x09-\x0D]*[-*•‣]'))) AS n_bullets,
+      len(list_filter(w, lambda s: lower(s) IN (
+        'the', 'of', 'and', 'to', 'in', 'a', 'is', 'that', 'for', 'it', 'as', 'was', 'with', 'be', 'by', 'on', 'not', 'he', 'at', 'but', 'are', 'this', 'have', 'from', 'or', 'had', 'an', 'they', 'which', 'one',
+        'de', 'la', 'le', 'et', 'les', 'des', 'en', 'un', 'du', 'une', 'que', 'est', 'pour', 'qui', 'dans', 'par', 'plus', 'pas', 'au', 'sur', 'ne', 'se', 'ce', 'il', 'sont', 'avec', 'ou', 'elle',
+        'der', 'die', 'und', 'den', 'von', 'zu', 'das', 'mit', 'sich', 'auf', 'ist', 'im', 'dem', 'nicht', 'ein', 'eine', 'als', 'auch', 'es', 'er', 'so', 'dass', 'aus', 'bei', 'sie',
+        'el', 'y', 'los', 'del', 'las', 'por', 'con', 'no', 'una', 'su', 'para', 'al', 'lo', 'como', 'o', 'pero', 'sus', 'ha', 'me', 'si', 'sin'))) AS n_stop
+      FROM w LEFT JOIN again ON again.r = w.r),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND word_chars / n_words BETWEEN 2.0 AND 14.0 AND n_symbols / n_words <= 0.3 AND n_stop / n_words >= 0.02
+       AND n_dup_lines / n_lines <= 0.5 AND n_bullets / n_lines <= 0.9 AND n_letters / word_chars >= 0.6 AS kept
+FROM b
+"""

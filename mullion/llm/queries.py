@@ -12,7 +12,7 @@ from mullion.llm.decontaminate import OP5_SQL, op5_decontaminate
 from mullion.llm.license_scan import op7_license_scan
 from mullion.llm.ngram_join import OP1_SQL, op1_ngram_join
 from mullion.llm.pii import op3_pii
-from mullion.llm.quality_rules import op6_quality_rules
+from mullion.llm.quality_rules import OP6_SQL, op6_quality_rules
 from mullion.llm.substring_dedup import OP8_SQL, op8_substring_dedup
 from mullion.llm.url_filters import OP10_SQL, op10_url_filters
 from mullion.llm.warc import OP2_SQL, op2_warc
@@ -38,6 +38,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_ngram_join": OP1_SQL,
         "op2_warc": OP2_SQL,
         "op5_decontaminate": OP5_SQL,
+        "op6_quality_rules": OP6_SQL,
         "op8_substring_dedup": OP8_SQL,
         "op10_url_filters": OP10_SQL,
     }

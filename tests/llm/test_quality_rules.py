@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from mullion.llm import quality_rules as m
+from tests.compare import both
 from tests.llm import plain
 
 
@@ -51,3 +52,16 @@ def test_windows_of_equal_hash_are_told_apart_by_their_words(spark, monkeypatch)
     texts = {1: "a b c d e f g", 2: "a b c x a b c y b c x", 3: "a a a a", 4: "p q"}
     for r in m.judge(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect():
         assert r.n_repeat_words == plain.quality(texts[r.doc_id])[4]
+
+
+def test_verdicts_equal_sql(spark, small_docs, tmp_path):
+    """All columns, verdicts too, over the given table and over texts made for each rule and its bounds."""
+    docs, _ = small_docs
+    clean = " ".join(f"the word{i} of thing{i} is plain{i}" for i in range(20))
+    made = [clean, clean + " #" * 36, clean + " #" * 60, " ".join(f"xq{i}" for i in range(80)), "\n".join(f"- the a{i} b{i} c{i} d{i} e{i}" for i in range(12)), "\n".join(["the", clean, *["the"] * 5]), "the " + " ".join(f"{'w' * 15}{i}" for i in range(60)), "of the " * 30, " ".join(f"the {i} 77{i}" for i in range(60)), "• İ K " + clean, None]
+    docs.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(made)], "doc_id bigint, text string")).coalesce(1).write.parquet(f"{tmp_path}/documents")
+    file = next(tmp_path.glob("documents/*.parquet"))
+    file.rename(tmp_path / "documents.parquet")
+    for folder in (str(tmp_path), "/root/testdata/sf0.001"):
+        ours, theirs = both(spark, folder, m.op6_quality_rules, m.OP6_SQL)
+        assert ours == theirs and {r[2] for r in ours} == {False, True}
