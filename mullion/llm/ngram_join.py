@@ -13,7 +13,8 @@ edges, one edge a posting, never all pairs. Each cluster's documents then come t
 DivideSkip itself runs: heap-merge of short lists with skips, binary probes of long ones, and the exact overlap needed
 for the two sizes. Within a cluster, documents already linked to one another aren't searched again: first each document
 queries the leaders of the classes so far, then the documents outside the largest class query all others. Clusters over
-BLOCK_SHINGLES are dealt into blocks, whose class leaders, then the documents outside the largest class, query every block.
+BLOCK_SHINGLES are dealt into blocks, whose class leaders, then the documents outside the largest class, query every block
+that one of their short lists has an entry in.
 
 Cases: null or wordless text: an empty set, linked with nothing; fewer than five words: the whole sequence is one
 shingle; equal sets (exact copies, repeated rows) meet by a 128-bit digest, so a group of copies costs one posting list
@@ -452,6 +453,10 @@ def similar_links(docs: DataFrame, table: DataFrame, percent: int = PERCENT, blo
     if not n_large:
         return found
     texts = written(large.join(texts, "doc_id"), "large")
+    # similar documents share a short list, so a document asks only the blocks that its short lists have entries in
+    lists = table.where("short is not null").select("doc_id", F.explode(F.concat("short", F.coalesce("hot", F.array().cast("array<bigint>")))).alias("h"))
+    lists = written(lists.join(large.select("doc_id", "cluster", "block"), "doc_id"), "lists")
+    in_blocks = lists.select("cluster", "h", F.col("block").alias("to")).distinct()
     for leaders in (True, False):  # first one document of each class of each block, then all outside the largest class
         inside = found.join(large.select(F.col("doc_id").alias("a")), "a", "left_semi")
         labels = connected_components(inside.unionByName(large.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))), "large")
@@ -463,7 +468,8 @@ def similar_links(docs: DataFrame, table: DataFrame, percent: int = PERCENT, blo
             count = labels.groupBy("cluster", "class").agg(F.count("*").alias("n"))
             most = count.groupBy("cluster").agg(F.max_by("class", F.struct("n", "class")).alias("most"))
             asked = labels.join(most, "cluster").where("class <> most")
-        spread = asked.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asked"), "class", "doc_id", "text")
+        goals = lists.join(asked.select("doc_id"), "doc_id", "left_semi").join(in_blocks, ["cluster", "h"]).select("doc_id", "to").distinct()
+        spread = asked.join(goals, "doc_id").select("cluster", F.col("to").alias("block"), F.lit(True).alias("asked"), "class", "doc_id", "text")
         more = _search_blocks(base.unionByName(spread), n_large * 2, percent, True)
         found = written(found.unionByName(more), "links")
     return found
