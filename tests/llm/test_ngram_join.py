@@ -119,3 +119,22 @@ def test_an_id_with_two_texts_joins_their_classes(spark):
     for parts in (1, 3):
         docs = spark.createDataFrame([(3, a), (5, a), (5, b), (7, b)], "doc_id bigint, text string").repartition(parts)
         assert {(r.doc_id, r.component_id) for r in m.components(docs).collect()} == {(3, 3), (5, 3), (7, 3)}
+
+
+def test_a_chain_does_not_ask_all_blocks(spark, monkeypatch):
+    """Each document is like its neighbours alone: its text doesn't go to all blocks of the cluster."""
+    words = [f"w{i}" for i in range(900)]
+    rows = [(i, " ".join(words[10 * i : 10 * i + 100])) for i in range(80)]
+    asked, search = [], m._search_blocks
+
+    def counted(df, n, percent, between):
+        if between:
+            own = df.where("asked")
+            asked.append((own.count(), own.select("doc_id").distinct().count() * df.select("block").distinct().count()))
+        return search(df, n, percent, between)
+
+    monkeypatch.setattr(m, "_search_blocks", counted)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in m.components(docs, block_shingles=400).collect()}
+    assert got == plain.components(rows) and {c for _, c in got.values()} == {0}
+    assert 0 < asked[0][0] < asked[0][1]
