@@ -46,11 +46,20 @@ def whole_numbers(vectors: DataFrame, id_col: str, vector_col: str, label_col: s
     )
 
 
+def rows_of(column: pa.Array, kind: type) -> np.ndarray:
+    """A column of packed numbers as (rows, width)."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+
+
+def packed(rows: np.ndarray) -> pa.Array:
+    """Rows of numbers as a column of their bytes: a state of lists costs Spark several times as much to read and write."""
+    return pa.array([r.tobytes() for r in rows], pa.binary())
+
+
 def parted(column: pa.Array, parts: int) -> np.ndarray:
-    """A list column as (rows, parts, width) of 64-bit integers."""
-    rows = len(column)
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    return flat.reshape(rows, parts, -1)
+    """A column of vectors, lists or packed, as (rows, parts, width) of 64-bit integers."""
+    flat = rows_of(column, np.int32) if pa.types.is_binary(column.type) else column.flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.int64).reshape(len(column), parts, -1)
 
 
 def squared(x: np.ndarray, book: np.ndarray) -> np.ndarray:
@@ -91,8 +100,6 @@ def assign(x: np.ndarray, book: np.ndarray, steps: np.ndarray | None, code: np.n
 def round_of(state: DataFrame, books: np.ndarray, steps: np.ndarray | None, name: str) -> DataFrame:
     """The state after assigning all parts to `books` (parts, entries, width), with a row of sums and counts for each task."""
     parts, entries, width = books.shape
-    types = {f.name: pa.list_(pa.int32()) if f.name == "whole" else None for f in state.schema.fields}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, counts, scanned, schema = np.zeros((parts, entries, width), np.int64), np.zeros((parts, entries), np.int64), 0, None
         for b in batches:
@@ -103,22 +110,22 @@ def round_of(state: DataFrame, books: np.ndarray, steps: np.ndarray | None, name
             if steps is None:
                 codes, upper, lower = np.zeros((len(x), parts), np.uint8), np.zeros((len(x), parts)), np.zeros((len(x), parts))
             else:
-                codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), np.uint8).reshape(-1, parts).copy()
-                upper, lower = (b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, parts).copy() for c in ("upper", "lower"))
+                codes, upper, lower = (rows_of(b.column(c), kind).copy() for c, kind in (("codes", np.uint8), ("upper", np.float64), ("lower", np.float64)))
             for p in range(parts):
                 code, u, low = codes[:, p].astype(np.int64), upper[:, p].copy(), lower[:, p].copy()
                 scanned += assign(x[:, p], books[p], None if steps is None else steps[p], code, u, low)
                 codes[:, p], upper[:, p], lower[:, p] = code, u, low
                 np.add.at(sums[p], code, x[:, p])
                 counts[p] += np.bincount(code, minlength=entries)
-            lists = [pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), parts).cast(pa.list_(pa.float64())) for v in (upper, lower)]
+            whole = b.column("whole") if steps is not None else packed(x.reshape(len(x), -1).astype(np.int32))
             none = [pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label"), b.column("whole"), pa.array([c.tobytes() for c in codes], pa.binary()), *lists, *none], schema.names)
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label"), whole, packed(codes), packed(upper), packed(lower), *none], schema.names)
         if schema is not None and counts.any():
             own = {"scans": pa.array([scanned], pa.int64()), "sums": pa.array([np.append(sums.ravel(), counts.ravel()).tolist()], pa.list_(pa.int64()))}
-            yield pa.RecordBatch.from_arrays([own.get(f.name, pa.nulls(1, types[f.name] or f.type)) for f in schema], schema.names)
+            yield pa.RecordBatch.from_arrays([own.get(f.name, pa.nulls(1, f.type if f.name in ("vec_id", "label") else pa.binary())) for f in schema], schema.names)
 
-    return written(state.where("sums IS NULL").mapInArrow(run, state.schema), name)
+    made = StructType([StructField("whole", BinaryType()) if f.name == "whole" else f for f in state.schema.fields])
+    return written(state.where("sums IS NULL").mapInArrow(run, made), name)
 
 
 def added(state: DataFrame, books: np.ndarray) -> tuple[np.ndarray, int]:
@@ -149,7 +156,7 @@ def compress(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     # The entries' first values: a top-k of `entries` rows.
     first = kept.orderBy(F.col("vec_id").asc_nulls_last(), "whole").limit(entries).collect()
     books = np.stack([np.array([r.whole for r in first], np.int64).reshape(len(first), parts, -1)[:, p] for p in range(parts)])
-    state = kept.select("vec_id", "label", "whole", F.lit(None).cast("binary").alias("codes"), *(F.lit(None).cast("array<double>").alias(c) for c in ("upper", "lower")),
+    state = kept.select("vec_id", "label", "whole", *(F.lit(None).cast("binary").alias(c) for c in ("codes", "upper", "lower")),
                         F.lit(None).cast("bigint").alias("scans"), F.lit(None).cast("array<bigint>").alias("sums"))
     steps, scans, before = None, [], kept
     for k in range(rounds + 1):
@@ -167,7 +174,7 @@ def compress(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
         for b in batches:
             if b.num_rows:
                 x = parted(b.column("whole"), parts)
-                codes = np.frombuffer(b"".join(b.column("codes").to_pylist()), np.uint8).reshape(-1, parts)
+                codes = rows_of(b.column("codes"), np.uint8)
                 away = x - last[np.arange(parts), codes]
                 yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label"), b.column("codes"), pa.array((away * away).sum((1, 2)))], ["vec_id", "label", "code", "error"])
 
