@@ -16,6 +16,7 @@ from mullion.functions.prompts import request, rewritten_prompt, system_prompt,
 from mullion.operators import aggregate as a
 from mullion.operators import compare, report
 from mullion.operators.scoring import mode_dimension, modes_to_run, score, with_metrics, with_verdict
+from mullion.plans import grammars
 from mullion.plans.oracles import ORACLES
 from mullion.sources import problems as src
 from mullion.sources.fixtures import fixture
@@ -393,3 +394,10 @@ def q_summary_json(spark, d):
     """A row a mode, its part of the summary as JSON."""
     rows = a.mode_summary(results(spark, d))
     return rows.select("mode", F.to_json(F.struct(*[c for c in rows.columns if c != "mode"])).alias("summary"))
+
+
+# -- queries with a module of their own ---------------------------------------------------------------------------------
+
+for _part in (grammars,):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
