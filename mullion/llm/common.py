@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import re
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow.compute as pc
+import xxhash
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +27,8 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-#: Folders that this process has made, by application.
-_MADE: dict[str, list[str]] = {}
+#: Folders made since the innermost only_result() began; each thread has its own.
+_MADE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,7 +47,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
     return path
 
 
@@ -76,16 +80,19 @@ def drop_written(df: DataFrame) -> None:
 
 @contextlib.contextmanager
 def only_result(spark: SparkSession) -> Iterator[list[DataFrame]]:
-    """Deletes, at the end, the folders made inside the block; tables appended to the list that it gives stay."""
-    made = _MADE.setdefault(spark.sparkContext.applicationId, [])
-    before, kept = len(made), []
+    """Deletes, at the end, the folders made inside the block by its thread; tables appended to the list that it gives stay."""
+    made, kept = [], []
+    before = _MADE.set(made)
     try:
         yield kept
     finally:
+        _MADE.reset(before)
         stay = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for df in kept for f in df.inputFiles()}
-        gone = [p for p in made[before:] if p.split(":", 1)[-1].lstrip("/") not in stay]
-        delete(spark, *gone)
-        made[before:] = [p for p in made[before:] if p not in gone]
+        is_kept = lambda p: p.split(":", 1)[-1].lstrip("/") in stay
+        delete(spark, *(p for p in made if not is_kept(p)))
+        outer = _MADE.get()
+        if outer is not None:
+            outer += [p for p in made if is_kept(p)]
 
 
 def words_of(text: Column | str) -> Column:
@@ -99,24 +106,6 @@ def partitions_for(spark: SparkSession, rows: int, per_partition: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_partition))
 
 
-class Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, as many as were asked for."""
-
-    BASE = 0x9E3779B97F4A7C15
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
-            self.up, self.down = (np.multiply.accumulate(np.append(np.uint64(1), np.full(size - 1, x, np.uint64))) for x in (self.BASE, pow(self.BASE, -1, 1 << 64)))
-        return self.up[:n], self.down[:n]
-
-
-POWERS = Powers()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x ^= x >> np.uint64(32)
     x *= MIX2
@@ -126,16 +115,17 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray | int) -> np.ndarray:
-    """A hash of the values in each range from starts to ends, from running sums: order counts, place doesn't."""
-    up, down = POWERS(len(values))
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * down, out=sums[1:])
-    return (sums[ends] - sums[starts]) * up[starts]
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The hash of two neighbours: order counts, and the left one is mixed before the right one meets it."""
+    return _mixed(_mixed(left * MIX2 + MIX) ^ right)
 
 
 def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The 64-bit hashes of all words of some texts, one after another, and the n+1 offsets of the texts in them."""
+    """The 64-bit hashes of all words of some texts, one after another, and the n+1 offsets of the texts in them.
+
+    Words of up to seven bytes are a number with their length, mixed one to one: no two of them share a hash. Longer ones
+    are hashed by a function without algebraic structure, so no pattern of letters makes two of them agree.
+    """
     whole = b" ".join(t or b"" for t in texts)
     hashes, starts, at = [], [], 0
     while at < len(whole):
@@ -147,8 +137,13 @@ def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         edge = np.diff(inside)
         start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         if len(start):
-            size = (stop - start).astype(np.uint64)
-            hashes.append(_mixed(_ranges(part.astype(np.uint64) + np.uint64(1), start, stop) + size * MIX))
+            size = stop - start
+            eight = np.ndarray((len(part),), "<u8", np.append(part, np.zeros(8, np.uint8)), strides=(1,))
+            bits = np.uint64(8) * np.minimum(size, 7).astype(np.uint64)
+            own = _mixed((eight[start] & ((np.uint64(1) << bits) - np.uint64(1))) | (np.minimum(size, 8).astype(np.uint64) << np.uint64(56)))
+            long = np.flatnonzero(size > 7)
+            own[long] = np.fromiter((xxhash.xxh3_64_intdigest(whole[a:b]) for a, b in zip((start[long] + at).tolist(), (stop[long] + at).tolist(), strict=True)), np.uint64, len(long))
+            hashes.append(own)
             starts.append(start + at)
         at = end
     flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
@@ -157,10 +152,24 @@ def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.append(0, np.searchsorted(held, ends)).astype(np.int64)
 
 
-def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """A hash of every window of `size` consecutive hashes (windows over text ends included)."""
-    starts = np.arange(max(0, len(words) - size + 1))
-    return _mixed(_ranges(words, starts, starts + size)) if len(starts) else np.zeros(0, np.uint64)
+def window_hashes(words: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
+    """A hash of every window of `size` consecutive hashes (windows over text ends included); another salt, another hash.
+
+    Windows of a power of two are made of two halves each, the rest of such parts: a tree of mixing steps, not a sum of products.
+    """
+    n = max(0, len(words) - size + 1)
+    if not n:
+        return np.zeros(0, np.uint64)
+    part, width = _mixed(words ^ np.uint64(salt)) if salt else words, 1
+    out, done = None, 0
+    while True:
+        if size & width:
+            mine = part[done : done + n]
+            out = mine if out is None else _joined(out, mine)
+            done += width
+        if done == size:
+            return _mixed(out + np.uint64(size))
+        part, width = _joined(part[:-width], part[width:]), 2 * width
 
 
 def chunks(column, limit: int = CHUNK_BYTES) -> Iterator[tuple]:

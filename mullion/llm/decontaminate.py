@@ -9,8 +9,9 @@ The seeds lose nothing: MASKS are such that any 12 to 16 words of which AGREE pe
 of fewer than 12 words may differ in k words, so it is cut into k+1 runs of equal length, one of which is whole; these
 runs are masks without gaps, and only used when the benchmark has such items.
 
-The benchmark is broadcast while it has at most BROADCAST_SEEDS seeds, a size that is counted first; the seeds are then
-probed in the task that made them, and only hits leave it. A larger benchmark joins by shuffle: only hashes and positions
+The benchmark is broadcast while it has at most BROADCAST_SEEDS seeds, a size that is counted first; a seed is some 40 bytes
+(hash, item, place, length of the item), and the items' words, which are no more than their seeds, are a table of their own that hits
+meet afterwards. The seeds are then probed in the task that made them, and only hits leave it. A larger benchmark joins by shuffle: only hashes and positions
 move, and words come back for the documents that were hit. Words are maximal runs of letters and digits, lower-cased;
 they are compared by 64-bit hashes.
 
@@ -70,13 +71,13 @@ def seeds(df: DataFrame, keys: str, masks: list, *kept: str, items: bool = False
 
 
 def _beside(found: DataFrame) -> DataFrame:
-    """Of hits with the words of both sides, those of the document that lie along the item, one row a diagonal."""
+    """Of hits with the document's words, those that lie along the item, one row a diagonal."""
     d = F.col("at") - F.col("item_at")
     found = found.select(
-        "doc_id", "key", "item_id", d.alias("diagonal"), "item_words",
-        F.slice("words", F.greatest(d, F.lit(0)) + 1, F.greatest(F.size("item_words") + F.least(d, F.lit(0)), F.lit(0))).alias("near"),
+        "doc_id", "key", "item_id", "item_key", d.alias("diagonal"),
+        F.slice("words", F.greatest(d, F.lit(0)) + 1, F.greatest(F.col("item_size") + F.least(d, F.lit(0)), F.lit(0))).alias("near"),
     )
-    return found.groupBy("doc_id", "key", "item_id", "item_words", "diagonal").agg(F.first("near").alias("near"))
+    return found.groupBy("doc_id", "key", "item_id", "item_key", "diagonal").agg(F.first("near").alias("near"))
 
 
 def _confirmed(hits: DataFrame) -> DataFrame:
@@ -92,20 +93,22 @@ def _confirmed(hits: DataFrame) -> DataFrame:
 def _hits(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
     """Confirmed diagonals of documents (key, doc_id, __text)."""
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("__item")).where("item_id is not null").select("item_id", word_keys("__item").alias("item_words"))
-    items = written(items.where(F.size("item_words") >= LEAST_WORDS), "items")
+    items = items.where(F.size("item_words") >= LEAST_WORDS).distinct()  # items may share an id, so a key says which one it is
+    items = written(items.select("*", F.xxhash64("item_id", "item_words").alias("item_key"), F.size("item_words").alias("item_size")), "items")
     masks = masks_for(items)
-    planted = seeds(items, "item_words", masks, "item_id", "item_words", items=True).withColumnRenamed("at", "item_at")
+    planted = seeds(items, "item_words", masks, "item_id", "item_key", "item_size", items=True).withColumnRenamed("at", "item_at")
+    words = items.select("item_id", "item_key", "item_words")
     texts = docs
     docs = docs.select("doc_id", "key", word_keys("__text").alias("words"))
     if planted.select(F.lit(1)).limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
-        return _confirmed(_beside(seeds(docs, "words", masks, "doc_id", "key", "words").join(F.broadcast(planted), "seed")))
-    found = seeds(docs, "words", masks, "doc_id", "key").join(planted.drop("item_words"), "seed")
+        return _confirmed(_beside(seeds(docs, "words", masks, "doc_id", "key", "words").join(F.broadcast(planted), "seed")).join(F.broadcast(words), ["item_id", "item_key"]))
+    found = seeds(docs, "words", masks, "doc_id", "key").join(planted, "seed")
     d = F.col("at") - F.col("item_at")
-    found = found.groupBy("doc_id", "key", "item_id", d.alias("diagonal")).agg(F.min("at").alias("at"), F.min("item_at").alias("item_at"))
+    found = found.groupBy("doc_id", "key", "item_id", "item_key", "item_size", d.alias("diagonal")).agg(F.min("at").alias("at"), F.min("item_at").alias("item_at"))
     texts = texts.dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key"), "__text")
     found = found.join(texts, (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__doc")))
-    found = found.join(items, "item_id").withColumn("words", word_keys("__text"))
-    return _confirmed(_beside(found))
+    found = found.withColumn("words", word_keys("__text"))
+    return _confirmed(_beside(found).join(words, ["item_id", "item_key"]))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -119,7 +122,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """The rows of docs that no benchmark item overlaps with, as they came."""
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("__text"))
     found = written(_hits(keyed, benchmark, item_col, item_text).select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key")).distinct(), "leaks")
-    return docs.join(found, docs[id_col].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs[text_col]) == F.col("__key")), "left_anti")
+    # the rows move as one column, so none of their names meets those of this join
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(found, rows["doc_id"].eqNullSafe(found["__doc"]) & (rows["key"] == found["__key"]), "left_anti").select("row.*")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -529,7 +529,9 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", te
     gone = written(gone, "gone")
     if gone.count() <= BROADCAST_IDS:  # else texts and ids meet by a shuffle
         gone = F.broadcast(gone)
-    return one_of_each(docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti"), id_col, text_col)
+    # the rows move as one column, so none of their names meets that of this join
+    rows = docs.select(F.col(id_col).alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return one_of_each(rows.join(gone, rows["id"] == gone["__gone"], "left_anti").select("row.*"), id_col, text_col)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

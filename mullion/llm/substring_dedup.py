@@ -4,12 +4,13 @@ A window is `WINDOW` consecutive words of one document; a word goes when it is c
 also starts anywhere else. A window of 2b-1 words holds one whole block of a document's non-overlapping blocks of b
 words, so: (1) index the blocks of all documents; (2) probe the index with every rolling b-word window of all documents;
 (3) extend the hits to both sides: every window that holds a hit is compared, as a whole, with all other such windows, and
-windows that lie side by side make up the maximal exact repeats.
+windows that lie side by side make up the maximal exact repeats; (4) confirm: the windows found are compared once more by a
+second hash of all their words, so two windows count as equal by 126 bits.
 
 Index and probes meet by ranges of the hash space (mullion.llm.exchange): each chunk of texts sends its distinct rolling
 hashes, packed and with a mark on its blocks, and gets back those that are a block of some document and occur twice or
-more. The windows around these hits meet in the same way, by a hash of all their words (63 bits). So texts move nowhere,
-both exchanges grow with the corpus and with nothing else, and a passage in very many documents is one entry a chunk.
+more. The windows around these hits meet in the same way, by a hash of all their words (63 bits), and those that have a partner once more by another. So texts move nowhere,
+the exchanges grow with the corpus and with nothing else, and a passage in very many documents is one entry a chunk.
 
 Cases: null or wordless text: no words, nothing removed; fewer than WINDOW words: nothing removed; a window overlapping
 another of the same text counts; repeated rows are copies of each other; null or repeated doc_ids: results keep a row for
@@ -30,8 +31,8 @@ from mullion.llm.exchange import CHUNK_BYTES, HELD, Told, bits_for, chunked, run
 
 WINDOW = 35
 BLOCK = (WINDOW + 1) // 2
-#: Bits of the hash of a whole window.
-WINDOW_BITS = 63
+#: Bits of each of the two hashes of a whole window, and what makes the second one another.
+WINDOW_BITS, SALT = 63, 0xA24BAED4963EE407
 
 
 def _places(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,22 +78,33 @@ def extended(batches: Iterator[pa.RecordBatch], hits: Told) -> Iterator[tuple[in
         yield chunk, window_hashes(flat, WINDOW)[start], None
 
 
-def covered(flat: np.ndarray, offsets: np.ndarray, repeated: Told) -> np.ndarray:
-    """Whether a repeated window covers each word."""
+def met(batches: Iterator[pa.RecordBatch], found: Told) -> Iterator[tuple[int, np.ndarray, None]]:
+    """(chunk, second hashes of the windows whose first hash occurs twice)."""
+    for chunk, flat, offsets in _words(batches, found):
+        start = np.flatnonzero(_places(offsets)[1] >= WINDOW)
+        start = start[found.count(window_hashes(flat, WINDOW)[start]) > 0]
+        yield chunk, window_hashes(flat, WINDOW, SALT)[start], None
+
+
+def covered(flat: np.ndarray, offsets: np.ndarray, found: Told, repeated: Told) -> np.ndarray:
+    """Whether a window that is repeated by both hashes covers each word."""
     gone = np.zeros(len(flat) + 1, np.int64)
     start = np.flatnonzero(_places(offsets)[1] >= WINDOW)
-    start = start[repeated.count(window_hashes(flat, WINDOW)[start]) > 0]
+    start = start[found.count(window_hashes(flat, WINDOW)[start]) > 0]
+    start = start[repeated.count(window_hashes(flat, WINDOW, SALT)[start]) > 0]
     gone[start] += 1
     gone[start + WINDOW] -= 1
     return np.cumsum(gone[:-1]) > 0
 
 
-def repeats(src: DataFrame, words: int, held: int = HELD) -> str:
-    """The folder of the hashes of repeated windows, by chunk; src is made by chunked(), `words` is about how many it has."""
+def repeats(src: DataFrame, words: int, held: int = HELD) -> tuple[str, str]:
+    """The folders of the first and second hashes of repeated windows, by chunk; src is made by chunked(), `words` is about how many it has."""
     bits = bits_for(words)
-    hits = tell(src.select("text", "chunk"), probes, lambda n, block: block & (n > 1), words, bits, "hits", held)
+    texts = src.select("text", "chunk")
+    hits = tell(texts, probes, lambda n, block: block & (n > 1), words, bits, "hits", held)
     try:
-        return tell(src.select("text", "chunk"), lambda batches: extended(batches, Told(hits, bits)), lambda n, _: n > 1, words, WINDOW_BITS, "repeats", held)
+        found = tell(texts, lambda batches: extended(batches, Told(hits, bits)), lambda n, _: n > 1, words, WINDOW_BITS, "found", held)
+        return found, tell(texts, lambda batches: met(batches, Told(found, WINDOW_BITS)), lambda n, _: n > 1, words, WINDOW_BITS, "repeats", held)
     finally:
         delete(src.sparkSession, hits)
 
@@ -101,17 +113,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Per row: doc_id, n_words, n_removed and kept, the words that stay joined by a space."""
     src = chunked(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col), "UTF-8").alias("text")), "texts", chunk_bytes)
     size = src.agg(F.sum("size").alias("n")).first()["n"] or 0
-    path = repeats(src, size // 6 + 1, held)
+    first, second = repeats(src, size // 6 + 1, held)
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated = Told(path, WINDOW_BITS)
+        found, repeated = Told(first, WINDOW_BITS), Told(second, WINDOW_BITS)
         for chunk, part in runs(batches):
             texts = [t.split() if t else [] for t in part.column("text").to_pylist()]
             n_words = [len(t) for t in texts]
-            if repeated.turn_to(chunk):
+            if repeated.turn_to(chunk) and found.turn_to(chunk):
                 flat, offsets = word_hashes(part.column("text").to_pylist())
-                gone = covered(flat, offsets, repeated)
+                gone = covered(flat, offsets, found, repeated)
                 for i in np.flatnonzero(np.add.reduceat(np.append(gone, False), offsets[:-1]) * (np.diff(offsets) > 0)).tolist():
                     texts[i] = [w for w, g in zip(texts[i], gone[offsets[i] : offsets[i + 1]].tolist(), strict=True) if not g]
             yield pa.RecordBatch.from_arrays(

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from mullion.llm import decontaminate as m
 from tests.compare import both
@@ -96,3 +97,25 @@ def test_masks_lose_nothing():
     for n in range(12, 17):
         for gone in itertools.combinations(range(n), n // 4):
             assert any(all(s + o not in gone for o in mask) for mask in m.MASKS for s in range(n - mask[-1]))
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 3])
+def test_items_that_share_an_id_and_clashing_names(spark, monkeypatch, limit):
+    monkeypatch.setattr(m, "BROADCAST_SEEDS", limit)
+    a, b = (" ".join(f"{x}{k}" for k in range(20)) for x in "ab")
+    bench = spark.createDataFrame([(1, a), (1, b), (1, b), (2, b)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, a, 5, "k", "g"), (2, "x " + b, 6, None, "g"), (3, "z", 7, "k", "g")], "doc_id bigint, text string, __doc int, __key string, row string")
+    got = {(r.doc_id, r.item_id, r.n_places) for r in m.leaks(docs, bench).collect()}
+    assert got == {(1, 1, 1), (2, 1, 1), (2, 2, 1)}
+    assert [tuple(r) for r in m.clean(docs, bench).collect()] == [(3, "z", 7, "k", "g")] and m.clean(docs, bench).columns == docs.columns
+
+
+def test_long_items_are_broadcast_without_their_words(spark):
+    items = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(1500))) for i in range(30)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "only four words here"), (2, " ".join(f"w7x{k}" for k in range(400, 440)))], "doc_id bigint, text string")
+    found = m.leaks(docs, items)
+    assert [(r.doc_id, r.item_id) for r in found.collect()] == [(2, 7)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    built = m.seeds(items.select("item_id", m.word_keys("text").alias("item_words"), F.lit(1).alias("item_size")), "item_words", [(x, None) for x in m.MASKS], "item_id", "item_size", items=True)
+    assert built.count() > 150_000 and "item_words" not in built.columns

@@ -1,4 +1,6 @@
 import random
+import threading
+import time
 from collections import Counter
 
 import numpy as np
@@ -138,3 +140,36 @@ def test_a_chain_does_not_ask_all_blocks(spark, monkeypatch):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in m.components(docs, block_shingles=400).collect()}
     assert got == plain.components(rows) and {c for _, c in got.values()} == {0}
     assert 0 < asked[0][0] < asked[0][1]
+
+
+@pytest.mark.parametrize("order", [10, 13])
+def test_words_built_to_collide_make_no_link(spark, order):
+    one, other = "a", "b"
+    for _ in range(order):
+        one, other = one + other, other + one
+    rows = [(1, one), (2, other), (3, f"{one} x y z w v"), (4, f"{other} x y z w v")]
+    got = {r.doc_id: r.component_id for r in m.components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: c for i, (_, c) in plain.components(rows).items()} == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_keep_one_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 1, 2), (2, "a b c d e f", 3, 4), (3, "z", 5, 6)], "doc_id bigint, text string, __gone int, row int")
+    got = m.keep_one(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [(1, "a b c d e f", 1, 2), (3, "z", 5, 6)]
+
+
+def test_two_runs_in_two_threads_of_an_application(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    alone = {tuple(r) for r in m.components(docs).collect()}
+    found = {}
+
+    def run(k):
+        time.sleep(2 * k)
+        found[k] = {tuple(r) for r in m.components(docs).collect()}
+
+    threads = [threading.Thread(target=run, args=(k,)) for k in range(2)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert found == {0: alone, 1: alone}

@@ -53,6 +53,18 @@ def test_stages_keep_columns(spark):
         assert stage(spark, docs, SF).columns == docs.columns, name
 
 
+def test_stages_with_clashing_names_and_a_long_text(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    long = spark.createDataFrame([(10**9, " ".join(f"w{k * k % 9973} of the" for k in range(30_000)))], "doc_id bigint, text string")
+    docs = docs.unionByName(long, allowMissingColumns=True)
+    for c in ("__doc", "__key", "__gone", "__row", "__alike", "ids", "row", "key"):
+        docs = docs.withColumn(c, docs.doc_id % 7)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        rows = out.select("doc_id", "__doc", "__gone", "ids").collect()
+        assert out.columns == docs.columns and rows and all(r[1] == r[2] == r[3] == r[0] % 7 for r in rows), name
+
+
 def test_stages_of_empty_and_null_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     nulls = spark.createDataFrame([(None,) * len(docs.columns)], docs.schema)

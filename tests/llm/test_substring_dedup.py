@@ -70,3 +70,35 @@ def test_what_comes_back_is_what_occurs_twice_at_any_width(spark, tmp_path):
             got = set(mine[back.count(mine) > 0].tolist())
             assert got >= wanted & set(mine.tolist())
             assert bits < 63 or got == wanted & set(mine.tolist())
+
+
+def thue_morse(order, first="a", second="b"):
+    """Two words whose polynomial hashes modulo powers of two agree, whatever the base."""
+    a, b = first, second
+    for _ in range(order):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("order", [4, 10, 12, 13])
+def test_words_built_to_collide_are_different(spark, order):
+    one, other = thue_morse(order)
+    before, after = (" ".join(f"{x}{k}" for k in range(20)) for x in "pq")
+    rows = [(1, f"{before} {one} {after}"), (2, f"{before} {other} {after}")]
+    got = m.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(1, 41, 0), (2, 41, 0)]
+
+
+def test_windows_built_to_collide_are_different(spark):
+    one, other = (" ".join("u" if c == "a" else "v" for c in w) for w in thue_morse(5))
+    rows = [(1, f"s {one} t e"), (2, f"s {other} t e")]
+    got = m.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (2, 0)]
+
+
+def test_a_weak_first_hash_is_put_right_by_the_second(small_docs, monkeypatch):
+    docs, texts = small_docs
+    whole = m.window_hashes
+    weak = np.uint64(0xFFFF << 48)
+    monkeypatch.setattr(m, "window_hashes", lambda words, size, salt=0: whole(words, size, salt) if salt else whole(words, size) & weak)
+    assert digests(m.remove_repeats(docs)) == plain.kept_words(list(texts.items()))
