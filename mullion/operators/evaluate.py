@@ -49,10 +49,10 @@ def aggregate_columns(rows: DataFrame) -> list:
 
 
 def write_run(results: DataFrame, problems: DataFrame, folder: str, args: dict, elapsed: float | None = None) -> dict:
-    """results.jsonl (a folder of parts), summary.json and report.md of a run; the summary is given back."""
+    """results.jsonl and report.md (folders of parts) and summary.json of a run; the summary is given back."""
     sinks.write_results(aggregate.results_wide(results), f"{folder}/results.jsonl")
     summary = aggregate.summary_document(results, args, elapsed)
-    sinks.write_summary(summary, f"{folder}/summary.json")
+    sinks.write_summary(results.sparkSession, summary, f"{folder}/summary.json")
     labels = [r.label for r in aggregate.modes_present(results).collect()]
     header = report.report_header(str(args.get("dataset", "")), summary["n"], str(args.get("model", "")), labels, int(args.get("max_tokens", 0)), str(args.get("grammar_file", "")))
     sinks.write_report(report.report_sections(results, problems), header, f"{folder}/report.md")
