@@ -334,7 +334,7 @@ class Grammar:
 def in_language(x: Column, grammar: Grammar) -> Column:
     """Whether the automaton accepts the text: its table folded over the characters, in linear time."""
     firsts, table, accepts = grammar.automaton
-    flat = F.array(*[F.lit(s).cast("int") for row in table for s in row])
+    flat = F.split(F.lit(",".join(str(s) for row in table for s in row)), ",").cast("array<int>")  # one literal, folded when planned
     width = len(firsts)
 
     def kind(c: Column, low: int, high: int) -> Column:
@@ -344,12 +344,15 @@ def in_language(x: Column, grammar: Grammar) -> Column:
         mid = (low + high) // 2
         return F.when(c < F.lit(chr(firsts[mid])), kind(c, low, mid)).otherwise(kind(c, mid, high))
 
+    said = F.split(F.lit(",".join(str(int(a)) for a in accepts)), ",").cast("array<int>")
+
     def fold(letters: Column, next_: Column) -> Column:
-        return F.aggregate(letters, F.lit(0), lambda s, c: F.when(s < 0, s).otherwise(F.get(next_, s * width + kind(c, 0, width))))
+        step = lambda s, c: F.when((s < 0) | (c == ""), s).otherwise(F.get(next_, s * width + kind(c, 0, width)))
+        return F.aggregate(letters, F.lit(0), step, lambda s: F.when(s < 0, F.lit(False)).otherwise(F.get(said, s) == 1))
 
     # The table and the characters are bound once, not once a character.
-    end = F.get(F.transform(F.array(F.struct(F.split(x, "").alias("letters"), flat.alias("next"))), lambda b: fold(F.filter(b["letters"], lambda c: c != ""), b["next"])), F.lit(0))
-    return F.when(x.isNotNull(), F.coalesce(F.get(F.array(*[F.lit(a) for a in accepts]), F.when(end >= 0, end)), F.lit(False)))
+    bound = F.array(F.struct(F.split(x, "").alias("letters"), flat.alias("next")))
+    return F.when(x.isNotNull(), F.get(F.transform(bound, lambda b: fold(b["letters"], b["next"])), F.lit(0)))
 
 
 def conforms(x: Column, grammar: Grammar) -> Column:
