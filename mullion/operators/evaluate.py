@@ -28,14 +28,15 @@ def run_programs(rows: DataFrame, timeout: float = sandbox.TIMEOUT) -> DataFrame
     return sandbox.run_tests(rows.where(functional), timeout, contest=True).unionByName(sandbox.run_tests(rows.where(~functional), timeout))
 
 
-def evaluate(responses: DataFrame, problems: DataFrame, judge: Callable[[DataFrame], DataFrame] = run_programs) -> DataFrame:
+def evaluate(responses: DataFrame, problems: DataFrame, judge: Callable[[DataFrame], DataFrame] = run_programs, **thresholds: int) -> DataFrame:
     """Results in long form of responses (ordinal, task_id, mode, raw_response, completion_tokens) to problems.
 
     `judge` gets programs() and gives (task_id, mode, pass, err); the default runs them. What it says nothing of failed.
+    Thresholds are those of score().
     """
     require_rows(problems)
     said = judge(programs(responses, problems)).select("task_id", "mode", F.col("pass").alias("__passed"), F.col("err").alias("__said"))
-    rows = score(responses, problems).join(said, ["task_id", "mode"], "left")
+    rows = score(responses, problems, **thresholds).join(said, ["task_id", "mode"], "left")
     rows = with_verdict(rows, F.coalesce("__passed", F.lit(False)), F.coalesce("__said", F.lit("")))
     kept = [f.name for f in aggregate_columns(rows)]
     return rows.select("ordinal", "task_id", "mode", *kept).join(F.broadcast(mode_dimension(rows.sparkSession).select("ix", "mode")), "mode")
@@ -48,10 +49,16 @@ def aggregate_columns(rows: DataFrame) -> list:
     return [f for f in MODE_RESULT.fields if f.name in rows.columns]
 
 
-def write_run(results: DataFrame, problems: DataFrame, folder: str, args: dict, elapsed: float | None = None) -> dict:
-    """results.jsonl and report.md (folders of parts) and summary.json of a run; the summary is given back."""
-    sinks.write_results(aggregate.results_wide(results), f"{folder}/results.jsonl")
+def write_run(results: DataFrame, problems: DataFrame, folder: str, args: dict, elapsed: float | None = None, seconds: dict[str, float] | None = None, results_too: bool = True) -> dict:
+    """results.jsonl and report.md (folders of parts) and summary.json of a run; the summary is given back.
+
+    `seconds` are those of the stages so far; without `results_too` the results file is there already.
+    """
+    if results_too:
+        sinks.write_results(aggregate.results_wide(results), f"{folder}/results.jsonl")
     summary = aggregate.summary_document(results, args, elapsed)
+    if seconds is not None:
+        summary["stage_seconds"] = seconds
     sinks.write_summary(results.sparkSession, summary, f"{folder}/summary.json")
     labels = [r.label for r in aggregate.modes_present(results).collect()]
     header = report.report_header(str(args.get("dataset", "")), summary["n"], str(args.get("model", "")), labels, int(args.get("max_tokens", 0)), str(args.get("grammar_file", "")))
