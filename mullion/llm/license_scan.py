@@ -6,10 +6,16 @@ template's words that find a partner. Of finds that overlap, the one with the be
 the name).
 
 A template is laid at every place of the whole text, in a window with room for a fifth more words on each side; what is
-left out can't reach the coverage asked for. Three bounds see to that, each a count of words that the alignment can't
+left out can't reach the coverage asked for. Four bounds see to that, each a count of words that the alignment can't
 exceed: a text must hold one of the template's key words, which are so many that the coverage can't be reached without
-all of them; its words must make up that part of the template; and so must those of the window, whose counts run along
-the text. So a notice is found anywhere, any number of times, whichever of its words were changed.
+all of them; its words must make up that part of the template; so must those of the window, whose counts run along
+the text; and so must the window's longest common subsequence with the template. The next window has one new word, so
+its subsequence is longer by one at most: a window that lacks k words rules out the k - 1 after it. So a notice is found
+anywhere, any number of times, whichever of its words were changed.
+
+An alignment depends on nothing but which of the window's words are which of the template's. Windows that are the same
+in that are aligned once: a file of the same notice over and over has few of them, however long it is. What was aligned
+is forgotten by halves (`HELD_BYTES`), which costs time and no result.
 
 Words are runs of ASCII letters and digits, lower-cased; all other bytes part words. Cases: null or wordless text: no
 finds; repeated rows are scanned alike; ties go by name; an empty table gives an empty table; columns besides id and text
@@ -22,7 +28,7 @@ import math
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from typing import NamedTuple
+from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +36,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEAST_COVERAGE = 0.8
+#: Bytes of windows whose alignment a template remembers.
+HELD_BYTES = 16_000_000
 #: Notices, opening sentences and whole short licenses; a parameter, as a full collection of templates would be.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
@@ -101,7 +109,7 @@ def increasing(places: list[int]) -> list[int]:
     return out[::-1]
 
 
-def align(a: list[bytes], b: list[bytes]) -> list[tuple[int, int]]:
+def align(a: list[Any], b: list[Any]) -> list[tuple[int, int]]:
     """Pairs (i, j) of a patience alignment of a and b, in order."""
     pairs: list[tuple[int, int]] = []
     work = [(0, len(a), 0, len(b))]
@@ -149,15 +157,62 @@ class Template:
             self.keys.add(w)
             missing += self.counts[w]
         self.code = {w: k for k, w in enumerate(self.counts)}
+        self.coded = [self.code[w] for w in words]
+        self.at = [0] * len(self.counts)
+        for j, c in enumerate(self.coded):
+            self.at[c] |= 1 << j
+        self.full = (1 << len(words)) - 1
+        self.known: dict[bytes, tuple[int, int, int]] = {}
+        self.held = 0
+
+    def common(self, window: list[int]) -> int:
+        """The length of a longest common subsequence with the template, all of a row's cells in one number."""
+        row = self.full
+        for c in window:
+            if c >= 0:
+                hit = row & self.at[c]
+                row = (row + hit | row - hit) & self.full
+        return len(self.words) - row.bit_count()
+
+    def find(self, window: np.ndarray) -> tuple[int, int, int]:
+        """(first place, end, matched words) of the alignment with a window, or (0, 0, a bound on them) if that is too low."""
+        key = window.tobytes()
+        got = self.known.get(key)
+        if got is None:
+            codes = window.tolist()
+            got = (0, 0, self.common(codes))
+            if got[2] >= self.need:
+                pairs = align(codes, self.coded)
+                got = (pairs[0][0], pairs[-1][0] + 1, len(pairs)) if pairs else (0, 1, 0)
+            self.held += len(key)
+            if self.held > HELD_BYTES:
+                self.known = dict(list(self.known.items())[len(self.known) // 2 :])
+                self.held = sum(map(len, self.known)) + len(key)
+            self.known[key] = got
+        return got
+
+    def finds(self, words: list[bytes], present: set[bytes]) -> Iterator[Find]:
+        codes, places = self.places(words, present)
+        skip, before = 0, None
+        for p in places:
+            span = self.window(p, len(words))
+            if p < skip or span == before:
+                continue
+            before = span
+            start, stop, matched = self.find(codes[span[0] : span[1]])
+            if stop == 0:
+                skip = p + self.need - matched
+            elif matched >= self.need:
+                yield Find(self.name, span[0] + start, span[0] + stop, matched, matched / len(self.words))
 
     def window(self, p: int, n: int) -> tuple[int, int]:
         """What the template is aligned with when it is laid at word p of n."""
         return max(0, p - self.slack), min(n, p + len(self.words) + self.slack)
 
-    def places(self, words: list[bytes], present: set[bytes]) -> list[int]:
-        """The places whose window holds enough of the template's words."""
+    def places(self, words: list[bytes], present: set[bytes]) -> tuple[np.ndarray, list[int]]:
+        """The words' codes and the places whose window holds enough of the template's words."""
         if self.keys.isdisjoint(present) or sum(c for w, c in self.counts.items() if w in present) < self.need:
-            return []
+            return np.empty(0, np.int32), []
         code = np.fromiter((self.code.get(w, -1) for w in words), np.int32, len(words))
         p = np.arange(len(words))
         low, high = np.maximum(0, p - self.slack), np.minimum(len(words), p + len(self.words) + self.slack)
@@ -166,7 +221,7 @@ class Template:
             if w in present:
                 upto = np.append(0, np.cumsum(code == self.code[w]))
                 held += np.minimum(upto[high] - upto[low], c)
-        return np.flatnonzero(held >= self.need).tolist()
+        return code, np.flatnonzero(held >= self.need).tolist()
 
 
 class Scanner:
@@ -178,17 +233,7 @@ class Scanner:
     def scan(self, text: bytes) -> list[Find]:
         words = fold(text)
         present = set(words)
-        found: set[Find] = set()
-        for t in self.templates:
-            tried: set[tuple[int, int]] = set()
-            for p in t.places(words, present):
-                lo, hi = t.window(p, len(words))
-                if (lo, hi) in tried:
-                    continue
-                tried.add((lo, hi))
-                pairs = align(words[lo:hi], t.words)
-                if len(pairs) >= t.need:
-                    found.add(Find(t.name, lo + pairs[0][0], lo + pairs[-1][0] + 1, len(pairs), len(pairs) / len(t.words)))
+        found = {f for t in self.templates for f in t.finds(words, present)}
         out: list[Find] = []
         taken: list[tuple[int, int]] = []
         for f in sorted(found, key=lambda f: (-f.coverage, -f.matched, f.license, f.start, f.stop)):

@@ -97,6 +97,38 @@ def test_very_long_text():
     assert m.Scanner().scan(text.encode())[-1].license == "AGPL-3.0"
 
 
+def test_common_is_the_longest_common_subsequence():
+    rng = random.Random(9)
+    t = next(t for t in m.Scanner().templates if t.name == "MIT-full")
+    for _ in range(40):
+        window = [rng.randrange(-5, len(t.counts)) if rng.random() < 0.5 else t.coded[k] for k in range(rng.randint(0, len(t.coded)))]
+        assert t.common(window) == common(window, t.coded)
+
+
+def test_work_on_license_like_texts_is_bounded(monkeypatch):
+    """10 MB of one notice, and as many words drawn from one: neither is aligned place by place."""
+    made = []
+    monkeypatch.setattr(m, "align", lambda a, b, real=m.align: made.append(1) or real(a, b))
+    notice = m.TEMPLATES["MIT-full"]
+    copies = 10_000_000 // len(notice)
+    assert [f.license for f in m.Scanner().scan(f"{notice}\n".encode() * copies)] == ["MIT-full"] * copies and len(made) < 2_000
+    made.clear()
+    drawn = random.Random(11).choices(m.fold(notice.encode()), k=100_000)
+    assert m.Scanner().scan(b" ".join(drawn)) == [] and not made
+
+
+def test_piles_of_notices_equal_every_template_at_every_place(monkeypatch):
+    rng = random.Random(12)
+    monkeypatch.setattr(m, "HELD_BYTES", 5_000)
+    names = ("MIT-full", "MIT-text", "ISC-text", "GPL-3.0", "AGPL-3.0", "CC-BY-4.0")
+    few = {k: m.TEMPLATES[k] for k in names}
+    scanner = m.Scanner(few)
+    for _ in range(4):
+        words = [w for k in rng.choices(names, k=7) for w in few[k].split() if rng.random() > 0.05]
+        text = " ".join(words)
+        assert [(f.start, f.stop, f.license) for f in scanner.scan(text.encode())] == plain_finds(text, few, m.LEAST_COVERAGE)
+
+
 def test_query_finds_all_notices(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     found = {r.doc_id for r in m.op7_license_scan(spark, "/root/testdata/sf0.01").collect()}
