@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mullion.functions.extract import with_code
-from mullion.operators import aggregate, report, sandbox
+from mullion.operators import aggregate, report, sandbox, verdicts
 from mullion.operators.scoring import mode_dimension, score, with_problem, with_verdict
 from mullion.sources import sinks
 from mullion.sources.problems import require_rows
@@ -22,9 +22,11 @@ def programs(responses: DataFrame, problems: DataFrame) -> DataFrame:
     return rows.withColumn("code", F.explode_outer(found)).where("code is not null")
 
 
-def run_programs(rows: DataFrame, timeout: float = sandbox.TIMEOUT) -> DataFrame:
-    """(task_id, mode, pass, err) of programs(), each by the kind of test that its problem has."""
+def run_programs(rows: DataFrame, timeout: float = sandbox.TIMEOUT, known: str | None = None) -> DataFrame:
+    """(task_id, mode, pass, err) of programs(), each by the kind of test that its problem has; `known` is a table of verdicts."""
     functional = F.col("test_kind").eqNullSafe("functional")
+    if known:
+        return verdicts.run_known(sandbox.test_rows(rows.where(functional), contest=True).unionByName(sandbox.test_rows(rows.where(~functional))), known, timeout)
     return sandbox.run_tests(rows.where(functional), timeout, contest=True).unionByName(sandbox.run_tests(rows.where(~functional), timeout))
 
 

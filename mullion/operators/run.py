@@ -37,6 +37,7 @@ class Run:
     bloat_threshold: int = BLOAT_THRESHOLD
     comment_bloat_threshold: int = COMMENT_BLOAT_THRESHOLD
     only: str = "both"
+    verdicts: str | None = None
 
     def __post_init__(self) -> None:
         if self.dataset not in DATASETS:
@@ -69,7 +70,7 @@ class Run:
         """Results of the responses in the run's modes; judge() as in evaluate()."""
         mine = responses.where(F.col("mode").isin(self.modes))
         thresholds = {"bloat": self.bloat_threshold, "comment_bloat": self.comment_bloat_threshold}
-        return ev.evaluate(mine, problems, judge or partial(ev.run_programs, timeout=self.timeout), **thresholds)
+        return ev.evaluate(mine, problems, judge or partial(ev.run_programs, timeout=self.timeout, known=self.verdicts), **thresholds)
 
     def execute(self, spark: SparkSession, path: str, responses: DataFrame, folder: str, judge=None) -> dict:
         """Loads, evaluates and writes a run into a folder; its summary, with the seconds of each stage in order.
