@@ -16,7 +16,7 @@ from mullion.functions.prompts import request, rewritten_prompt, system_prompt,
 from mullion.operators import aggregate as a
 from mullion.operators import compare, report
 from mullion.operators.scoring import mode_dimension, modes_to_run, score, with_metrics, with_verdict
-from mullion.plans import bucket_queries, grammars, lookups, replays, reports, streams
+from mullion.plans import bucket_queries, grammars, json_values, lookups, replays, reports, streams
 from mullion.plans.oracles import ORACLES
 from mullion.sources import problems as src
 from mullion.sources.fixtures import fixture
@@ -398,6 +398,6 @@ def q_summary_json(spark, d):
 
 # -- queries with a module of their own ---------------------------------------------------------------------------------
 
-for _part in (bucket_queries, grammars, lookups, replays, reports, streams):
+for _part in (bucket_queries, grammars, json_values, lookups, replays, reports, streams):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
