@@ -7,19 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mullion.functions.extract import with_code
 from mullion.operators import aggregate, report, sandbox, verdicts
-from mullion.operators.scoring import mode_dimension, score, with_problem, with_verdict
+from mullion.operators.scoring import TESTS, mode_dimension, score, with_tests, with_verdict
 from mullion.sources import sinks
 from mullion.sources.problems import require_rows
+from mullion.sources.scratch import scratch_folder
 
 
-def programs(responses: DataFrame, problems: DataFrame) -> DataFrame:
-    """What is there to run: the whole code of each response, with its problem's tests; nothing where no code was found."""
-    rows = with_code(with_problem(responses, problems), "raw_response", "full_")
-    # rows without code yield null, which is dropped above the generator: a filter below would write the extraction out again
-    found = F.when(~F.col("extraction_method").isin("empty", "not_run"), F.array("full_extracted_code"))
-    return rows.withColumn("code", F.explode_outer(found)).where("code is not null")
+def scored(responses: DataFrame, problems: DataFrame, **thresholds: int) -> DataFrame:
+    """score() of responses, with the whole code, as a table in the shared folder: extraction runs once, for tests and results."""
+    spark = responses.sparkSession
+    rows = score(responses, require_rows(problems), whole_code=True, **thresholds)
+    own = [c for c in TESTS if c in responses.columns]
+    rows = rows.select("ordinal", "task_id", "mode", *[f.name for f in aggregate_columns(rows)], "full_extracted_code", "entry_point", "test_kind", *own)
+    path = scratch_folder(spark, "scored")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def programs(rows: DataFrame, problems: DataFrame) -> DataFrame:
+    """What there is to run of scored(): the code of each response that has one, with its problem's tests, which join no other."""
+    found = rows.where(~F.col("extraction_method").isin("empty", "not_run")).withColumn("code", F.col("full_extracted_code"))
+    return with_tests(found.select("task_id", "mode", "entry_point", "test_kind", "code", *[c for c in TESTS if c in rows.columns]), problems)
 
 
 def run_programs(rows: DataFrame, timeout: float = sandbox.TIMEOUT, known: str | None = None) -> DataFrame:
@@ -30,18 +39,20 @@ def run_programs(rows: DataFrame, timeout: float = sandbox.TIMEOUT, known: str |
     return sandbox.run_tests(rows.where(functional), timeout, contest=True).unionByName(sandbox.run_tests(rows.where(~functional), timeout))
 
 
+def judged(rows: DataFrame, problems: DataFrame, judge: Callable[[DataFrame], DataFrame] = run_programs) -> DataFrame:
+    """Results in long form of scored() rows. `judge` gets programs() and gives (task_id, mode, pass, err); what it says nothing of failed."""
+    said = judge(programs(rows, problems)).select("task_id", "mode", F.col("pass").alias("__passed"), F.col("err").alias("__said"))
+    rows = with_verdict(rows.join(said, ["task_id", "mode"], "left"), F.coalesce("__passed", F.lit(False)), F.coalesce("__said", F.lit("")))
+    kept = [f.name for f in aggregate_columns(rows)]
+    return rows.select("ordinal", "task_id", "mode", *kept).join(F.broadcast(mode_dimension(rows.sparkSession).select("ix", "mode")), "mode")
+
+
 def evaluate(responses: DataFrame, problems: DataFrame, judge: Callable[[DataFrame], DataFrame] = run_programs, **thresholds: int) -> DataFrame:
     """Results in long form of responses (ordinal, task_id, mode, raw_response, completion_tokens) to problems.
 
-    `judge` gets programs() and gives (task_id, mode, pass, err); the default runs them. What it says nothing of failed.
-    Thresholds are those of score().
+    `judge` is that of judged(), the thresholds are those of score(). Scores when called, and tests when the result is read.
     """
-    require_rows(problems)
-    said = judge(programs(responses, problems)).select("task_id", "mode", F.col("pass").alias("__passed"), F.col("err").alias("__said"))
-    rows = score(responses, problems, **thresholds).join(said, ["task_id", "mode"], "left")
-    rows = with_verdict(rows, F.coalesce("__passed", F.lit(False)), F.coalesce("__said", F.lit("")))
-    kept = [f.name for f in aggregate_columns(rows)]
-    return rows.select("ordinal", "task_id", "mode", *kept).join(F.broadcast(mode_dimension(rows.sparkSession).select("ix", "mode")), "mode")
+    return judged(scored(responses, problems, **thresholds), problems, judge)
 
 
 def aggregate_columns(rows: DataFrame) -> list:
@@ -51,16 +62,18 @@ def aggregate_columns(rows: DataFrame) -> list:
     return [f for f in MODE_RESULT.fields if f.name in rows.columns]
 
 
-def write_run(results: DataFrame, problems: DataFrame, folder: str, args: dict, elapsed: float | None = None, seconds: dict[str, float] | None = None, results_too: bool = True) -> dict:
+def write_run(results: DataFrame, problems: DataFrame, folder: str, args: dict, elapsed: float | None = None, seconds: dict[str, float] | None = None, results_too: bool = True, funnel: dict[str, int] | None = None) -> dict:
     """results.jsonl and report.md (folders of parts) and summary.json of a run; the summary is given back.
 
-    `seconds` are those of the stages so far; without `results_too` the results file is there already.
+    `seconds` are those of the stages so far, `funnel` is how many problems each filter left; without `results_too` the results file is there already.
     """
     if results_too:
         sinks.write_results(aggregate.results_wide(results), f"{folder}/results.jsonl")
     summary = aggregate.summary_document(results, args, elapsed)
     if seconds is not None:
         summary["stage_seconds"] = seconds
+    if funnel is not None:
+        summary["funnel"] = funnel
     sinks.write_summary(results.sparkSession, summary, f"{folder}/summary.json")
     labels = [r.label for r in aggregate.modes_present(results).collect()]
     header = report.report_header(str(args.get("dataset", "")), summary["n"], str(args.get("model", "")), labels, int(args.get("max_tokens", 0)), str(args.get("grammar_file", "")))

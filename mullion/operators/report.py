@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mullion.functions import patterns as p
+from mullion.functions.classify import outcome_tag
 from mullion.functions.text import counts_line, fixed, ids_line, padded, snippet, strip
-from mullion.operators.aggregate import comparison, counts_by_mode, extraction_issues, failure_accounting, failure_types, outcome_tags, think_compression
+from mullion.operators.aggregate import comparison, counts_by_mode, extraction_issues, failure_accounting, failure_types
 
 LEGEND = "Outcome legend: 🔺 FSM wins on a problem FREE got wrong · 🔻 FSM regresses vs FREE · 🟰 both pass · ❌ both fail · 🟡/🟠 PROMPT_TERSE-only divergence."
 
@@ -40,8 +41,8 @@ def meta_line(failure: Column, issue: Column, method: Column, post: Column, bloa
     return F.array_join(F.array_compact(pieces), " · ")
 
 
-def section(results: DataFrame) -> DataFrame:
-    """(ordinal, task_id, mode, ix, markdown) of each result."""
+def section(results: DataFrame, *kept: str) -> DataFrame:
+    """(ordinal, task_id, mode, ix, markdown) of each result, and columns to keep."""
     named = {m: label for _, m, label in p.MODES}
     label = F.coalesce(*[F.when(F.col("mode") == m, F.lit(v)) for m, v in named.items()])
     order = F.coalesce(*[F.when(F.col("mode") == m, F.lit(i)) for i, m, _ in p.MODES])
@@ -61,15 +62,19 @@ def section(results: DataFrame) -> DataFrame:
         block("think", text("extracted_think"), "text"),
         block("code", text("extracted_code"), "python"),
     )
-    return results.select("ordinal", "task_id", "mode", order.alias("ix"), F.array_join(F.array_compact(parts), "\n").alias("markdown"))
+    return results.select("ordinal", "task_id", "mode", order.alias("ix"), F.array_join(F.array_compact(parts), "\n").alias("markdown"), *kept)
 
 
 def report_sections(results: DataFrame, problems: DataFrame) -> DataFrame:
-    """(ordinal, task_id, markdown): heading with the outcome, statement, a section a mode, compression."""
-    made = section(results).groupBy("ordinal", "task_id").agg(F.array_sort(F.collect_list(F.struct("ix", "markdown"))).alias("parts"))
-    tags = outcome_tags(results)
-    ratio = think_compression(results).select("ordinal", "task_id", "ratio", "free_tokens", "fsm_tokens")
-    rows = with_problem(made.join(tags, ["ordinal", "task_id"]).join(ratio, ["ordinal", "task_id"], "left"), problems)
+    """(ordinal, task_id, markdown): heading with the outcome, statement, a section a mode, compression. One aggregation by task."""
+    of = lambda mode, c: F.max(F.when(F.col("mode") == mode, F.col(c)))
+    passed = [of(m, "pass") for _, m, _ in p.MODES]
+    free, fsm = of("free", "think_tokens"), of("fsm", "think_tokens")
+    made = section(results, "pass", "think_tokens").groupBy("ordinal", "task_id").agg(
+        F.array_sort(F.collect_list(F.struct("ix", "markdown"))).alias("parts"), outcome_tag(*passed).alias("tag"),
+        free.alias("free_tokens"), fsm.alias("fsm_tokens"), F.when((free > 0) & (fsm > 0), free / F.greatest(fsm, F.lit(1))).alias("ratio"),
+    )
+    rows = with_problem(made, problems)
     said = F.when(F.coalesce("statement", F.lit("")) != "", F.concat(F.lit("**Problem:**\n\n```text\n"), snippet(F.col("statement")), F.lit("\n```\n")))
     compression = F.when(F.col("ratio").isNotNull(), F.concat(F.lit("_think compression_: **"), fixed(F.col("ratio"), 2), F.lit("×** ("), F.col("free_tokens").cast("string"), F.lit(" → "), F.col("fsm_tokens").cast("string"), F.lit(" tokens)\n")))
     body = F.concat(F.array(F.concat(F.lit("## "), F.col("task_id"), F.lit(" — "), F.col("tag"), F.lit("\n")), said), F.transform("parts", lambda x: x["markdown"]), F.array(compression, F.lit("---\n")))

@@ -10,6 +10,9 @@ from mullion.functions.classify import failure_type
 from mullion.functions.extract import extract_think, with_code
 from mullion.functions.text import BLOAT_THRESHOLD, COMMENT_BLOAT_THRESHOLD, bloated, comment_metrics, count_tokens, cut_error, entry_point_found, function_name, post_think_tokens
 
+#: What a test run needs of a problem besides its entry point.
+TESTS = ("test", "metadata", "starter_code", "public_test_cases")
+
 
 def modes_to_run(only: str) -> list[str]:
     """'both' is free and fsm, 'all' the three, anything else itself."""
@@ -21,11 +24,12 @@ def mode_dimension(spark) -> DataFrame:
 
 
 def with_metrics(
-    responses: DataFrame, entry_point: Column | None = None, contest: bool | Column = False, bloat: int = BLOAT_THRESHOLD, comment_bloat: int = COMMENT_BLOAT_THRESHOLD
+    responses: DataFrame, entry_point: Column | None = None, contest: bool | Column = False, bloat: int = BLOAT_THRESHOLD, comment_bloat: int = COMMENT_BLOAT_THRESHOLD, whole_code: bool = False
 ) -> DataFrame:
     """responses (raw_response, completion_tokens, ...) with everything that doesn't need a test run.
 
-    Metrics are of the whole texts; the stored ones are cut to 500 characters afterwards.
+    Metrics are of the whole texts; the stored ones are cut to 500 characters afterwards. With `whole_code` the code
+    stays as full_extracted_code too.
     """
     df = with_code(responses, "raw_response", "full_")
     df = df.withColumn("__score_think", F.when(F.col("raw_response").isNotNull(), extract_think(F.col("raw_response"))))
@@ -44,7 +48,7 @@ def with_metrics(
         "extracted_think": F.left("__score_think", F.lit(500)),
         "extracted_code": F.left("full_extracted_code", F.lit(500)),
     })
-    return df.drop("full_extracted_code", "__score_think", "__score_comments")
+    return df.drop("__score_think", "__score_comments", *([] if whole_code else ["full_extracted_code"]))
 
 
 def with_verdict(df: DataFrame, passed: Column, stderr: Column) -> DataFrame:
@@ -56,20 +60,30 @@ def with_verdict(df: DataFrame, passed: Column, stderr: Column) -> DataFrame:
     return df.withColumn("failure_type", failure_type(F.col("pass"), F.col("err"), F.col("extraction_issue"), F.col("entry_point_found")))
 
 
+def latest(problems: DataFrame, *columns: str | Column) -> DataFrame:
+    """task_id and those columns of the last problem by ordinal that has it; partial aggregation over no more than that."""
+    return problems.groupBy("task_id").agg(F.max_by(F.struct(*columns), "ordinal").alias("problem"))
+
+
 def with_problem(responses: DataFrame, problems: DataFrame) -> DataFrame:
-    """Responses with what scoring needs of their problem: data set, entry point, test kind, and the tests themselves.
+    """Responses with what scoring needs of their problem: data set, entry point and kind of test.
 
-    Of problems that share a task id the last one by ordinal counts; a response without a problem keeps nulls. Columns of
-    a problem that the responses have already are the responses' own.
+    Of problems that share a task id the last one by ordinal counts; a response without a problem keeps nulls. A data set
+    that the responses have already is the responses' own.
     """
-    name = F.when(F.col("dataset") == "livecodebench", function_name(F.col("metadata"), F.col("starter_code"))).otherwise(F.col("entry_point"))
-    kind = F.when(F.col("dataset") == "livecodebench", "functional").otherwise("check")
-    wanted = [c for c in ("dataset", "test", "metadata", "starter_code", "public_test_cases") if c not in responses.columns]
-    of = problems.withColumns({"entry_point": name, "test_kind": kind})
-    of = of.groupBy("task_id").agg(F.max_by(F.struct("entry_point", "test_kind", *wanted), "ordinal").alias("problem"))
+    contest = F.col("dataset") == "livecodebench"
+    name = F.when(contest, function_name(F.col("metadata"), F.col("starter_code"))).otherwise(F.col("entry_point")).alias("entry_point")
+    kind = F.when(contest, "functional").otherwise("check").alias("test_kind")
+    of = latest(problems, name, kind, *[c for c in ("dataset",) if c not in responses.columns])
+    return responses.join(of, "task_id", "left").select(*responses.columns, "problem.*")
+
+
+def with_tests(responses: DataFrame, problems: DataFrame) -> DataFrame:
+    """Responses with the tests of their problem, chosen as in with_problem(); columns that they have already are their own."""
+    of = latest(problems, *[c for c in TESTS if c not in responses.columns])
     return responses.join(of, "task_id", "left").select(*responses.columns, "problem.*")
 
 
-def score(responses: DataFrame, problems: DataFrame, **thresholds: int) -> DataFrame:
+def score(responses: DataFrame, problems: DataFrame, **options: int | bool) -> DataFrame:
     """Responses joined with their problems, with metrics; the entry point is looked for as the problem's data set asks."""
-    return with_metrics(with_problem(responses, problems), F.coalesce("entry_point", F.lit("")), F.col("test_kind").eqNullSafe("functional"), **thresholds)
+    return with_metrics(with_problem(responses, problems), F.coalesce("entry_point", F.lit("")), F.col("test_kind").eqNullSafe("functional"), **options)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from mullion.functions.patterns import MODES
@@ -65,15 +65,29 @@ def head(problems: DataFrame, n: int) -> DataFrame:
     return problems.orderBy("ordinal").limit(n) if n > 0 else problems
 
 
+def _left(cutoff: str, platform: str) -> list[Column]:
+    """How many rows each filter of select_problems() leaves, as aggregates in order."""
+    passed, out = F.lit(True), []
+    for name, holds in (("total", F.lit(True)), ("after_date", since(cutoff)), ("after_platform", on_platform(platform)), ("after_functional", functional_only(F.col("public_test_cases")))):
+        passed = passed & F.coalesce(holds, F.lit(False))
+        out.append(F.count_if(passed).cast("bigint").alias(name))
+    return out
+
+
 def funnel(problems: DataFrame, cutoff: str = "", platform: str = "leetcode") -> DataFrame:
     """How many rows each filter leaves, counted in one pass."""
-    ok = [F.lit(True), F.coalesce(since(cutoff), F.lit(False)), F.coalesce(on_platform(platform), F.lit(False)), F.coalesce(functional_only(F.col("public_test_cases")), F.lit(False))]
-    names = ("total", "after_date", "after_platform", "after_functional")
-    upto = [ok[0]]
-    for x in ok[1:]:
-        upto.append(upto[-1] & x)
-    counts = problems.agg(*[F.count_if(c).cast("bigint").alias(n) for n, c in zip(names, upto, strict=True)])
-    return counts.select(F.inline(F.array(*[F.struct(F.lit(i).cast("bigint").alias("step"), F.lit(n).alias("stage"), F.col(n).alias("n")) for i, n in enumerate(names)])))
+    counts = problems.agg(*_left(cutoff, platform))
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(i).cast("bigint").alias("step"), F.lit(n).alias("stage"), F.col(n).alias("n")) for i, n in enumerate(counts.columns)])))
+
+
+def select_counted(problems: DataFrame, cutoff: str = "", platform: str = "leetcode", n: int = 0) -> tuple[DataFrame, Observation]:
+    """select_problems() and the counts of funnel(), which the pass that reads the selection makes by the way.
+
+    As every row is counted, no filter reaches the scan; where the counts aren't asked for, select_problems() reads less.
+    The counts are there after the first action over the selection that reads all of it.
+    """
+    seen = Observation()
+    return select_problems(problems.observe(seen, *_left(cutoff, platform)), cutoff, platform, n), seen
 
 
 def require_rows(df: DataFrame) -> DataFrame:

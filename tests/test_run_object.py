@@ -25,7 +25,8 @@ def test_a_run_from_its_parameters(spark, tmp_path):
     stored = json.loads(sinks.get(spark, f"{tmp_path}/run/summary.json"))
     assert stored == json.loads(json.dumps(summary))
     assert stored["modes"] == ["free", "fsm"] and stored["n"] == 3 and stored["args"]["n_problems"] == 3 and stored["args"]["max_tokens"] == 8192
-    assert list(stored["stage_seconds"]) == ["load", "evaluate", "results"] and all(v >= 0 for v in stored["stage_seconds"].values())
+    assert list(stored["stage_seconds"]) == ["load", "extract", "tests", "results"] and all(v >= 0 for v in stored["stage_seconds"].values())
+    assert stored["funnel"] == {"total": 5}
     assert stored["elapsed_sec"] >= sum(stored["stage_seconds"].values()) - 0.01
     assert stored["outcome_breakdown"]["free_vs_fsm"]["both_pass"]["task_ids"] == ["t0", "t2"]
     assert stored["failure_accounting"]["free"]["answer_channel_bloat"] == 3
@@ -48,3 +49,30 @@ def test_requests_of_the_runs_modes(spark, tmp_path):
 def test_what_cannot_be_run_is_refused(given, said):
     with pytest.raises(ValueError, match=said):
         Run(**({"dataset": "mbpp"} | given))
+
+
+def test_the_funnel_of_a_run_needs_no_pass_of_its_own(spark, tmp_path):
+    from mullion.sources import problems as src
+
+    case, other = '[{"testtype":"functional"}]', '[{"testtype":"stdin"}]'
+    rows = [(k, f"t{k}", "livecodebench", *[None] * 5, other if k % 5 == 0 else case, None, None if k % 7 == 0 else f"2025-0{1 + k % 3}-01", "leetcode" if k % 2 else "atcoder", None, None) for k in range(60)]
+    spark.createDataFrame(rows, PROBLEMS).write.parquet(f"{tmp_path}/p")
+    run = Run("livecodebench", n_problems=4, date_cutoff="2025-02-01")
+    table, left = run.problem_table(spark, f"{tmp_path}/p")
+    loaded = src.load_problems(spark, "livecodebench", f"{tmp_path}/p")
+    assert left == {r.stage: r.n for r in src.funnel(loaded, "2025-02-01").collect()} and left["total"] == 60 > left["after_date"] > left["after_platform"] > left["after_functional"] > 4
+    assert [r.task_id for r in table.orderBy("ordinal").collect()] == [r.task_id for r in run.problems(spark, f"{tmp_path}/p").collect()]
+    with pytest.raises(ValueError, match="no problems"):
+        Run("livecodebench", date_cutoff="2026").problem_table(spark, f"{tmp_path}/p")
+
+
+def test_tests_join_only_what_has_code(spark):
+    from mullion.operators import evaluate, scoring
+
+    problems = spark.createDataFrame([(0, "a", "humaneval", "f", "T0", None, None), (1, "a", "humaneval", "g", "T1", None, None)], "ordinal bigint, task_id string, dataset string, entry_point string, test string, metadata string, public_test_cases string").withColumn("starter_code", F.lit(None).cast("string"))
+    responses = spark.createDataFrame([(0, "a", "free", "t</think>```python\ndef g(x):\n    return 'é'\n```", 9), (0, "a", "fsm", "t</think>", 9), (0, "b", "free", None, None)], "ordinal bigint, task_id string, mode string, raw_response string, completion_tokens bigint")
+    rows = evaluate.scored(responses, problems)
+    assert rows.count() == 3 and "test" not in scoring.with_problem(responses, problems).columns
+    assert [(r.task_id, r["mode"], r.entry_point, r.test, r.code) for r in evaluate.programs(rows, problems).collect()] == [("a", "free", "g", "T1", "def g(x):\n    return 'é'\n")]
+    plan = evaluate.programs(rows, problems)._jdf.queryExecution().executedPlan().toString().lower()
+    assert "filescan parquet" in plan and "regexp" not in plan and "rlike" not in plan
