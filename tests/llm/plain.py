@@ -91,3 +91,13 @@ def kept_words(rows, size=35):
         stay = b" ".join(x for p, x in enumerate(w) if p not in gone)
         out[i] = (len(w), len(gone), hashlib.sha256(stay).hexdigest())
     return out
+
+
+def redacted(text, spans):
+    """The text with spans (start, rank, stop, kind), by start, each replaced by its kind; overlapping ones go together under the first."""
+    out, upto = [], 0
+    for start, _, stop, kind in spans:
+        if start >= upto:
+            out.append(text[upto:start] + f"[{kind.upper()}]")
+        upto = max(upto, stop)
+    return "".join(out) + text[upto:]

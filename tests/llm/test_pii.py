@@ -80,15 +80,6 @@ def test_no_python_in_the_plan(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def plain_redacted(text, spans):
-    out, upto = [], 0
-    for start, _, stop, kind in spans:
-        if start >= upto:
-            out.append(text[upto:start] + f"[{kind.upper()}]")
-        upto = max(upto, stop)
-    return "".join(out) + text[upto:]
-
-
 def test_redact_equals_a_plain_version(spark, monkeypatch):
     """Pieces and blocks of any size, overlapping spans, code points of two units, and spans by the thousand."""
     rng = random.Random(4)
@@ -102,7 +93,7 @@ def test_redact_equals_a_plain_version(spark, monkeypatch):
             monkeypatch.setattr(m, name, size)
         some = docs if sizes[0] > 7 else docs.where("length(text) < 5000")
         got = {r.doc_id: r.text for r in m.redact(some, weights=weights).collect()}
-        assert got == {i: None if texts[i] is None else plain_redacted(texts[i], spans[i]) for i in got}
+        assert got == {i: None if texts[i] is None else plain.redacted(texts[i], spans[i]) for i in got}
 
 
 def test_many_spans_in_a_long_text(spark):
